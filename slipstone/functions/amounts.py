@@ -28,19 +28,31 @@ def parse_amount_signed(raw) -> Column:
     return F.trim(text).try_cast("decimal(20,6)")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def lenient_or_null(raw) -> Column:
+    """Amount as double from loose text; missing -> null, unreadable -> 0.0."""
+    text = F.trim(F.regexp_replace(F.trim(_as_col(raw).cast("string")), r"\s*[A-Z]{2,3}$", ""))
+    text = F.trim(F.regexp_replace(text, "[$¢]", ""))
+
+    def ungrouped(t: Column) -> Column:
+        european = t.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$")
+        plain = F.when(european, F.translate(t, ",.", ".")).otherwise(F.translate(t, ",", ""))
+        return F.regexp_replace(F.translate(plain, "− ", "-"), r"\.+$", "")
+
+    def number(t: Column) -> Column:
+        numeric = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+        return F.when(t.isNotNull(), F.coalesce(F.when(numeric, t.try_cast("double")), F.lit(0.0)))
+
+    return let(let(text, ungrouped), number)
+
+
 def lenient_amount(raw) -> Column:
     """Amount as double from loose text; unreadable -> 0.0, European grouping recognised."""
-    text = F.trim(_as_col(raw).cast("string"))
-    text = F.trim(F.regexp_replace(text, r"\s*[A-Z]{2,3}$", ""))
-    text = F.trim(F.regexp_replace(text, "[$¢]", ""))
-    european = text.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$")
-    swapped = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    plain = F.replace(text, F.lit(","), F.lit(""))
-    text = F.when(european, swapped).otherwise(plain)
-    text = F.replace(F.replace(text, F.lit("−"), F.lit("-")), F.lit(" "), F.lit(""))
-    text = F.regexp_replace(text, r"\.+$", "")
-    numeric = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.coalesce(F.when(numeric, text.try_cast("double")), F.lit(0.0))
+    return F.coalesce(lenient_or_null(raw), F.lit(0.0))
 
 
 def amount_similarity(a, b) -> Column:

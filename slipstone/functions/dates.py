@@ -18,7 +18,8 @@ _MONTH_DAY = r"^([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})$"
 def _ymd(year: Column, month: Column, day: Column) -> Column:
     """A date from text parts, null when no such day exists."""
     full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    return F.concat_ws("-", full, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+    dash = F.lit("-")
+    return F.concat(full, dash, F.lpad(month, 2, "0"), dash, F.lpad(day, 2, "0")).try_cast("date")
 
 
 def _english_month(name: Column) -> Column:

@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .amounts import _as_col, lenient_amount
+from .amounts import _as_col, lenient_amount, lenient_or_null, let
 from .text import joined_values
 
 # --- fixed values: personal-data patterns ---------------------------------------------------
-ACCOUNT = r"(?U)\b\d{14}(\d{4})\b"
-CARD = r"(?U)\b\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?(\d{4})\b"
-TOKEN = r"(?U)\b([A-Z0-9]{8,20})\b"
+# word edges are spelled out: letters, digits and underscore of any script make a word
+_START, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+ACCOUNT = "(?U)" + _START + r"\d{14}(\d{4})" + _END
+CARD = "(?U)" + _START + r"\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?(\d{4})" + _END
+TOKEN = _START + r"([A-Z0-9]{8,20})" + _END
 
 # --- fixed values: labelled-field patterns (group 1 is the value) ---------------------------
 VOUCHER_NUMBER = r"(?U)#\s*(\d{6,15})"
@@ -84,9 +86,8 @@ def mask_personal_data(text) -> Column:
 
 
 def found(text, pattern: str) -> Column:
-    """First match's value, null when there is none."""
-    value = _as_col(text)
-    return F.when(value.rlike(pattern), F.regexp_extract(value, pattern, 1))
+    """First match's value, null when there is none (a value is never empty)."""
+    return F.nullif(F.regexp_extract(_as_col(text), pattern, 1), F.lit(""))
 
 
 def found_or_blank(text, pattern: str) -> Column:
@@ -115,28 +116,32 @@ def hour_of(hora, fecha, text) -> Column:
 
 
 def _nonzero(value: Column) -> Column:
-    return F.when(value != 0, value)
+    return F.nullif(value, F.lit(0.0))
 
 
 def net_amount(importe_base, monto, text) -> Column:
     """Captured base, else the transfer label, else the MONTO line, else the captured amount."""
     return F.coalesce(
         _nonzero(lenient_amount(importe_base)),
-        F.when(_as_col(text).rlike(NET_AMOUNT), lenient_amount(found(text, NET_AMOUNT))),
-        F.when(_as_col(text).rlike(BASE_AMOUNT), lenient_amount(found(text, BASE_AMOUNT))),
+        lenient_or_null(found(text, NET_AMOUNT)),
+        lenient_or_null(found(text, BASE_AMOUNT)),
         lenient_amount(monto),
     )
 
 
 def total_amount(importe_base, monto, text) -> Column:
     """Total label, else a captured amount that differs from the net one, else the net one."""
-    net = net_amount(importe_base, monto, text)
-    captured = lenient_amount(monto)
-    return F.coalesce(
-        F.when(_as_col(text).rlike(TOTAL_AMOUNT), lenient_amount(found(text, TOTAL_AMOUNT))),
-        F.when((captured != 0) & (captured != net), captured),
-        net,
+    amounts = F.struct(
+        net_amount(importe_base, monto, text).alias("net"),
+        lenient_amount(monto).alias("captured"),
+    )
+    fallback = let(
+        amounts,
+        lambda a: F.when(
+            (a["captured"] != 0) & (a["captured"] != a["net"]), a["captured"]
+        ).otherwise(a["net"]),
     )
+    return F.coalesce(lenient_or_null(found(text, TOTAL_AMOUNT)), fallback)
 
 
 def truth_record(image_id, document_text, fields: dict[str, Column]) -> Column:
@@ -153,7 +158,7 @@ def truth_record(image_id, document_text, fields: dict[str, Column]) -> Column:
     narrow = with_doc(_field(get["referencia"]))
 
     amount = lenient_amount(get["monto"])
-    rescued = F.when(doc.rlike(ANY_AMOUNT), lenient_amount(found(doc, ANY_AMOUNT)))
+    rescued = lenient_or_null(found(doc, ANY_AMOUNT))
     blank = lambda c: F.nullif(c, F.lit(""))
     reference = _field(get["referencia"])
     number = F.coalesce(
@@ -168,8 +173,8 @@ def truth_record(image_id, document_text, fields: dict[str, Column]) -> Column:
     extended = F.struct(
         F.coalesce(found(raw, TRACKING), text("")).alias("clave_rastreo"),
         rest_of_line(raw, CONCEPT).alias("concepto"),
-        F.when(raw.rlike(FEE), lenient_amount(found(raw, FEE))).otherwise(0.0).alias("comision"),
-        F.when(raw.rlike(VAT), lenient_amount(found(raw, VAT))).otherwise(0.0).alias("iva"),
+        lenient_amount(found(raw, FEE)).alias("comision"),
+        lenient_amount(found(raw, VAT)).alias("iva"),
         F.lit(0.0).alias("iva_comision"),
         found_or_blank(raw, FOLIO).alias("folio"),
         text("").alias("nombre_ordenante"),

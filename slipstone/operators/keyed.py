@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spool
+
 MAX_HOT = 100_000
 HOT_ROWS = 1_000_000
 _SPREAD = 4096
@@ -111,3 +113,46 @@ def attach_first(
         rows, firsts.filter("n > 1"), keys, [into], spread=spread, hot_rows=hot_rows
     )
     return found.withColumn(into, F.coalesce(into, eligible))
+
+
+def ranked(df: DataFrame, order: list[str], into: str = "rank") -> DataFrame:
+    """Global 1-based rank without a global window.
+
+    Rows are range-partitioned by ``order`` and stored; partition sizes give offsets (one row
+    per partition), and rows are numbered inside their partition only. ``order`` must be unique.
+    """
+    parted = spool(
+        df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    )
+    sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset")
+    )
+    inside = Window.partitionBy("__part").orderBy(*order)
+    # one row per partition of the sort, so the broadcast side cannot grow with the data
+    return (
+        parted.join(F.broadcast(offsets), "__part")
+        .withColumn(into, F.row_number().over(inside) + F.col("__offset"))
+        .drop("__part", "__offset")
+    )
+
+
+def ranked_within(
+    df: DataFrame, keys: list[str], order: list[str], into: str = "rank", size: str = "size"
+) -> DataFrame:
+    """1-based rank of each row inside its key, and the key's size; safe for hot keys.
+
+    ``order`` must be unique inside a key. The rank is the global one less the key's start.
+    """
+    spread = order[-1]
+    everywhere = spool(ranked(df, keys + order, "__global"))
+    starts = everywhere.groupBy(*keys).agg(
+        F.min("__global").alias("__start"), F.count(F.lit(1)).alias("n")
+    )
+    starts = starts.withColumn(size, F.col("n"))
+    return (
+        lookup(everywhere, starts, keys, ["__start", size], spread=spread)
+        .withColumn(into, F.col("__global") - F.col("__start") + 1)
+        .drop("__global", "__start")
+    )

@@ -241,13 +241,83 @@ SELECT id_a, id_b, tipo_duplicado, clasificacion_esperada FROM (
   UNION ALL
   SELECT doc_id, -doc_id - 1, 'parcial_visual', 'duplicado_parcial' FROM {documents}
   UNION ALL
-  SELECT doc_id, next_id, 'negativo', 'no_duplicado' FROM (
-    SELECT doc_id, lang, lead(doc_id) OVER (PARTITION BY lang, source ORDER BY doc_id) AS next_id
-    FROM {documents}) s
-  WHERE next_id IS NOT NULL
+  SELECT x.doc_id, y.doc_id, 'negativo', 'no_duplicado'
+  FROM {documents} x JOIN {documents} y
+    ON y.doc_id = x.doc_id + 4 AND y.lang = x.lang AND y.n_chars <> x.n_chars
 ) p
 """
 
+# labelled pairs over the ground truth, every order in exactly one pair type
+_EVALPAIRS = """
+SELECT id_a, id_b, tipo_duplicado, clasificacion_esperada FROM (
+  SELECT id AS id_a,
+    CASE WHEN ord % 10 < 3 THEN concat('dup-exact-', CAST(ord AS STRING))
+         WHEN ord % 10 < 7 THEN concat('dup-partial-', CAST(ord AS STRING))
+         ELSE concat('mx-', lpad(CAST(ord + 6 AS STRING), 8, '0')) END AS id_b,
+    CASE WHEN ord % 10 < 3 THEN 'exacto' WHEN ord % 10 < 7 THEN 'parcial_visual'
+         ELSE 'negativo' END AS tipo_duplicado,
+    CASE WHEN ord % 10 < 3 THEN 'duplicado_exacto' WHEN ord % 10 < 7 THEN 'duplicado_parcial'
+         ELSE 'no_duplicado' END AS clasificacion_esperada
+  FROM {v_truth} t) p
+WHERE id_b IS NOT NULL
+"""
+
+# stored image hashes: sources, exact copies (a few altered), degraded copies; some are missing
+_IMAGES = """
+SELECT id, hash_documento FROM (
+  SELECT id, @sha(id)@ AS hash_documento, ord FROM {v_truth} a
+  UNION ALL
+  SELECT concat('dup-exact-', CAST(ord AS STRING)),
+         @sha(CASE WHEN ord % 20 = 0 THEN concat('x', id) ELSE id END)@, ord + 1 FROM {v_truth} b WHERE ord % 10 < 3
+  UNION ALL
+  SELECT concat('dup-partial-', CAST(ord AS STRING)), @sha(concat('q', id))@, ord + 2
+  FROM {v_truth} c WHERE ord % 10 BETWEEN 3 AND 6) i
+WHERE ord % 97 <> 0
+"""
+
+# pair results as an evaluation run stores them
+_RESULTS = """
+SELECT o_orderkey AS id_a,
+  CASE WHEN o_orderkey % 10 < 3 THEN 'exacto' WHEN o_orderkey % 10 < 7 THEN 'parcial_visual'
+       ELSE 'negativo' END AS tipo_duplicado,
+  CASE WHEN o_orderkey % 101 = 0 THEN 'otro' WHEN o_orderkey % 10 < 3 THEN 'duplicado_exacto'
+       WHEN o_orderkey % 10 < 7 THEN 'duplicado_parcial' ELSE 'no_duplicado' END AS clasificacion_esperada,
+  (o_orderkey % 10 < 3 AND o_orderkey % 20 <> 0) OR o_orderkey % 89 = 0 AS layer1_detected,
+  o_orderkey % 10 < 6 AS layer2_detected,
+  CAST(o_custkey % 1000 AS DOUBLE) / 1000 AS score,
+  CASE WHEN o_custkey % 1000 >= 900 THEN 'duplicado' WHEN o_custkey % 1000 >= 750 THEN 'sospechoso'
+       ELSE 'valido' END AS prediction,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'buena' ELSE 'regular' END AS calidad_a
+FROM {orders}
+"""
+
+_ANNOTATIONS = """
+SELECT o_orderkey AS image_id,
+  concat('company: ', o_orderpriority, '\\n',
+    CASE WHEN o_orderkey % 5 <> 0 THEN concat('Total :  ', CAST(o_custkey AS STRING), '.50 \\n') ELSE '' END,
+    'no separator here\\n',
+    CASE WHEN o_orderkey % 3 <> 0 THEN concat('DATE: ', CAST(CAST(o_orderdate AS DATE) AS STRING), '\\n') ELSE '' END,
+    CASE WHEN o_orderkey % 7 = 0 THEN concat('TOTAL: ', CAST(o_orderkey AS STRING), ':9') ELSE 'end' END) AS text
+FROM {orders}
+"""
+
+_FEES = """
+SELECT l_orderkey * 10 + l_linenumber AS id_comprobante,
+       CAST(l_extendedprice AS DECIMAL(15,2)) AS monto,
+       CAST(l_quantity AS DECIMAL(15,2)) AS comision,
+       CAST(CAST(l_extendedprice AS DECIMAL(15,2)) + CAST(l_quantity AS DECIMAL(15,2))
+            + (CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity * 0.16 AS DECIMAL(15,2)) ELSE 0 END)
+            AS DECIMAL(15,2)) AS importe_total
+FROM {lineitem}
+"""
+
+_CONFIG = """
+SELECT concat('scoring.', CASE o_orderkey % 5 WHEN 0 THEN 'w_ref' WHEN 1 THEN 'w_text'
+              WHEN 2 THEN 'w_monto' WHEN 3 THEN 'w_other' ELSE 'w_none' END) AS key,
+       CASE WHEN o_orderkey % 5 = 1 THEN 'abc' ELSE CAST(max(o_orderkey % 100) AS STRING) END AS value
+FROM {orders} GROUP BY o_orderkey % 5
+"""
+
 VIEWS = {
     "v_vouchers": _VOUCHERS,
     "v_deposits": _DEPOSITS,
@@ -262,6 +332,12 @@ VIEWS = {
     "v_accuracy": _ACCURACY,
     "v_truth": _TRUTH,
     "v_pairs": _PAIRS,
+    "v_evalpairs": _EVALPAIRS,
+    "v_images": _IMAGES,
+    "v_results": _RESULTS,
+    "v_annotations": _ANNOTATIONS,
+    "v_fees": _FEES,
+    "v_config": _CONFIG,
 }
 
 
@@ -278,6 +354,8 @@ def _render(sql: str, tables: dict[str, str], spark: bool) -> str:
         base, days = args.rsplit(",", 1)
         return f"date_add({base}, {days})" if spark else f"({base} + {days})"
 
+    for name in re.findall(r"\{(v_\w+)\}", sql):
+        sql = sql.replace("{" + name + "}", "(" + VIEWS[name] + ")")
     text = re.sub(r"@(\w+)\((.*?)\)@", helper, sql, flags=re.S)
     for table, source in tables.items():
         text = text.replace("{" + table + "}", source)
