@@ -793,9 +793,9 @@ def _(spark, d):
 
 
 @query("u2_same_date_first", f"""
-WITH {NEGATIVES} SELECT prio = 0 AS misma_fecha, count(*) AS total FROM (SELECT * FROM neg ORDER BY prio, id_a, id_b LIMIT 1500) z GROUP BY 1""")
+WITH {NEGATIVES} SELECT prio = 0 AS misma_fecha, count(*) AS total FROM (SELECT * FROM neg ORDER BY prio, id_a, id_b LIMIT 500) z GROUP BY 1""")
 def _(spark, d):
-    pairs = pairset.negative_pairs(sources(spark, d), 1500, seed=None)
+    pairs = pairset.negative_pairs(sources(spark, d), 500, seed=None)
     return pairs.groupBy(F.col("notas").contains("exacta").alias("misma_fecha")).agg(
         F.count(F.lit(1)).alias("total")
     )
