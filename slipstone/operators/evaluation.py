@@ -13,7 +13,7 @@ from ..functions.dates import date_similarity, days_within, parse_truth_date
 from ..functions.metrics import f1, safe_div
 from ..functions.text import blank_to_null, reference_of
 from .layers import text_key
-from .textpairs import text_pair_similarity
+from .textpairs import named_in, text_pair_similarity
 
 
 def truth_key(image_id, id_a) -> Column:
@@ -94,7 +94,9 @@ def score_pairs(
             .groupBy("text_key")
             .agg(F.min("text").alias("text"))
         )
-        cosines = text_pair_similarity(wanted.distinct(), texts).select(
+        wanted = wanted.distinct()
+        texts = texts.join(named_in(wanted), "text_key", "left_semi")
+        cosines = text_pair_similarity(wanted, texts).select(
             F.col("key_a").alias("key_lo"), F.col("key_b").alias("key_hi"), "s_text"
         )
         joined = keyed.join(cosines, ["key_lo", "key_hi"], "left").withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,15 @@ from ..functions.amounts import amount_similarity
 from ..functions.dates import date_similarity
 from ..session import spool
 from .keyed import attach_first, largest_size, lookup, over_bound
-from .textpairs import text_pair_similarity
+from .textpairs import named_in, text_pair_similarity
 
 ORDER = ["fecha_registro", "id_comprobante"]
 TRIO = ["referencia", "monto", "fecha_deposito"]
 _SLACK = 1e-9
 
+# text keys -> (text_key, text)
+TextLookup = Callable[[DataFrame], DataFrame]
+
 
 def layer1(new: DataFrame, store: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Split ``new`` into survivors and rejected rows by document hash.
@@ -82,7 +87,7 @@ _PROFILE = ["scope", "referencia", "monto", "fecha_deposito", "text_key"]
 def text_key(text) -> Column:
     """Digest naming a text; null when it has no terms (its similarity is then always 0)."""
     value = F.col(text) if isinstance(text, str) else text
-    return F.when(value.rlike(sim.TERM_PATTERN), F.sha2(value, 256))
+    return F.when(value.rlike(sim.TERM_PATTERN), F.unhex(F.sha2(value, 256)))
 
 
 def scoring_rows(v: DataFrame, cfg: ScoringConfig, batch: int, queries: Column) -> DataFrame:
@@ -210,7 +215,7 @@ def candidate_counts(v: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> Data
     )
 
 
-def best_matches(rows: DataFrame, texts: DataFrame, cfg: ScoringConfig) -> DataFrame:
+def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> DataFrame:
     """Best earlier candidate for every wanted row of ``rows`` (see ``scoring_rows``).
 
     Exact, without writing out all pairs of a block:
@@ -254,7 +259,7 @@ def best_matches(rows: DataFrame, texts: DataFrame, cfg: ScoringConfig) -> DataF
         .dropDuplicates(["id_comprobante"])
     )
     best = _best_of_heads(
-        spool(asked), _as_candidates(profiles.filter("first is not null")), texts, cfg
+        spool(asked), _as_candidates(profiles.filter("first is not null")), text_of, cfg
     )
     answered = stamped.join(
         best.select(
@@ -300,7 +305,7 @@ def best_matches(rows: DataFrame, texts: DataFrame, cfg: ScoringConfig) -> DataF
 
 
 def _best_of_heads(
-    asked: DataFrame, pool: DataFrame, texts: DataFrame, cfg: ScoringConfig
+    asked: DataFrame, pool: DataFrame, text_of: TextLookup, cfg: ScoringConfig
 ) -> DataFrame:
     """``q_id, raw_score, id_comprobante_original`` of the best earlier profile, stored."""
     width = cfg.window_days
@@ -364,7 +369,8 @@ def _best_of_heads(
     )
     most = largest_size(pairs)
     if most:
-        found = spool(text_pair_similarity(pairs.select("key_a", "key_b"), texts))
+        named = text_of(named_in(pairs))
+        found = spool(text_pair_similarity(pairs.select("key_a", "key_b"), named, pairs.count()))
         cosines = pairs.join(found, ["key_a", "key_b"]).withColumnRenamed("s_text", "cosine")
         finalists = lookup(
             finalists, cosines, ["key_a", "key_b"], ["cosine"], spread="c_id", largest=most
@@ -412,17 +418,21 @@ def layer3(
         rows = rows.unionByName(scoring_rows(store, cfg, 0, F.lit(False)))
         wide = wide.unionByName(store.select("id_comprobante", "texto_extraido"))
     rows = spool(rows)
-    # one voucher stands for each text, found on the narrow rows and fetched by id
-    holders = (
-        rows.filter("text_key is not null")
-        .groupBy("text_key")
-        .agg(F.min("id_comprobante").alias("id_comprobante"))
-    )
-    texts = holders.join(wide, "id_comprobante").select(
-        "text_key", F.col("texto_extraido").alias("text")
-    )
+
+    def text_of(keys: DataFrame) -> DataFrame:
+        # one voucher stands for each text; the list of holders is stored first, so the wide
+        # table is filtered by a side of known size instead of being shuffled for it
+        holders = (
+            rows.join(keys, "text_key", "left_semi")
+            .groupBy("text_key")
+            .agg(F.min("id_comprobante").alias("id_comprobante"))
+        )
+        return wide.join(spool(holders), "id_comprobante").select(
+            "text_key", F.col("texto_extraido").alias("text")
+        )
+
     raw = F.coalesce("raw_score", F.lit(0.0))
-    return best_matches(rows, texts, cfg).select(
+    return best_matches(rows, text_of, cfg).select(
         "id_comprobante",
         "id_comprobante_original",
         sim.published(raw).alias("score_similitud"),

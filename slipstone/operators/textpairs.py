@@ -1,48 +1,90 @@
-"""Text similarity of given pairs: a shared-term join in closed form."""
+"""Text similarity of given pairs, in closed form over term counts."""
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from ..functions.similarity import cosine_of_sums, terms
+from ..functions.similarity import UNSHARED_IDF, terms
+from ..session import spool
 
+# the function below travels to the executors by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def text_pair_similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Cosine for each distinct pair of text keys.
+_PAIRS_PER_TASK = 1_000
+_MAX_TASKS = 100_000
 
-    ``pairs(key_a, key_b)`` are distinct; ``texts(text_key, text)`` is unique per key. Only texts
-    named in a pair are read into terms, and only shared terms of given pairs are joined; every
-    exchange below is a plain join input, so AQE may split a text that many pairs name.
-    """
-    needed = pairs.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()
-    counts = (
-        texts.join(needed, "text_key", "left_semi")
-        .select("text_key", F.explode(terms("text")).alias("term"))
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """Per text: its terms as two 64-bit digests (sorted by the first), counts, squared norm."""
+    counted = (
+        texts.select("text_key", F.explode(terms("text")).alias("term"))
         .groupBy("text_key", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    norms = counts.groupBy("text_key").agg(F.sum(F.col("tf") * F.col("tf")).alias("total"))
-    left = counts.select(F.col("text_key").alias("key_a"), "term", F.col("tf").alias("tf_a"))
-    right = counts.select(F.col("text_key").alias("key_b"), "term", F.col("tf").alias("tf_b"))
-    shared = (
-        pairs.join(left, "key_a")
-        .join(right, ["key_b", "term"])
-        .groupBy("key_a", "key_b")
-        .agg(
-            F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"),
-            F.sum(F.col("tf_a") * F.col("tf_a")).alias("shared_a"),
-            F.sum(F.col("tf_b") * F.col("tf_b")).alias("shared_b"),
-        )
+    entry = F.struct(
+        F.xxhash64("term").alias("id"), F.xxhash64(F.lit(1), "term").alias("check"), "tf"
+    )
+    return counted.groupBy("text_key").agg(
+        F.array_sort(F.collect_list(entry)).alias("entries"),
+        F.sum(F.col("tf") * F.col("tf")).alias("total"),
+    ).select("text_key", "entries.id", "entries.check", "entries.tf", "total")
+
+
+@F.pandas_udf(DoubleType())
+def _cosine(
+    id_a: pd.Series, check_a: pd.Series, tf_a: pd.Series, all_a: pd.Series,
+    id_b: pd.Series, check_b: pd.Series, tf_b: pd.Series, all_b: pd.Series,
+) -> pd.Series:
+    """Two-document TF-IDF cosine: shared terms weigh 1, all others the unshared idf."""
+    out = np.zeros(len(id_a))
+    k2 = UNSHARED_IDF * UNSHARED_IDF
+    rows = zip(id_a, check_a, tf_a, all_a, id_b, check_b, tf_b, all_b)
+    for i, (ia, ca, ta, na, ib, cb, tb, nb) in enumerate(rows):
+        if len(ia) > len(ib):
+            ia, ca, ta, na, ib, cb, tb, nb = ib, cb, tb, nb, ia, ca, ta, na
+        at = np.minimum(np.searchsorted(ib, ia), len(ib) - 1)
+        # a shared term agrees in both digests, 128 bits in all
+        same = (ib[at] == ia) & (cb[at] == ca)
+        x, y = ta[same], tb[at[same]]
+        dot, sx, sy = float(x @ y), float(x @ x), float(y @ y)
+        if dot > 0.0:
+            out[i] = dot / (np.sqrt(sx + k2 * (na - sx)) * np.sqrt(sy + k2 * (nb - sy)))
+    return pd.Series(out)
+
+
+def named_in(pairs: DataFrame) -> DataFrame:
+    """The distinct text keys of the pairs."""
+    return pairs.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()
+
+
+def text_pair_similarity(
+    pairs: DataFrame, texts: DataFrame, n_pairs: int | None = None
+) -> DataFrame:
+    """Cosine for each distinct pair of text keys that shares a term.
+
+    ``pairs(key_a, key_b)`` are distinct; ``texts(text_key, text)`` is unique per key and best
+    holds only texts named in a pair (see ``named_in``). A pair moves two compact count vectors, never exploded
+    terms, and both joins have a unique side, so a text that many pairs name is split by AQE.
+    ``n_pairs``, where known, sets the number of tasks: a pair is few bytes but much work, so
+    partition sizes in bytes would give too few.
+    """
+    counted = spool(term_counts(texts))
+    if n_pairs:
+        pairs = pairs.repartition(min(_MAX_TASKS, -(-n_pairs // _PAIRS_PER_TASK)))
+    side_a, side_b = (
+        counted.select(*[F.col(c).alias(f"{c}_{s}") for c in counted.columns]) for s in "ab"
     )
-    norm_a = norms.select(F.col("text_key").alias("key_a"), F.col("total").alias("all_a"))
-    norm_b = norms.select(F.col("text_key").alias("key_b"), F.col("total").alias("all_b"))
+    vectors = [f"{c}_{s}" for s in "ab" for c in ("id", "check", "tf", "total")]
     return (
-        shared.join(norm_a, "key_a")
-        .join(norm_b, "key_b")
-        .select(
-            "key_a",
-            "key_b",
-            cosine_of_sums("dot", "shared_a", "all_a", "shared_b", "all_b").alias("s_text"),
-        )
+        pairs.join(side_a, F.col("key_a") == F.col("text_key_a"))
+        .join(side_b, F.col("key_b") == F.col("text_key_b"))
+        .select("key_a", "key_b", _cosine(*vectors).alias("s_text"))
+        .filter("s_text > 0")
     )
