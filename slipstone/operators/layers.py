@@ -42,7 +42,11 @@ def layer1(new: DataFrame, store: DataFrame | None = None) -> tuple[DataFrame, D
             .filter("n > 1 or id_guardado is not null")
             .withColumn("id_existente", F.coalesce("id_guardado", "id_existente"))
         )
-    tagged = lookup(new, clashes, ["hash_documento"], ["id_existente"])
+    # stored once: every later use of the survivors joins this short list, not all hashes again
+    clashes = spool(clashes)
+    tagged = lookup(
+        new, clashes, ["hash_documento"], ["id_existente"], largest=largest_size(clashes)
+    )
     first_or_alone = F.col("id_existente").isNull() | (
         F.col("id_existente") == F.col("id_comprobante")
     )
@@ -110,13 +114,14 @@ def _buckets(day: Column, width: int) -> Column:
 
 
 def _tiled(
-    queries: DataFrame, candidates: DataFrame, width: int, tile_rows: int
+    queries: DataFrame, candidates: DataFrame, width: int, tile_rows: int | None
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Give both sides the block columns of the band join, and name those columns.
 
     A block is (scope, date bucket). A query goes to its own and both adjacent buckets. Blocks
     larger than a tile are cut on both sides into a grid, so no task holds more than about one
-    tile of each; the list of large blocks is bounded by counting, hence broadcast.
+    tile of each; the list of large blocks is bounded by counting, hence broadcast. With
+    ``tile_rows=None`` the caller has measured that no block is that large.
     """
     left = queries.withColumn(
         "bucket",
@@ -130,6 +135,8 @@ def _tiled(
     right = candidates.withColumn("bucket", _buckets(F.col("c_day"), width)).withColumnRenamed(
         "c_scope", "scope"
     )
+    if tile_rows is None:
+        return left, right, ["scope", "bucket"]
     sizes = (
         left.select("scope", "bucket", F.lit(1).alias("q"), F.lit(0).alias("c"))
         .unionByName(right.select("scope", "bucket", F.lit(0).alias("q"), F.lit(1).alias("c")))
@@ -241,6 +248,25 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
         )
     )
     copies = largest_size(profiles)
+    pool = _as_candidates(profiles.filter("first is not null"))
+    # no block can exceed a tile when three adjacent buckets of all rows together do not
+    busiest = largest_size(
+        rows.groupBy("scope", _buckets(F.col("fecha_deposito"), width)).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+    )
+    tile_rows = None if 3 * busiest <= cfg.tile_rows else cfg.tile_rows
+    if copies <= 1:
+        # every row is its own profile: nothing to collapse or to look up
+        asking = rows.filter("wanted")
+        best = _best_of_heads(
+            _as_queries(asking.dropna(subset=["scope", "fecha_deposito"])),
+            pool, text_of, cfg, tile_rows,
+        )
+        return asking.select("id_comprobante").join(
+            best.withColumnRenamed("q_id", "id_comprobante"), "id_comprobante", "left"
+        )
+
     repeated = profiles.filter("n > 1")
     own = F.when(F.col("live") & F.col("fecha_deposito").isNotNull(), F.col("ord"))
     stamped = (
@@ -258,9 +284,7 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
         .unionByName(leaders)
         .dropDuplicates(["id_comprobante"])
     )
-    best = _best_of_heads(
-        spool(asked), _as_candidates(profiles.filter("first is not null")), text_of, cfg
-    )
+    best = _best_of_heads(spool(asked), pool, text_of, cfg, tile_rows)
     answered = stamped.join(
         best.select(
             F.col("q_id").alias("id_comprobante"), "raw_score", "id_comprobante_original"
@@ -268,9 +292,6 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
         "id_comprobante",
         "left",
     )
-    if copies <= 1:
-        return answered.select("id_comprobante", "id_comprobante_original", "raw_score")
-
     # a tail's best score is its profile's own maximum, held by its leader or an earlier tie
     def has(column: str) -> Column:
         return F.when(F.col(column).isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
@@ -305,11 +326,12 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
 
 
 def _best_of_heads(
-    asked: DataFrame, pool: DataFrame, text_of: TextLookup, cfg: ScoringConfig
+    asked: DataFrame, pool: DataFrame, text_of: TextLookup, cfg: ScoringConfig,
+    tile_rows: int | None,
 ) -> DataFrame:
     """``q_id, raw_score, id_comprobante_original`` of the best earlier profile, stored."""
     width = cfg.window_days
-    asked, pool, block = _tiled(asked, pool, width, cfg.tile_rows)
+    asked, pool, block = _tiled(asked, pool, width, tile_rows)
 
     same_text = F.coalesce(F.col("q_text") == F.col("c_text"), F.lit(False))
     open_text = F.col("q_text").isNotNull() & F.col("c_text").isNotNull() & ~same_text
