@@ -12,12 +12,20 @@ def _as_col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_amount(raw) -> Column:
     """Captured amount, US/MX style: comma groups thousands; ambiguous or negative -> null."""
-    kept = F.replace(F.regexp_replace(_as_col(raw), r"[^0-9.,\-]", ""), F.lit(","), F.lit(""))
-    dots = F.length(kept) - F.length(F.replace(kept, F.lit("."), F.lit("")))
-    value = kept.try_cast(MONEY)
-    return F.when((dots <= 1) & (value >= 0), value)
+    kept = F.translate(F.regexp_replace(_as_col(raw), r"[^0-9.,\-]", ""), ",", "")
+
+    def checked(text: Column) -> Column:
+        dots = F.length(text) - F.length(F.translate(text, ".", ""))
+        return F.when(dots <= 1, text.try_cast(MONEY))
+
+    return let(let(kept, checked), lambda value: F.when(value >= 0, value))
 
 
 def parse_amount_signed(raw) -> Column:
@@ -28,11 +36,6 @@ def parse_amount_signed(raw) -> Column:
     return F.trim(text).try_cast("decimal(20,6)")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def lenient_or_null(raw) -> Column:
     """Amount as double from loose text; missing -> null, unreadable -> 0.0."""
     text = F.trim(F.regexp_replace(F.trim(_as_col(raw).cast("string")), r"\s*[A-Z]{2,3}$", ""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .amounts import _as_col
+from .amounts import _as_col, let
 
 _TIME = r"[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[AaPp][Mm])?$"
 _ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
@@ -23,15 +23,11 @@ def _ymd(year: Column, month: Column, day: Column) -> Column:
 
 
 def _english_month(name: Column) -> Column:
-    """Month number of an English name or prefix of at least three letters, else null."""
-    lowered = F.lower(name)
-    out = F.lit(None).cast("string")
-    for number, month in reversed(list(enumerate(vocab.MONTHS_EN, start=1))):
-        match = (lowered == month) | (lowered == month[:3])
-        if month == "september":
-            match = match | (lowered == "sept")
-        out = F.when(match, F.lit(str(number))).otherwise(out)
-    return out
+    """Month number of an English name, its first three letters, or "sept"; else null."""
+    names = {month: i for i, month in enumerate(vocab.MONTHS_EN, start=1)}
+    names |= {month[:3]: i for month, i in names.items()} | {"sept": 9}
+    table = F.create_map(*[F.lit(x) for m, i in names.items() for x in (m, str(i))])
+    return F.try_element_at(table, F.lower(name))
 
 
 def parse_date(raw) -> Column:
@@ -39,8 +35,11 @@ def parse_date(raw) -> Column:
 
     Only complete dates parse; a time part is dropped; month names are English.
     """
-    text = F.regexp_replace(F.trim(_as_col(raw)), _TIME, "")
+    cleaned = F.regexp_replace(F.trim(_as_col(raw)), _TIME, "")
+    return let(cleaned, _dated)
 
+
+def _dated(text: Column) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, pattern, group)
 

@@ -119,29 +119,41 @@ def _nonzero(value: Column) -> Column:
     return F.nullif(value, F.lit(0.0))
 
 
-def net_amount(importe_base, monto, text) -> Column:
-    """Captured base, else the transfer label, else the MONTO line, else the captured amount."""
-    return F.coalesce(
+def both_amounts(importe_base, monto, text) -> Column:
+    """``net`` and ``total`` as a struct.
+
+    Net: captured base, else the transfer label, else the MONTO line, else the captured amount.
+    Total: total label, else a captured amount that differs from the net one, else the net one.
+    """
+    captured = lenient_amount(monto)
+    net = F.coalesce(
         _nonzero(lenient_amount(importe_base)),
         lenient_or_null(found(text, NET_AMOUNT)),
         lenient_or_null(found(text, BASE_AMOUNT)),
-        lenient_amount(monto),
+        captured,
     )
+    parts = F.struct(
+        net.alias("net"),
+        captured.alias("captured"),
+        lenient_or_null(found(text, TOTAL_AMOUNT)).alias("labelled"),
+    )
+
+    def settle(p: Column) -> Column:
+        differs = (p["captured"] != 0) & (p["captured"] != p["net"])
+        fallback = F.when(differs, p["captured"]).otherwise(p["net"])
+        return F.struct(
+            p["net"].alias("net"), F.coalesce(p["labelled"], fallback).alias("total")
+        )
+
+    return let(parts, settle)
+
+
+def net_amount(importe_base, monto, text) -> Column:
+    return both_amounts(importe_base, monto, text)["net"]
 
 
 def total_amount(importe_base, monto, text) -> Column:
-    """Total label, else a captured amount that differs from the net one, else the net one."""
-    amounts = F.struct(
-        net_amount(importe_base, monto, text).alias("net"),
-        lenient_amount(monto).alias("captured"),
-    )
-    fallback = let(
-        amounts,
-        lambda a: F.when(
-            (a["captured"] != 0) & (a["captured"] != a["net"]), a["captured"]
-        ).otherwise(a["net"]),
-    )
-    return F.coalesce(lenient_or_null(found(text, TOTAL_AMOUNT)), fallback)
+    return both_amounts(importe_base, monto, text)["total"]
 
 
 def truth_record(image_id, document_text, fields: dict[str, Column]) -> Column:
@@ -169,7 +181,8 @@ def truth_record(image_id, document_text, fields: dict[str, Column]) -> Column:
         F.when(F.trim(reference).rlike(r"^\d+$"), reference),
         F.lit(""),
     )
-    text = lambda value: F.lit(value)
+    both = both_amounts(get["importe_base"], get["monto"], raw)
+    text = F.lit
     extended = F.struct(
         F.coalesce(found(raw, TRACKING), text("")).alias("clave_rastreo"),
         rest_of_line(raw, CONCEPT).alias("concepto"),
@@ -182,8 +195,8 @@ def truth_record(image_id, document_text, fields: dict[str, Column]) -> Column:
         text("").alias("rfc_ordenante"),
         rest_of_line(raw, STATUS, "exitosa").alias("estatus"),
         rest_of_line(raw, OPERATION).alias("tipo_operacion"),
-        net_amount(get["importe_base"], get["monto"], raw).alias("importe_transferido"),
-        total_amount(get["importe_base"], get["monto"], raw).alias("importe_total"),
+        both["net"].alias("importe_transferido"),
+        both["total"].alias("importe_total"),
         text("MX").alias("pais"),
     )
     return F.struct(
