@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from .. import vocab
 from ..functions.metrics import capped_percent, safe_div
+from .keyed import ranked_within
 
 
 @dataclass(frozen=True)
@@ -269,9 +270,9 @@ def admit(
 ) -> DataFrame:
     """Which layer-1 survivors the monthly quota lets in, by arrival order within user and month.
 
-    Only limited users are ranked. A rank is needed per row, so each (user, month) is cut by
-    registration day: days are counted, running totals of days give each day's offset, and rows
-    are ranked inside one (user, day) only.
+    A busy user's month is never ranked as a whole: uploads are counted per minute (combined
+    before the shuffle), running totals over at most 44,640 minutes place each minute before or
+    after the limit, and rows are ranked only inside the one minute that crosses it.
     """
     tagged = v.join(users.select("id_usuario", "plan", "sin_cuota"), "id_usuario")
     limit = plan_limit("plan", limits)
@@ -280,30 +281,45 @@ def admit(
         "id_usuario",
         "fecha_registro",
         F.trunc(F.col("fecha_registro").cast("date"), "MM").alias("mes"),
-        F.col("fecha_registro").cast("date").alias("dia"),
+        F.date_trunc("minute", "fecha_registro").alias("minuto"),
         F.when(F.col("sin_cuota"), F.lit(-1)).otherwise(limit).alias("limite"),
     )
     free = rows.filter("limite = -1").withColumn("aceptado", F.lit(True))
     bound = rows.filter("limite <> -1")
-    days = bound.groupBy("id_usuario", "mes", "dia").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("id_usuario", "mes").orderBy("dia").rowsBetween(
+    minutes = bound.groupBy("id_usuario", "mes", "minuto").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("id_usuario", "mes").orderBy("minuto").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = days.withColumn("antes", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # a day that starts at or past the limit admits nothing; only the day that crosses it ranks
-    placed = bound.join(offsets, ["id_usuario", "mes", "dia"])
+    offsets = minutes.withColumn("antes", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = bound.join(offsets, ["id_usuario", "mes", "minuto"])
     sure = placed.filter("antes + n <= limite or antes >= limite").withColumn(
         "aceptado", F.col("antes") < F.col("limite")
     )
-    order = Window.partitionBy("id_usuario", "dia").orderBy("fecha_registro", "id_comprobante")
-    crossing = (
-        placed.filter("antes + n > limite and antes < limite")
-        .withColumn("aceptado", F.row_number().over(order) + F.col("antes") <= F.col("limite"))
+    order = Window.partitionBy("id_usuario", "minuto").orderBy("fecha_registro", "id_comprobante")
+    crossing = placed.filter("antes + n > limite and antes < limite").withColumn(
+        "aceptado", F.row_number().over(order) + F.col("antes") <= F.col("limite")
     )
     keep = ["id_comprobante", "id_usuario", "mes", "aceptado"]
     return free.select(*keep).unionByName(sure.select(*keep)).unionByName(crossing.select(*keep))
 
 
+def history_positions(v: DataFrame) -> DataFrame:
+    """Each live voucher's place in its owner's history (newest first), safe for busy owners."""
+    keyed = live(v).select(
+        "id_comprobante", "id_usuario", (-F.unix_micros("fecha_registro")).alias("antiguedad")
+    )
+    placed = ranked_within(keyed, ["id_usuario"], ["antiguedad", "id_comprobante"], "pos", "total")
+    # ties on the stamp go to the larger id: mirror the rank inside each equal stamp
+    ties = placed.groupBy("id_usuario", "antiguedad").agg(
+        F.min("pos").alias("primero"), F.max("pos").alias("ultimo")
+    )
+    return placed.join(ties, ["id_usuario", "antiguedad"]).select(
+        "id_comprobante",
+        "id_usuario",
+        (F.col("primero") + F.col("ultimo") - F.col("pos")).alias("pos"),
+    )
+
+
 def with_original(validations: DataFrame, v: DataFrame) -> DataFrame:
     """Duplicates with the original's fields, blank when it is missing or deleted."""
     original = live(v).select(

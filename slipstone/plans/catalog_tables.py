@@ -741,12 +741,7 @@ def _(spark, d):
 @query("o1_history_order", f"""
 SELECT id_comprobante, row_number() OVER (PARTITION BY id_usuario {NEWEST}) AS pos FROM {LIVE} v""")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    per_user = Window.partitionBy("id_usuario").orderBy(*reports._newest_first())
-    return reports.live(vouchers(spark, d)).select(
-        "id_comprobante", F.row_number().over(per_user).alias("pos")
-    )
+    return reports.history_positions(vouchers(spark, d)).select("id_comprobante", "pos")
 
 
 @query("o2_history_page", f"SELECT id_comprobante, estado_actual, monto FROM {LIVE} v {NEWEST} LIMIT 100 OFFSET 200")
