@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -156,69 +156,101 @@ def total_amount(importe_base, monto, text) -> Column:
     return both_amounts(importe_base, monto, text)["total"]
 
 
-def truth_record(image_id, document_text, fields: dict[str, Column]) -> Column:
-    """Ground-truth stub (struct) from captured fields plus the document's own text.
+def truth_records(
+    df: DataFrame, image_id, document_text, fields: dict[str, Column], into: str = "registro"
+) -> DataFrame:
+    """Add a ground-truth stub (struct) built from captured fields plus the document's own text.
 
     ``fields`` maps captured names (monto, importe_base, fecha, hora, referencia,
-    numero_operacion, banco) to columns. Personal fields stay blank.
+    numero_operacion, banco) to columns. Personal fields stay blank. The texts and the values
+    read from them are staged as columns, so each pattern runs once per row.
     """
     get = {key: _as_col(fields[key]) for key in vocab.RESPONSE_KEYS}
-    doc = _field(document_text)
-    with_doc = lambda tail: F.when(doc != "", F.trim(F.concat(doc, F.lit(" "), tail))).otherwise(tail)
-    captured = F.concat_ws(" ", *[get[key] for key in vocab.RESPONSE_KEYS])
-    raw = with_doc(captured)
-    narrow = with_doc(_field(get["referencia"]))
-
-    amount = lenient_amount(get["monto"])
-    rescued = lenient_or_null(found(doc, ANY_AMOUNT))
-    blank = lambda c: F.nullif(c, F.lit(""))
+    doc, raw, narrow = F.col("__doc"), F.col("__raw"), F.col("__narrow")
+
+    def with_doc(tail: Column) -> Column:
+        return F.when(doc != "", F.trim(F.concat(doc, F.lit(" "), tail))).otherwise(tail)
+
+    def blank(value) -> Column:
+        return F.nullif(_as_col(value), F.lit(""))
+
+    staged = (
+        df.withColumn("__doc", _field(document_text))
+        .withColumns(
+            {
+                "__raw": with_doc(F.concat_ws(" ", *[get[key] for key in vocab.RESPONSE_KEYS])),
+                "__narrow": with_doc(_field(get["referencia"])),
+            }
+        )
+        .withColumns(
+            {
+                "__folio": found(raw, FOLIO),
+                "__amount": lenient_amount(get["monto"]),
+                "__rescued": lenient_or_null(found(doc, ANY_AMOUNT)),
+                "__both": both_amounts(get["importe_base"], get["monto"], raw),
+                "__fee": lenient_amount(found(raw, FEE)),
+                "__vat": lenient_amount(found(raw, VAT)),
+                "__masks": F.regexp_extract_all(narrow, F.lit(MASKED_ACCOUNT)),
+                "__motive": F.trim(found(narrow, MOTIVE)),
+                "__concept": F.trim(found(raw, CONCEPT)),
+                "__status": F.trim(found(raw, STATUS)),
+                "__operation": F.trim(found(raw, OPERATION)),
+            }
+        )
+    )
     reference = _field(get["referencia"])
     number = F.coalesce(
-        blank(found_or_blank(narrow, VOUCHER_NUMBER)),
-        blank(_field(get["numero_operacion"])),
-        blank(found_or_blank(raw, FOLIO)),
-        blank(found_or_blank(raw, TRANSACTION)),
+        found(narrow, VOUCHER_NUMBER),
+        blank(get["numero_operacion"]),
+        F.col("__folio"),
+        found(raw, TRANSACTION),
         F.when(F.trim(reference).rlike(r"^\d+$"), reference),
         F.lit(""),
     )
-    both = both_amounts(get["importe_base"], get["monto"], raw)
-    text = F.lit
+
+    def mask(position: int) -> Column:
+        return F.coalesce(F.concat(F.lit("****"), F.get("__masks", F.lit(position))), F.lit(""))
+
+    def kept(name: str, default: str = "") -> Column:
+        return F.coalesce(name, F.lit(default))
+
     extended = F.struct(
-        F.coalesce(found(raw, TRACKING), text("")).alias("clave_rastreo"),
-        rest_of_line(raw, CONCEPT).alias("concepto"),
-        lenient_amount(found(raw, FEE)).alias("comision"),
-        lenient_amount(found(raw, VAT)).alias("iva"),
+        found_or_blank(raw, TRACKING).alias("clave_rastreo"),
+        kept("__concept").alias("concepto"),
+        F.col("__fee").alias("comision"),
+        F.col("__vat").alias("iva"),
         F.lit(0.0).alias("iva_comision"),
-        found_or_blank(raw, FOLIO).alias("folio"),
-        text("").alias("nombre_ordenante"),
-        text("").alias("nombre_beneficiario"),
-        text("").alias("rfc_ordenante"),
-        rest_of_line(raw, STATUS, "exitosa").alias("estatus"),
-        rest_of_line(raw, OPERATION).alias("tipo_operacion"),
-        both["net"].alias("importe_transferido"),
-        both["total"].alias("importe_total"),
-        text("MX").alias("pais"),
+        kept("__folio").alias("folio"),
+        F.lit("").alias("nombre_ordenante"),
+        F.lit("").alias("nombre_beneficiario"),
+        F.lit("").alias("rfc_ordenante"),
+        kept("__status", "exitosa").alias("estatus"),
+        kept("__operation").alias("tipo_operacion"),
+        F.col("__both.net").alias("importe_transferido"),
+        F.col("__both.total").alias("importe_total"),
+        F.lit("MX").alias("pais"),
     )
-    return F.struct(
-        text("2.0").alias("schema_version"),
+    record = F.struct(
+        F.lit("2.0").alias("schema_version"),
         _as_col(image_id).alias("id"),
-        F.coalesce(blank(get["banco"]), text("DESCONOCIDO")).alias("banco_emisor"),
-        text("").alias("banco_receptor"),
-        F.coalesce(_nonzero(amount), rescued, F.lit(0.0)).alias("monto"),
-        text("MXN").alias("moneda"),
+        F.coalesce(blank(get["banco"]), F.lit("DESCONOCIDO")).alias("banco_emisor"),
+        F.lit("").alias("banco_receptor"),
+        F.coalesce(_nonzero(F.col("__amount")), "__rescued", F.lit(0.0)).alias("monto"),
+        F.lit("MXN").alias("moneda"),
         _field(get["fecha"]).alias("fecha"),
         hour_of(get["hora"], get["fecha"], narrow).alias("hora"),
         number.alias("numero_comprobante"),
         found_or_blank(narrow, REFERENCE_NUMBER).alias("numero_referencia"),
-        rest_of_line(narrow, MOTIVE).alias("motivo"),
-        masked_account(narrow, 0).alias("clabe_emisor_mascara"),
-        masked_account(narrow, 1).alias("clabe_receptor_mascara"),
-        text("spei_recibido").alias("tipo"),
-        text("screenshot_movil").alias("formato_origen"),
-        text("buena").alias("calidad"),
-        text("").alias("notas"),
+        kept("__motive").alias("motivo"),
+        mask(0).alias("clabe_emisor_mascara"),
+        mask(1).alias("clabe_receptor_mascara"),
+        F.lit("spei_recibido").alias("tipo"),
+        F.lit("screenshot_movil").alias("formato_origen"),
+        F.lit("buena").alias("calidad"),
+        F.lit("").alias("notas"),
         extended.alias("extended"),
     )
+    return staged.select(*df.columns, record.alias(into))
 
 
 def assembled_text(*values) -> Column:

@@ -102,15 +102,18 @@ def attach_first(
     """Add struct column ``into``: the smallest ``order`` tuple among the rows of each key.
 
     ``where`` limits which rows may be the first one; keys without such a row get null. Keys
-    held by one row need no lookup, so only repeated keys enter the join.
+    held by one row need no lookup, so only repeated keys enter the join; their list is stored
+    once, and its largest group decides how the join has to be made.
     """
     own = F.struct(*order)
     eligible = own if where is None else F.when(where, own)
     firsts = rows.groupBy(*keys).agg(
         F.min(eligible).alias(into), F.count(F.lit(1)).alias("n")
     )
+    repeated = spool(firsts.filter("n > 1"))
     found = lookup(
-        rows, firsts.filter("n > 1"), keys, [into], spread=spread, hot_rows=hot_rows
+        rows, repeated, keys, [into],
+        spread=spread, hot_rows=hot_rows, largest=largest_size(repeated),
     )
     return found.withColumn(into, F.coalesce(into, eligible))
 

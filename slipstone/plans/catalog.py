@@ -745,8 +745,10 @@ FROM s""")
 def _(spark, d):
     fields = {k: F.col(k) for k in
               ("monto", "importe_base", "fecha", "hora", "referencia", "numero_operacion", "banco")}
-    record = extract.truth_record(F.col("id_comprobante").cast("string"), "doc_text", fields)
-    return _slip(spark, d).select(record.alias("g")).select(
+    records = extract.truth_records(
+        _slip(spark, d), F.col("id_comprobante").cast("string"), "doc_text", fields, "g"
+    )
+    return records.select(
         "g.id", "g.banco_emisor", "g.monto", "g.fecha", "g.hora", "g.numero_comprobante",
         "g.numero_referencia", "g.motivo", "g.extended.concepto", "g.extended.estatus",
         "g.extended.comision", "g.extended.importe_transferido", "g.extended.importe_total",
