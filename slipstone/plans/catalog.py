@@ -14,21 +14,11 @@ from pyspark.sql import functions as F
 
 from ..config import ScoringConfig
 from ..functions import amounts, banks, dates, documents, extract, metrics, similarity, text
-from ..operators import (
-    audit,
-    cascade as flow,
-    evaluation,
-    layers,
-    pairs as pairset,
-    reports,
-    store,
-    textpairs,
-    workflow,
-)
-from ..session import shared_dir, spool
+from ..operators import evaluation, store, textpairs
+from ..session import shared_dir
 from ..sources import readers, writers
 from .fixtures import duck, table, view
-from .oracle_parts import CLASS, best_ctes, cosine_ctes, indel, s_fecha, s_monto, scored_ctes
+from .oracle_parts import CLASS, cosine_ctes, indel, s_fecha, s_monto
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -711,14 +701,17 @@ def amount_sql(x: str) -> tuple[str, str]:
 
 
 _NET, _TOTAL = amount_sql("doc_text")
-_simple_extract(
-    "f34_amounts",
-    lambda: [
-        extract.net_amount("importe_base", "monto", F.col("doc_text")).alias("importe_transferido"),
-        extract.total_amount("importe_base", "monto", F.col("doc_text")).alias("importe_total"),
-    ],
-    f"{_NET} AS importe_transferido, {_TOTAL} AS importe_total",
-)
+
+
+@query("f34_amounts", f"""
+SELECT id_comprobante, {_NET} AS importe_transferido, {_TOTAL} AS importe_total FROM {duck('v_slips')} s""")
+def _(spark, d):
+    both = extract.both_amounts("importe_base", "monto", F.col("doc_text"))
+    return _slip(spark, d).select("id_comprobante", both.alias("b")).select(
+        "id_comprobante", F.col("b.net").alias("importe_transferido"),
+        F.col("b.total").alias("importe_total"),
+    )
+
 
 RAW_TEXT = "concat(doc_text, ' ', concat_ws(' ', monto, importe_base, fecha, hora, referencia, numero_operacion, banco))"
 NARROW = "concat(doc_text, ' ', coalesce(referencia, ''))"

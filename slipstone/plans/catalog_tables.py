@@ -17,7 +17,7 @@ from ..operators import (
     store,
     workflow,
 )
-from ..session import shared_dir, spool
+from ..session import shared_dir
 from ..streaming import intake
 from .catalog import (
     ACC_MATCH, AS_OF, CLEAN, REF_SQL, RESPELL, UPLOAD_AS_OF, _accuracy, bank_ctes,
