@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_spools: dict[str, SparkSession] = {}
+_own_folders: list[str] = []
+
 
 def get_spark(app: str = "slipstone", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect (UTC, AQE with skew handling)."""
@@ -27,22 +32,65 @@ def get_spark(app: str = "slipstone", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is set only where none is configured."""
+    """The cluster's checkpoint folder.
+
+    Where none is configured a temporary one serves a local master only: on a cluster every
+    executor would write to a disk of its own, so that is an error.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="slipstone-")
+        _own_folders.append(current)
         spark.sparkContext.setCheckpointDir(current)
-    return current
+    return current.rstrip("/")
+
+
+def spool_path(spark: SparkSession, kind: str = "spool") -> str:
+    """A new path in the shared folder, owned by the session until ``drop_spools``."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _spools[path] = spark
+    return path
 
 
 def spool(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage so that later passes reread a narrow columnar table instead of recomputing,
-    survives lost executors, and gives the optimizer real sizes for its join choices.
+    survives lost executors, and gives the optimizer real sizes for its join choices. The
+    table lives until ``drop_spools`` or the end of the process.
     """
-    path = f"{shared_dir(df.sparkSession)}/spool-{uuid.uuid4().hex}"
+    path = spool_path(df.sparkSession)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def drop_spools(spark: SparkSession) -> int:
+    """Delete every spool of the process; call it once a query's result has been written."""
+    gone = list(_spools)
+    for path in gone:
+        _remove(spark, path)
+        _spools.pop(path, None)
+    return len(gone)
+
+
+def _at_exit() -> None:
+    for path, spark in list(_spools.items()):
+        try:
+            _remove(spark, path)
+        except Exception:  # the JVM may be gone already; the cluster's own cleaning is left
+            break
+    for folder in _own_folders:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+atexit.register(_at_exit)
