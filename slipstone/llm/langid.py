@@ -38,7 +38,9 @@ class TrainingPlan:
     batch: int = 64
     rate: float = 8.0
     calibration_share: float = 0.25
-    false_reject: float = 0.0005
+    false_reject: float = 0.0001
+    #: a score above this multiple of chance is never rejected, so short clean texts stay
+    chance_factor: float = 1.5
     seed: int = 13
 
 
@@ -86,7 +88,7 @@ class LanguageModel:
     reject_below: float
 
     def logits(self, text: str) -> np.ndarray:
-        data = text.encode("utf-8", "surrogatepass")
+        data = text.lower().encode("utf-8", "surrogatepass")
         total, count = np.zeros(len(self.languages)), 0
         for start in range(0, len(data), _STEP):
             ids = bucket_ids(data[start : start + _STEP])
@@ -161,14 +163,15 @@ def train(rows: list[tuple[str, list[bytes]]], plan: TrainingPlan) -> LanguageMo
         model.temperature = _temperature(scores, labels)
         odds = _softmax(scores / model.temperature).max(axis=1)
         # at most this share of the labelled pieces kept out of training may be refused
-        model.reject_below = float(np.quantile(odds, plan.false_reject))
+        quantile = float(np.quantile(odds, plan.false_reject))
+        model.reject_below = min(quantile, plan.chance_factor / len(languages))
     return model
 
 
 def _pieces(plan: TrainingPlan):
     """Evenly spread byte pieces of each sampled text, of several lengths, so short texts fit in."""
     def cut(text: str, seed: int) -> list[bytes]:
-        data = text.encode("utf-8", "surrogatepass")
+        data = text.lower().encode("utf-8", "surrogatepass")
         draw = np.random.default_rng(seed % 2**63)
         found = []
         for at in range(plan.pieces):
