@@ -16,11 +16,19 @@ from slipstone.session import spool
 TARGET = mixing.MixTarget(entropy_share=0.95)
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts, texts without a letter and scores
     under the calibrated bound go. The model learns from the labelled rows of ``docs``."""
-    model = langid.fit(docs)
-    return langid.predict(docs, model, *docs.columns).filter("not rejected").select(*docs.columns)
+    mark = _free("language", docs)
+    judged = langid.predict(docs, langid.fit(docs), mark)
+    return judged.filter(~F.col(f"{mark}.rejected")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +38,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture uses it, at least once; shares of the sources
-    follow the target weights. A row per use, with the columns of documents."""
-    sized = docs.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"))
-    uses = mixing.mixture(sized, TARGET).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("uses"))
-    same = docs["doc_id"].eqNullSafe(uses["doc_id"]) & docs["source"].eqNullSafe(uses["source"])
-    rows = docs.join(uses, same).select(
-        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))).alias("use__")
+    """Every document as often as the mixture uses it, at least once; token shares of the
+    sources follow the target weights. A row per use, with the columns of documents. Rows that
+    repeat doc_id, source and length are used equally often."""
+    tokens = mixing.token_count(F.col("text"))
+    sized = docs.select("doc_id", "source", tokens.alias("n_tokens"))
+    uses = mixing.mixture(sized, TARGET).groupBy("doc_id", "source", "n_tokens").agg(
+        F.countDistinct("epoch").cast("int").alias("uses")
+    )
+    mark, number = _free("tokens", docs), _free("use", docs)
+    rows = docs.withColumn(mark, tokens)
+    same = (
+        rows["doc_id"].eqNullSafe(uses["doc_id"]) & rows["source"].eqNullSafe(uses["source"])
+        & (rows[mark] == uses["n_tokens"])
+    )
+    used = rows.join(uses, same).select(
+        *[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), uses["uses"])).alias(number)
     )
-    return rows.select(*docs.columns)
+    return used.select(*docs.columns)
 
 
 def piece_samples(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

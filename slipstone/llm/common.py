@@ -74,3 +74,12 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     for offset in range(size):
         runs = mix64(runs * _STEP + words[offset : offset + len(runs)])
     return np.unique(runs)
+
+
+def shared_files(folder: str):
+    """(file system, path) of a shared folder for use inside tasks; the folder is made."""
+    from pyarrow import fs
+
+    files, base = fs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+    return files, base

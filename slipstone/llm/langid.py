@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -219,31 +219,32 @@ def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, *carry: str) -> DataFrame:
-    """The ``carry`` columns with lang_pred, score and rejected, from whole texts alone.
+def guess(spark: SparkSession, model: LanguageModel | None, text: str = "text") -> Column:
+    """Struct column (lang_pred, score, rejected) of a text column, from whole texts alone.
 
     Texts that are null or hold no letter get ``und``, score 0 and are rejected; so does every
     text where no language was learned. ``rejected`` also marks scores below the calibrated
-    bound. Ties go to the first language in alphabetical order. Empty tables give no rows.
+    bound. Ties go to the first language in alphabetical order. The model (buckets x languages
+    numbers) is broadcast; other columns of a row stay untouched on the JVM's side.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in carry if c not in ("lang_pred", "score", "rejected")]
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def judge(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
         own = shared.value
-        for batch in batches:
-            guesses = [
-                own.predict(text) if letters and own else (UNKNOWN, 0.0)
-                for text, letters in zip(batch["text__"], batch["letters__"], strict=True)
-            ]
-            out = batch[kept].copy()
-            out["lang_pred"] = [g[0] for g in guesses]
-            out["score"] = np.array([g[1] for g in guesses], dtype=np.float64)
-            out["rejected"] = [
-                g[0] == UNKNOWN or g[1] < own.reject_below for g in guesses
-            ]
-            yield out
-
-    rows = docs.select(*kept, F.col("text").alias("text__"), has_letter("text").alias("letters__"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    return rows.mapInPandas(run, ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"]))
+        found = [
+            own.predict(t) if has and own else (UNKNOWN, 0.0)
+            for t, has in zip(texts, letters, strict=True)
+        ]
+        return pd.DataFrame({
+            "lang_pred": [f[0] for f in found],
+            "score": [f[1] for f in found],
+            "rejected": [f[0] == UNKNOWN or f[1] < own.reject_below for f in found],
+        })
+
+    return judge(F.col(text), has_letter(text))
+
+
+def predict(docs: DataFrame, model: LanguageModel | None, into: str = "language") -> DataFrame:
+    """``docs`` with the struct of ``guess`` as column ``into``; an empty table stays empty."""
+    return docs.withColumn(into, guess(docs.sparkSession, model))

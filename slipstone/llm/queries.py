@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, pieces, urls
+from . import bm25, langid, mixing, neardup, pieces, spotsigs, tokenfiles, toolcalls, triecounts, urls
 from .common import table
 
 #: fixed values: the rules that the URL query is asked to apply (verdict, host, path)
@@ -18,8 +18,10 @@ URL_RULES = [
 ]
 #: even out the sources until the mixture has this share of the highest possible entropy
 MIX = mixing.MixTarget(entropy_share=0.995)
+WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
+TOP = 10
 
 
 def _held_out(doc_id: str) -> F.Column:
@@ -29,16 +31,35 @@ def _held_out(doc_id: str) -> F.Column:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.fit(docs.filter(~_held_out("doc_id")))
-    plain = docs.select("doc_id", "text")
-    return langid.predict(plain, model, "doc_id").select(
-        "doc_id", _held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected"
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", _held_out("doc_id").alias("held_out"), "language.*"
     )
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return tokenfiles.token_files(docs, public_tokenizers.path(WORD_TOKENIZER))
+
+
+def op3_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    queries = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "text")
+    return bm25.top_k(docs, queries, TOP)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return triecounts.token_counts(docs, public_tokenizers.path(PIECE_MODEL))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, carry=("page_id",))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_neighbours(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_piece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return pieces.sample_encodings(docs, public_tokenizers.path(PIECE_MODEL), samples=SAMPLES)
@@ -51,15 +72,26 @@ def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(docs, MIX)
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    calls, results = toolcalls.calls_of(turns)
+    return toolcalls.link_calls(calls, results, toolcalls.CHAT_TOOLS)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=2)
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_token_files": op2_token_files,
+    "op3_bm25_top_k": op3_bm25_top_k,
+    "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
+    "op6_spotsigs": op6_spotsigs,
     "op7_piece_samples": op7_piece_samples,
     "op8_temperature_mix": op8_temperature_mix,
+    "op9_tool_calls": op9_tool_calls,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
