@@ -6,15 +6,17 @@ still holds more documents than ``node_limit`` picks further coordinates by hash
 and branches again. Small nodes are compared exhaustively on sketches, candidates are confirmed
 on the full shingle sets, and independent trees repeat the walk until the target recall holds.
 
-Equal sets are one vertex from the start, so exact copies cost nothing. Inside a large node
-whose members mostly resemble one pivot, comparing each member with the pivot already joins them
-into one component; only the others are compared with the whole node, in tiles. Nothing is
-capped: a node that stays large at the last depth is compared in tiles as well.
+Equal sets are one vertex from the start, so exact copies cost nothing. Links only matter until
+their ends are in one component, so the comparing runs twice: the first pass takes a spanning
+forest of each small node and, in nodes that branching can't split because most members resemble
+each other, one pivot's pairs; confirmed links make components. The second pass takes every
+remaining candidate between different components, large nodes in tiles. Nothing is capped.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,11 +30,11 @@ from .components import components
 COORDS = 64
 NODE_LIMIT = 48
 BRANCHES = 2
-DEPTH = 8
+DEPTH = 6
 #: sketch agreement that sends a pair to the exact check: four standard deviations under 0.8
 ASK = 0.6
-#: sketch agreement with the pivot above which a member counts as joined to it
-JOINED = 0.9
+#: a node with this share of members like its pivot is not branched any more
+DENSE_SHARE, DENSE_AGREE = 0.3, 0.7
 _TILE = 64
 
 
@@ -119,14 +121,28 @@ def _child_keys(parent: Column | None, sig: Column, trees: int) -> Column:
     return F.array(*picks)
 
 
-def _agree(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left == right).mean(axis=-1)
+def _forest(pairs: tuple[np.ndarray, np.ndarray], strength: np.ndarray, n: int) -> list[int]:
+    """Positions of a spanning forest of the pairs, strongest first."""
+    parent, kept = list(range(n)), []
 
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
 
-def _compare(frame: DataFrame, similarity: float) -> DataFrame:
-    """Sketch comparison inside groups of bounded size: members (id, n, sketch, ask).
+    for at in np.argsort(-strength, kind="stable").tolist():
+        a, b = root(int(pairs[0][at])), root(int(pairs[1][at]))
+        if a != b:
+            parent[a] = b
+            kept.append(at)
+    return kept
 
-    Pairs without an asking member are skipped; what passes has a chance to be similar.
+
+def _compare(frame: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """Sketch comparison inside groups of bounded size: members (id, n, sketch, part, ask).
+
+    Pairs of one part (component) and pairs without an asking member are skipped; what passes
+    has a chance to be similar. ``forest`` keeps a spanning forest of these pairs only.
     """
 
     def run(batches):
@@ -135,56 +151,70 @@ def _compare(frame: DataFrame, similarity: float) -> DataFrame:
             for members in batch["members"]:
                 ids = np.array([m["id"] for m in members], dtype=np.int64)
                 sizes = np.array([m["n"] for m in members], dtype=np.int64)
+                part = np.array([m["part"] for m in members], dtype=np.int64)
+                if (part == part[0]).all():
+                    continue
                 asks = np.array([m["ask"] for m in members], dtype=bool)
                 sketch = np.frombuffer(
                     b"".join(bytes(m["sketch"]) for m in members), dtype=np.uint8
                 ).reshape(len(ids), COORDS)
-                for i in range(len(ids) - 1):
-                    rest = slice(i + 1, None)
-                    near = (
-                        (np.minimum(sizes[i], sizes[rest]) >= similarity * np.maximum(sizes[i], sizes[rest]))
-                        & (asks[i] | asks[rest])
-                        & (_agree(sketch[i], sketch[rest]) >= ASK)
-                        & (ids[i] != ids[rest])
-                    )
-                    hits = ids[rest][near]
-                    out_a.append(np.minimum(ids[i], hits))
-                    out_b.append(np.maximum(ids[i], hits))
+                i, j = np.triu_indices(len(ids), 1)
+                low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+                near = (low >= similarity * high) & (asks[i] | asks[j]) & (part[i] != part[j]) & (ids[i] != ids[j])
+                i, j = i[near], j[near]
+                agree = (sketch[i] == sketch[j]).mean(axis=1) if len(i) else np.zeros(0)
+                i, j, agree = i[agree >= ASK], j[agree >= ASK], agree[agree >= ASK]
+                if forest:
+                    kept = _forest((i, j), agree, len(ids))
+                    i, j = i[kept], j[kept]
+                out_a.append(np.minimum(ids[i], ids[j]))
+                out_b.append(np.maximum(ids[i], ids[j]))
             yield pd.DataFrame({
                 "a": np.concatenate(out_a) if out_a else np.zeros(0, dtype=np.int64),
                 "b": np.concatenate(out_b) if out_b else np.zeros(0, dtype=np.int64),
-            })
+            }).drop_duplicates()
 
     return frame.select("members").mapInPandas(run, "a long, b long")
 
 
 def _with_sketch(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    return rows.join(nodes.select("id", "n", "sketch"), "id")
+    return rows.join(nodes.select("id", "n", "sketch", "part"), "id")
 
 
 def _members(*extra: Column) -> Column:
-    return F.collect_list(F.struct("id", "n", "sketch", *extra)).alias("members")
+    return F.collect_list(F.struct("id", "n", "sketch", "part", *extra)).alias("members")
 
 
-def _small(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Every pair of each small node."""
+def _small(rows: DataFrame, nodes: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """The pairs of each small node (key, id), whose size is bounded."""
     together = _with_sketch(rows, nodes).groupBy("key").agg(_members(F.lit(True).alias("ask")))
-    return _compare(together, similarity)
+    return _compare(together, similarity, forest)
 
 
-def _pivoted(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of large nodes with their agreement to the node's pivot (a member by hash)."""
-    first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("p"))
-    pivots = first.select("key", F.col("p.id").alias("id")).join(
-        nodes.select("id", "n", "sketch"), "id"
-    ).select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch"))
-    joined = _with_sketch(rows, nodes).join(pivots, "key")
+def _against(rows: DataFrame, pivots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (key, id) with their agreement to the pivot (key, pivot) of their node."""
+    own = nodes.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch"))
+    joined = rows.join(nodes.select("id", "n", "sketch"), "id").join(pivots.join(own, "pivot"), "key")
     same = F.lit(0)
     for at in range(0, COORDS, 8):
         same = same + _same_bytes(F.substring("sketch", at + 1, 8), F.substring("psketch", at + 1, 8))
     return joined.select("key", "id", "n", "pivot", "pn", (same / F.lit(COORDS)).alias("agree"))
 
 
+def _pivoted(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of large nodes against two pivots: one by hash, and the member most like it.
+
+    Copies of one text are nearer to that text than to each other, so the second pivot lies
+    nearer to the middle of a group.
+    """
+    first = rows.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
+    met = spool(_against(rows, first, nodes))
+    nearest = met.groupBy("key").agg(
+        F.max_by("id", F.struct(F.when(F.col("id") != F.col("pivot"), F.col("agree")), "id")).alias("pivot")
+    )
+    return met, spool(_against(rows, nearest, nodes))
+
+
 def _same_bytes(left: Column, right: Column) -> Column:
     """How many of eight bytes are equal: zero bytes of the difference."""
     number = lambda c: F.conv(F.hex(c), 16, -10).cast("long")
@@ -195,70 +225,71 @@ def _same_bytes(left: Column, right: Column) -> Column:
     return total
 
 
-def _tiles(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Asking members of a node against all its members, in tiles of bounded size.
+def _tiles(dense: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Members of dense nodes outside their pivot's component against the whole node, in tiles.
 
-    ``rows`` carry ``asks``. Askers are dealt into tiles by hash; each tile meets each chunk of
-    the node once, so no task holds a node.
+    ``dense`` has key, id and pivot. These members are dealt into rows of tiles by hash, the
+    whole node into columns; each tile is a group of bounded size, so no task holds a node.
     """
+    parts = nodes.select("id", "part").dropDuplicates(["id"])
+    of_pivot = parts.select(F.col("id").alias("pivot"), F.col("part").alias("home"))
+    rows = dense.join(parts, "id").join(of_pivot, "pivot").select(
+        "key", "id", (F.col("part") != F.col("home")).alias("asks")
+    )
     sizes = rows.groupBy("key").agg(
         F.sum(F.col("asks").cast("long")).alias("askers"), F.count(F.lit(1)).alias("size")
     ).filter("askers > 0").select(
-        "key",
-        F.ceil(F.col("askers") / _TILE).alias("rows"), F.ceil(F.col("size") / _TILE).alias("cols"),
+        "key", F.ceil(F.col("askers") / _TILE).alias("rows"), F.ceil(F.col("size") / _TILE).alias("cols"),
     )
     placed = rows.join(sizes, "key")
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asking = placed.filter("asks").select(
-        "key", "id", F.lit(True).alias("ask"), spot("rows").alias("row"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("col"),
+        "key", "id", F.lit(True).alias("ask"), spot("rows").alias("row"), upto("cols").alias("col")
     )
     asked = placed.select(
-        "key", "id", F.lit(False).alias("ask"), spot("cols").alias("col"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"),
+        "key", "id", F.lit(False).alias("ask"), spot("cols").alias("col"), upto("rows").alias("row")
     ).select("key", "id", "ask", "row", "col")
-    tiles = _with_sketch(asking.select("key", "id", "ask", "row", "col").union(asked), nodes)
-    return _compare(tiles.groupBy("key", "row", "col").agg(_members("ask")), similarity)
+    tiles = _with_sketch(asking.union(asked), nodes)
+    return _compare(tiles.groupBy("key", "row", "col").agg(_members("ask")), similarity, False)
 
 
-def candidates(nodes: DataFrame, similarity: float, recall: float, node_limit: int) -> DataFrame:
-    """Distinct pairs (a < b) that the trees brought together and the sketches let through."""
+def tree_nodes(
+    nodes: DataFrame, similarity: float, recall: float, node_limit: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Walk the trees: small nodes (key, id), dense nodes (key, id, pivot), pivot pairs (a, b)."""
     trees = trees_for(recall, similarity)
-    parts: list[DataFrame] = []
+    small: list[DataFrame] = []
+    dense: list[DataFrame] = []
+    pairs: list[DataFrame] = []
     rows = nodes.select(F.explode(_child_keys(None, F.col("sig"), trees)).alias("key"), "id")
     for depth in range(DEPTH + 1):
         rows = spool(rows)
         counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         sized = spool(rows.join(counts, "key"))
-        parts.append(spool(_small(sized.filter(F.col("size") <= node_limit).select("key", "id"), nodes, similarity)))
+        small.append(sized.filter(F.col("size") <= node_limit).select("key", "id"))
         large = sized.filter(F.col("size") > node_limit).select("key", "id")
         if large.isEmpty():
             break
-        if depth == 0:
-            deeper = large
-        else:
-            met = spool(_pivoted(large, nodes))
-            parts.append(
-                met.filter((F.col("agree") >= ASK) & (F.col("id") != F.col("pivot"))).select(
-                    F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")
-                )
-            )
-            dense = met.groupBy("key").agg(
-                F.avg((F.col("agree") >= JOINED).cast("int")).alias("share")
-            ).filter((F.col("share") >= 0.5) | F.lit(depth == DEPTH))
-            dense = spool(dense.select("key"))
-            stay = met.join(dense, "key").select("key", "id", (F.col("agree") < JOINED).alias("asks"))
-            parts.append(spool(_tiles(stay, nodes, similarity)))
-            deeper = large.join(dense, "key", "left_anti")
-        if depth == DEPTH:
-            break
-        rows = deeper.join(nodes.select("id", "sig"), "id").select(
+        outer, met = _pivoted(large, nodes)
+        pairs.append(outer.union(met).filter(
+            (F.col("agree") >= ASK) & (F.col("id") != F.col("pivot"))
+            & (F.least("n", "pn") >= similarity * F.greatest("n", "pn"))
+        ).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+        stuck = met.groupBy("key").agg(
+            F.avg((F.col("agree") >= DENSE_AGREE).cast("int")).alias("share")
+        ).filter((F.col("share") >= DENSE_SHARE) | F.lit(depth == DEPTH)).select("key")
+        marked = spool(met.select("key", "id", "pivot").join(stuck.withColumn("stuck", F.lit(True)), "key", "left"))
+        dense.append(marked.filter("stuck").select("key", "id", "pivot"))
+        rows = marked.filter("stuck is null").join(nodes.select("id", "sig"), "id").select(
             F.explode(F.array_distinct(_child_keys(F.col("key"), F.col("sig"), trees))).alias("key"), "id"
         )
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    return found.distinct()
+    none = nodes.select(F.lit(0).cast("long").alias("key"), "id", F.col("id").alias("pivot")).limit(0)
+    merged = lambda parts, default: reduce(DataFrame.union, parts) if parts else default
+    return (
+        merged(small, none.select("key", "id")), merged(dense, none),
+        merged(pairs, none.select(F.col("id").alias("a"), F.col("pivot").alias("b"))),
+    )
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -322,11 +353,19 @@ def near_duplicates(
             firsts, (sets["doc_id"] == firsts["id"]) & (sets["fp"] == firsts["fp"]), "left_semi"
         ).select(F.col("doc_id").alias("id"), "n", "sig", "sketch").dropDuplicates(["id", "sig"])
     )
-    pairs = spool(candidates(nodes, similarity, recall, node_limit))
-    links = confirmed(docs, pairs, words, percent)
-    grouped = components(
-        links.union(_repeats(sets.filter(vertex), firsts))
-    )
+    fresh = nodes.withColumn("part", F.col("id"))
+    small, dense, pivots = tree_nodes(fresh, similarity, recall, node_limit)
+    first = spool(_small(small, fresh, similarity, True).union(pivots).distinct())
+    links = spool(confirmed(docs, first, words, percent).union(_repeats(sets.filter(vertex), firsts)))
+    grouped = components(links)
+    parted = spool(nodes.join(grouped.withColumnRenamed("v", "id"), "id", "left").select(
+        "id", "n", "sketch", F.coalesce("component", "id").alias("part")
+    ))
+    rest = _small(small, parted, similarity, False).union(_tiles(dense, parted, similarity)).distinct()
+    second = spool(rest.join(first, ["a", "b"], "left_anti"))
+    found = spool(confirmed(docs, second, words, percent))
+    if not found.isEmpty():
+        grouped = components(links.union(found))
     named = firsts.join(grouped, firsts["id"] == grouped["v"], "left").select(
         "fp", F.coalesce("component", "id").alias("first")
     )

@@ -15,6 +15,7 @@ import os
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -159,6 +160,12 @@ class ChunkEncoder:
         return ids, np.diff(bounds)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
+    """One encoder to a worker process, so its chunks serve all tasks that it runs."""
+    return ChunkEncoder(path)
+
+
 class _Shard:
     """One shard being written; ids are streamed, bounds are kept until it is closed."""
 
@@ -207,7 +214,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = E
     """
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         wide = max(encoder.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         part, number, shard = TaskContext.get().partitionId(), 0, None
         for batch in batches:
