@@ -6,11 +6,12 @@ still holds more documents than ``node_limit`` picks further coordinates by hash
 and branches again. Small nodes are compared exhaustively on sketches, candidates are confirmed
 on the full shingle sets, and independent trees repeat the walk until the target recall holds.
 
-Equal sets are one vertex from the start, so exact copies cost nothing. Links only matter until
-their ends are in one component, so the comparing runs twice: the first pass takes a spanning
-forest of each small node and, in nodes that branching can't split because most members resemble
-each other, one pivot's pairs; confirmed links make components. The second pass takes every
-remaining candidate between different components, large nodes in tiles. Nothing is capped.
+Equal sets are one vertex from the start, so exact copies cost nothing. A node that branching
+can't split because most members resemble each other is compared with two pivots; members that
+the confirmed links leave outside the pivot's component then meet the whole node in tiles.
+Groups of bounded size are confirmed where they are: members with a candidate bring their full
+sets, pairs are tried strongest first, and pairs already joined are skipped, so a group gives a
+spanning forest of its links and no pair list is ever written. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -121,60 +122,96 @@ def _child_keys(parent: Column | None, sig: Column, trees: int) -> Column:
     return F.array(*picks)
 
 
-def _forest(pairs: tuple[np.ndarray, np.ndarray], strength: np.ndarray, n: int) -> list[int]:
-    """Positions of a spanning forest of the pairs, strongest first."""
-    parent, kept = list(range(n)), []
+def _candidates(ids, sizes, part, asks, sketch, similarity: float):
+    """Positions i < j of the pairs of one group that may be similar, and their agreement."""
+    i, j = np.triu_indices(len(ids), 1)
+    low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    near = (low >= similarity * high) & (asks[i] | asks[j]) & (part[i] != part[j]) & (ids[i] != ids[j])
+    i, j = i[near], j[near]
+    agree = (sketch[i] == sketch[j]).mean(axis=1) if len(i) else np.zeros(0)
+    return i[agree >= ASK], j[agree >= ASK], agree[agree >= ASK]
 
-    def root(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = v = parent[parent[v]]
-        return v
-
-    for at in np.argsort(-strength, kind="stable").tolist():
-        a, b = root(int(pairs[0][at])), root(int(pairs[1][at]))
-        if a != b:
-            parent[a] = b
-            kept.append(at)
-    return kept
 
+def _promising(groups: DataFrame, similarity: float) -> DataFrame:
+    """Members (g, id, ask) of bounded groups that have a candidate by size and sketch.
 
-def _compare(frame: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """Sketch comparison inside groups of bounded size: members (id, n, sketch, part, ask).
-
-    Pairs of one part (component) and pairs without an asking member are skipped; what passes
-    has a chance to be similar. ``forest`` keeps a spanning forest of these pairs only.
+    Groups carry members (id, n, sketch, part, ask); pairs of one part (component) and pairs
+    without an asking member are no candidates.
     """
 
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
-            for members in batch["members"]:
-                ids = np.array([m["id"] for m in members], dtype=np.int64)
-                sizes = np.array([m["n"] for m in members], dtype=np.int64)
+            out = []
+            for g, members in zip(batch["g"], batch["members"], strict=True):
                 part = np.array([m["part"] for m in members], dtype=np.int64)
                 if (part == part[0]).all():
                     continue
+                ids = np.array([m["id"] for m in members], dtype=np.int64)
+                sizes = np.array([m["n"] for m in members], dtype=np.int64)
                 asks = np.array([m["ask"] for m in members], dtype=bool)
-                sketch = np.frombuffer(
-                    b"".join(bytes(m["sketch"]) for m in members), dtype=np.uint8
-                ).reshape(len(ids), COORDS)
-                i, j = np.triu_indices(len(ids), 1)
-                low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-                near = (low >= similarity * high) & (asks[i] | asks[j]) & (part[i] != part[j]) & (ids[i] != ids[j])
-                i, j = i[near], j[near]
-                agree = (sketch[i] == sketch[j]).mean(axis=1) if len(i) else np.zeros(0)
-                i, j, agree = i[agree >= ASK], j[agree >= ASK], agree[agree >= ASK]
-                if forest:
-                    kept = _forest((i, j), agree, len(ids))
-                    i, j = i[kept], j[kept]
-                out_a.append(np.minimum(ids[i], ids[j]))
-                out_b.append(np.maximum(ids[i], ids[j]))
+                sketch = np.frombuffer(b"".join(bytes(m["sketch"]) for m in members), dtype=np.uint8).reshape(-1, COORDS)
+                i, j, _ = _candidates(ids, sizes, part, asks, sketch, similarity)
+                if len(i):
+                    some = np.unique(np.concatenate((i, j)))
+                    out.append((np.full(len(some), g), ids[some], asks[some]))
             yield pd.DataFrame({
-                "a": np.concatenate(out_a) if out_a else np.zeros(0, dtype=np.int64),
-                "b": np.concatenate(out_b) if out_b else np.zeros(0, dtype=np.int64),
-            }).drop_duplicates()
+                "g": np.concatenate([o[0] for o in out]) if out else np.zeros(0, dtype=np.int64),
+                "id": np.concatenate([o[1] for o in out]) if out else np.zeros(0, dtype=np.int64),
+                "ask": np.concatenate([o[2] for o in out]) if out else np.zeros(0, dtype=bool),
+            })
+
+    return groups.select("g", "members").mapInPandas(run, "g long, id long, ask boolean")
+
 
-    return frame.select("members").mapInPandas(run, "a long, b long")
+def _links_of(rows: list[tuple], percent: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the true links of one group (id, n, sketch, part, ask, members)."""
+    ids, sizes, part = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 3))
+    asks = np.array([r[4] for r in rows], dtype=bool)
+    sketch = np.frombuffer(b"".join(bytes(r[2]) for r in rows), dtype=np.uint8).reshape(-1, COORDS)
+    sets = [np.frombuffer(bytes(r[5]), dtype=np.uint64) for r in rows]
+    i, j, agree = _candidates(ids, sizes, part, asks, sketch, similarity)
+    above = {int(p): int(p) for p in part}
+
+    def root(v: int) -> int:
+        while above[v] != v:
+            above[v] = v = above[above[v]]
+        return v
+
+    found = []
+    for at in np.argsort(-agree, kind="stable").tolist():
+        x, y = int(i[at]), int(j[at])
+        a, b = root(int(part[x])), root(int(part[y]))
+        if a == b:
+            continue
+        small, big = sorted((sets[x], sets[y]), key=len)
+        spots = np.searchsorted(big, small)
+        shared = int((big[np.minimum(spots, len(big) - 1)] == small).sum())
+        if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+            above[max(a, b)] = min(a, b)
+            found.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+    return found
+
+
+def _confirm_groups(promising: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside bounded groups, confirmed on full sets; groups stream by their key."""
+    full = promising.join(nodes.select("id", "n", "sketch", "part"), "id").join(sets.select("id", "members"), "id")
+
+    def run(batches):
+        held: list[tuple] = []
+        current, similarity = None, percent / 100
+        for batch in batches:
+            out = []
+            for g, *row in batch[["g", "id", "n", "sketch", "part", "ask", "members"]].itertuples(index=False):
+                if g != current:
+                    if len(held) > 1:
+                        out += _links_of(held, percent, similarity)
+                    held, current = [], g
+                held.append(tuple(row))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        if len(held) > 1:
+            yield pd.DataFrame(_links_of(held, percent, similarity), columns=["a", "b"], dtype=np.int64)
+
+    return full.repartition("g").sortWithinPartitions("g").mapInPandas(run, "a long, b long").distinct()
 
 
 def _with_sketch(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,10 +222,9 @@ def _members(*extra: Column) -> Column:
     return F.collect_list(F.struct("id", "n", "sketch", "part", *extra)).alias("members")
 
 
-def _small(rows: DataFrame, nodes: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """The pairs of each small node (key, id), whose size is bounded."""
-    together = _with_sketch(rows, nodes).groupBy("key").agg(_members(F.lit(True).alias("ask")))
-    return _compare(together, similarity, forest)
+def _small(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members of each small node (key, id) as one group of bounded size."""
+    return _with_sketch(rows, nodes).groupBy(F.col("key").alias("g")).agg(_members(F.lit(True).alias("ask")))
 
 
 def _against(rows: DataFrame, pivots: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -225,7 +261,7 @@ def _same_bytes(left: Column, right: Column) -> Column:
     return total
 
 
-def _tiles(dense: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _tiles(dense: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of dense nodes outside their pivot's component against the whole node, in tiles.
 
     ``dense`` has key, id and pivot. These members are dealt into rows of tiles by hash, the
@@ -251,7 +287,7 @@ def _tiles(dense: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
         "key", "id", F.lit(False).alias("ask"), spot("cols").alias("col"), upto("rows").alias("row")
     ).select("key", "id", "ask", "row", "col")
     tiles = _with_sketch(asking.union(asked), nodes)
-    return _compare(tiles.groupBy("key", "row", "col").agg(_members("ask")), similarity, False)
+    return tiles.groupBy(F.xxhash64("key", "row", "col").alias("g")).agg(_members("ask"))
 
 
 def tree_nodes(
@@ -292,8 +328,8 @@ def tree_nodes(
     )
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, fp and the full shingle set of each text."""
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id, fp and members (sorted 64-bit hashes, packed) of the documents named in ``wanted``."""
 
     def run(batches):
         hasher = WordHasher()
@@ -302,25 +338,12 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame({
                 "id": batch["id"],
                 "fp": [_fingerprint(s) if len(s) else None for s in sets],
-                "members": [s.view(np.int64) for s in sets],
+                "members": [s.tobytes() for s in sets],
             })
 
-    return docs.mapInPandas(run, "id long, fp binary, members array<long>")
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets share at least ``percent`` of their union, in whole numbers."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = spool(_sets(texts, words).filter("fp is not null").dropDuplicates(["id", "fp"]))
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = both.select(
-        "a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("shared"),
-        (F.size("left") + F.size("right")).cast("long").alias("total"),
-    )
-    return shared.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.select("id").distinct(), "id", "left_semi")
+    made = texts.mapInPandas(run, "id long, fp binary, members binary")
+    return made.filter("fp is not null").dropDuplicates(["id", "fp"])
 
 
 def near_duplicates(
@@ -353,19 +376,22 @@ def near_duplicates(
             firsts, (sets["doc_id"] == firsts["id"]) & (sets["fp"] == firsts["fp"]), "left_semi"
         ).select(F.col("doc_id").alias("id"), "n", "sig", "sketch").dropDuplicates(["id", "sig"])
     )
-    fresh = nodes.withColumn("part", F.col("id"))
-    small, dense, pivots = tree_nodes(fresh, similarity, recall, node_limit)
-    first = spool(_small(small, fresh, similarity, True).union(pivots).distinct())
-    links = spool(confirmed(docs, first, words, percent).union(_repeats(sets.filter(vertex), firsts)))
-    grouped = components(links)
-    parted = spool(nodes.join(grouped.withColumnRenamed("v", "id"), "id", "left").select(
-        "id", "n", "sketch", F.coalesce("component", "id").alias("part")
-    ))
-    rest = _small(small, parted, similarity, False).union(_tiles(dense, parted, similarity)).distinct()
-    second = spool(rest.join(first, ["a", "b"], "left_anti"))
-    found = spool(confirmed(docs, second, words, percent))
-    if not found.isEmpty():
-        grouped = components(links.union(found))
+    own = nodes.withColumn("part", F.col("id"))
+    small, dense, pivots = tree_nodes(own, similarity, recall, node_limit)
+    # pivot pairs: each is a group of two, the node's pivot asks
+    paired = pivots.distinct().select(F.xxhash64("a", "b").alias("g"), "a", "b")
+    starred = paired.select("g", F.col("a").alias("id")).union(paired.select("g", F.col("b").alias("id")))
+    starred = spool(starred.withColumn("ask", F.lit(True)))
+    sets_of = spool(full_sets(docs, starred, words))
+    links = spool(_confirm_groups(starred, own, sets_of, percent).union(_repeats(sets.filter(vertex), firsts)))
+    parted = spool(own.drop("part").join(
+        components(links).withColumnRenamed("v", "id"), "id", "left"
+    ).select("id", "n", "sketch", F.coalesce("component", "id").alias("part")))
+    groups = _small(small, parted).union(_tiles(dense, parted))
+    promising = spool(_promising(groups, similarity))
+    more = full_sets(docs, promising.select("id").distinct().join(sets_of.select("id"), "id", "left_anti"), words)
+    found = _confirm_groups(promising, parted, spool(sets_of.union(more)), percent)
+    grouped = components(links.union(found))
     named = firsts.join(grouped, firsts["id"] == grouped["v"], "left").select(
         "fp", F.coalesce("component", "id").alias("first")
     )
