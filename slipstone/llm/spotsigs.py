@@ -90,12 +90,9 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     Only narrow rows are ordered; texts move once by their own key and their heads once more to
     the document before, as plain keyed joins.
     """
-    base = with_signatures(
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")),
-        "text", "sigs",
-    )
-    narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("h"), F.floor(F.length("text") / 2).cast("int").alias("half")
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    narrow = base.select(
+        "doc_id", "h", F.floor(F.length("text") / 2).cast("int").alias("half")
     ).distinct()
     order = spool(ranked(narrow, ["doc_id", "h"]))
     count = order.count()
@@ -106,15 +103,15 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("b_doc"), F.col("h").alias("b_h"),
         F.when(F.col("rank") == 1, F.lit(count)).otherwise(F.col("rank") - 1).alias("r"),
     ).join(before, "r").drop("r")
-    heads = base.join(
-        links, base["doc_id"].eqNullSafe(links["b_doc"]) & (base["h"] == links["b_h"])
-    ).select(
+    # signatures are made on either side of the one text shuffle, so they don't travel with it
+    following = base.join(links, base["doc_id"].eqNullSafe(links["b_doc"]) & (base["h"] == links["b_h"]))
+    heads = with_signatures(following, "text", "sigs").select(
         "a_doc", "a_h", F.left(F.col("text"), F.col("half")).alias("head"), F.col("sigs").alias("next_sigs")
     ).repartition("a_doc", "a_h").dropDuplicates(["a_doc", "a_h"])
     both = base.join(heads, base["doc_id"].eqNullSafe(heads["a_doc"]) & (base["h"] == heads["a_h"]))
     n_chars = F.length("text").cast("long")
     kept = F.left(F.col("text"), (F.length("text") - F.floor(F.length("text") / 2)).cast("int"))
-    edited = both.select(
+    edited = with_signatures(both, "text", "sigs").select(
         "doc_id", n_chars.alias("n_chars"), F.concat(kept, F.col("head")).alias("edited"), "sigs", "next_sigs"
     )
     return with_signatures(edited, "edited", "edited_sigs").select(
