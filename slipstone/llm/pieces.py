@@ -28,7 +28,7 @@ from .common import mix64
 #: runs without a space are cut into parts of this many characters, at which pieces end
 LONGEST_WORD = 256
 #: states of words that a worker keeps between calls
-MAX_STATES = 1_200_000
+MAX_STATES = 1_600_000
 _WORDS_AT_ONCE = 150_000
 _END = 0
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
@@ -215,24 +215,22 @@ class Chain:
 
     def starts(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Start states of the units of each text; valid until the next call."""
-        kept = self.kept
-        new = list({u for units_ in texts for u in units_ if u not in kept})
-        passing: dict[str, int] = {}
+        kept, sizes = self.kept, [len(own) for own in texts]
+        flat = [unit for own in texts for unit in own]
+        numbers = list(map(kept.get, flat))
         self.first[self.states] = self.all_edges = self.edges
         self.all_states = self.states
-        if new:
+        if None in numbers:
+            new = list({unit for unit, number in zip(flat, numbers, strict=True) if number is None})
             built = dict(zip(new, self._build(new).tolist(), strict=True))
+            numbers = [
+                built[unit] if number is None else number for unit, number in zip(flat, numbers, strict=True)
+            ]
             if self.states <= MAX_STATES:
                 kept.update(built)
                 self.states += sum(map(len, new))
                 self.edges = self.all_edges
-            else:
-                passing = built
-        if not passing:
-            return [np.array([kept[u] for u in units_], dtype=np.int64) for units_ in texts]
-        return [
-            np.array([kept[u] if u in kept else passing[u] for u in units_], dtype=np.int64) for units_ in texts
-        ]
+        return np.split(np.array(numbers, dtype=np.int64), np.cumsum(sizes)[:-1]) if texts else []
 
 
 def units(text: str) -> list[str]:
