@@ -12,6 +12,18 @@ def _as_col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+#: fixed value: the characters that count as white space at the ends of a text
+WHITESPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(value) -> Column:
+    """White space of any kind removed from both ends (``trim`` alone removes spaces only)."""
+    return F.btrim(_as_col(value), F.lit(WHITESPACE))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -30,16 +42,16 @@ def parse_amount(raw) -> Column:
 
 def parse_amount_signed(raw) -> Column:
     """Ground-truth amount: currency words and commas dropped, sign kept."""
-    text = F.trim(_as_col(raw).cast("string"))
+    text = strip(_as_col(raw).cast("string"))
     for token in ("$", "MXN", "MN", "USD", ","):
         text = F.replace(text, F.lit(token), F.lit(""))
-    return F.trim(text).try_cast("decimal(20,6)")
+    return strip(text).try_cast("decimal(20,6)")
 
 
 def lenient_or_null(raw) -> Column:
     """Amount as double from loose text; missing -> null, unreadable -> 0.0."""
-    text = F.trim(F.regexp_replace(F.trim(_as_col(raw).cast("string")), r"\s*[A-Z]{2,3}$", ""))
-    text = F.trim(F.regexp_replace(text, "[$¢]", ""))
+    text = strip(F.regexp_replace(strip(_as_col(raw).cast("string")), r"\s*[A-Z]{2,3}$", ""))
+    text = strip(F.regexp_replace(text, "[$¢]", ""))
 
     def ungrouped(t: Column) -> Column:
         european = t.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$")

@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .amounts import _as_col, let
+from .amounts import _as_col, let, strip
 
-_TIME = r"[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[AaPp][Mm])?$"
+_TIME = r"[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[AaPp][Mm])?\s*(Z|[+-]\d{2}:?\d{2})?$"
 _ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
 _NUMERIC = r"^(\d{1,2})[/.\- ](\d{1,2})[/.\- ](\d{4}|\d{2})$"
 _DAY_MONTH = r"^(\d{1,2})[/.\- ]+([A-Za-z]{3,9})\.?[/.\-, ]+(\d{4}|\d{2})$"
@@ -16,8 +16,14 @@ _MONTH_DAY = r"^([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})$"
 
 
 def _ymd(year: Column, month: Column, day: Column) -> Column:
-    """A date from text parts, null when no such day exists."""
-    full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    """A date from text parts, null when no such day exists.
+
+    Two-digit years lie within 50 years of today, so ``99`` is 1999.
+    """
+    this_year = F.year(F.current_date())
+    ahead = year.try_cast("int") + 2000 >= this_year + 50
+    century = F.when(ahead, F.lit("19")).otherwise(F.lit("20"))
+    full = F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
     dash = F.lit("-")
     return F.concat(full, dash, F.lpad(month, 2, "0"), dash, F.lpad(day, 2, "0")).try_cast("date")
 
@@ -35,7 +41,7 @@ def parse_date(raw) -> Column:
 
     Only complete dates parse; a time part is dropped; month names are English.
     """
-    cleaned = F.regexp_replace(F.trim(_as_col(raw)), _TIME, "")
+    cleaned = F.regexp_replace(strip(_as_col(raw)), _TIME, "")
     return let(cleaned, _dated)
 
 
@@ -64,7 +70,7 @@ def _dated(text: Column) -> Column:
 
 def parse_truth_date(raw) -> Column:
     """Ground-truth date: ISO prefix, then day/month/year, month/day/year, day-month-year."""
-    text = F.trim(_as_col(raw).cast("string"))
+    text = strip(_as_col(raw).cast("string"))
     head = F.substring(text, 1, 10)
     slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
     dashed = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"

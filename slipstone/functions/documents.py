@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .amounts import _as_col
+from .amounts import _as_col, strip
 
 
 def document_hash(content) -> Column:
@@ -72,9 +72,9 @@ def store_path(hash_documento, ext, year, month) -> Column:
 
 def response_body(response) -> Column:
     """Message content of a model response with Markdown fences removed, null if malformed."""
-    content = F.trim(F.get_json_object(_as_col(response), "$.choices[0].message.content"))
-    lines = F.filter(F.split(content, "\n"), lambda x: ~F.ltrim(x).startswith("```"))
-    unfenced = F.trim(F.array_join(lines, "\n"))
+    content = strip(F.get_json_object(_as_col(response), "$.choices[0].message.content"))
+    lines = F.filter(F.split(content, "\n"), lambda x: ~strip(x).startswith("```"))
+    unfenced = strip(F.array_join(lines, "\n"))
     return F.when(content.startswith("```"), unfenced).otherwise(content)
 
 
@@ -82,9 +82,14 @@ def response_problem(response) -> Column:
     """Error class of a model response, or null: bad_structure, bad_json, not_object."""
     body = response_body(response)
     parsed = F.try_parse_json(body)
+    # the parser stops at the end of the first value; only a body that is one whole value can
+    # also stand inside an array and inside an object
+    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull() & F.try_parse_json(
+        F.concat(F.lit('{"x":'), body, F.lit("}"))
+    ).isNotNull()
     return (
         F.when(body.isNull(), "bad_structure")
-        .when(parsed.isNull(), "bad_json")
+        .when(parsed.isNull() | ~whole, "bad_json")
         .when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not_object")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .amounts import _as_col, lenient_amount, lenient_or_null, let
+from .amounts import _as_col, lenient_amount, lenient_or_null, let, strip
 from .text import joined_values
 
 # --- fixed values: personal-data patterns ---------------------------------------------------
@@ -95,7 +95,7 @@ def found_or_blank(text, pattern: str) -> Column:
 
 
 def rest_of_line(text, pattern: str, default: str = "") -> Column:
-    return F.coalesce(F.trim(found(text, pattern)), F.lit(default))
+    return F.coalesce(strip(found(text, pattern)), F.lit(default))
 
 
 def masked_account(text, position: int) -> Column:
@@ -169,7 +169,7 @@ def truth_records(
     doc, raw, narrow = F.col("__doc"), F.col("__raw"), F.col("__narrow")
 
     def with_doc(tail: Column) -> Column:
-        return F.when(doc != "", F.trim(F.concat(doc, F.lit(" "), tail))).otherwise(tail)
+        return F.when(doc != "", strip(F.concat(doc, F.lit(" "), tail))).otherwise(tail)
 
     def blank(value) -> Column:
         return F.nullif(_as_col(value), F.lit(""))
@@ -191,10 +191,10 @@ def truth_records(
                 "__fee": lenient_amount(found(raw, FEE)),
                 "__vat": lenient_amount(found(raw, VAT)),
                 "__masks": F.regexp_extract_all(narrow, F.lit(MASKED_ACCOUNT)),
-                "__motive": F.trim(found(narrow, MOTIVE)),
-                "__concept": F.trim(found(raw, CONCEPT)),
-                "__status": F.trim(found(raw, STATUS)),
-                "__operation": F.trim(found(raw, OPERATION)),
+                "__motive": strip(found(narrow, MOTIVE)),
+                "__concept": strip(found(raw, CONCEPT)),
+                "__status": strip(found(raw, STATUS)),
+                "__operation": strip(found(raw, OPERATION)),
             }
         )
     )
@@ -204,7 +204,7 @@ def truth_records(
         blank(get["numero_operacion"]),
         F.col("__folio"),
         found(raw, TRANSACTION),
-        F.when(F.trim(reference).rlike(r"^\d+$"), reference),
+        F.when(strip(reference).rlike(r"^\d+$"), reference),
         F.lit(""),
     )
 

@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .amounts import _as_col
+from .amounts import _as_col, strip
 
 
 def blank_to_null(value) -> Column:
@@ -18,28 +18,38 @@ def blank_to_null(value) -> Column:
 def normalize_reference(raw) -> Column:
     """Whitespace runs collapsed, trimmed, upper case; punctuation kept; empty -> null."""
     collapsed = F.regexp_replace(_as_col(raw), r"(?U)\s+", " ")
-    return blank_to_null(F.upper(F.trim(collapsed)))
+    return blank_to_null(F.upper(strip(collapsed)))
 
 
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str]:
-    """Characters whose compatibility decomposition is one ASCII letter or digit, and that one."""
-    source, target = [], []
-    for code in range(0x80, 0x10000):
+def _fold_table() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose into one ASCII letter or digit, that one, and the characters
+    that decompose into several, such as ligatures."""
+    source, target, several = [], [], {}
+    for code in range(0x80, 0x20000):
         if 0xD800 <= code <= 0xDFFF:
             continue
         char = chr(code)
         base = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
-        if len(base) == 1 and base.isalnum():
+        base = "".join(c for c in base if c.isalnum())
+        if len(base) == 1:
             source.append(char)
             target.append(base)
-    return "".join(source), "".join(target)
+        elif base:
+            several[char] = base
+    return "".join(source), "".join(target), several
 
 
 def match_key(raw) -> Column:
     """Lower-case ASCII letters and digits only, accents folded away."""
-    source, target = _fold_table()
-    folded = F.lower(F.translate(_as_col(raw), source, target))
+    source, target, several = _fold_table()
+    value = _as_col(raw)
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(
+        F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+    )
+    rare = value.rlike("[" + "".join(several) + "]")
+    folded = F.lower(F.translate(F.when(rare, spelt).otherwise(value), source, target))
     return F.regexp_replace(folded, "[^a-z0-9]", "")
 
 
@@ -52,13 +62,13 @@ def slug(raw) -> Column:
 def joined_values(*values) -> Column:
     """Non-blank values in order, separated by one space."""
     items = F.array(*[_as_col(v).cast("string") for v in values])
-    return F.concat_ws(" ", F.filter(items, lambda x: x.isNotNull() & (F.trim(x) != "")))
+    return F.concat_ws(" ", F.filter(items, lambda x: x.isNotNull() & (strip(x) != "")))
 
 
 def reference_of(numero_referencia, numero_comprobante) -> Column:
     """Reference number, else voucher number; trimmed; blank -> null."""
     chosen = F.coalesce(blank_to_null(numero_referencia), blank_to_null(numero_comprobante))
-    return blank_to_null(F.trim(chosen))
+    return blank_to_null(strip(chosen))
 
 
 def mask_account(account) -> Column:

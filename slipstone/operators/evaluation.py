@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..config import ScoringConfig
 from ..functions import similarity as sim
-from ..functions.amounts import amount_similarity, parse_amount_signed, within_tolerance
+from ..functions.amounts import amount_similarity, parse_amount_signed, strip, within_tolerance
 from ..functions.dates import date_similarity, days_within, parse_truth_date
 from ..functions.metrics import f1, safe_div
 from ..functions.text import blank_to_null, reference_of
@@ -34,7 +34,7 @@ def comparable(truth: DataFrame) -> DataFrame:
         reference_of("numero_referencia", "numero_comprobante").alias("ref_trim"),
         parse_amount_signed("monto").alias("monto"),
         parse_truth_date("fecha").alias("fecha"),
-        blank_to_null(F.trim("texto_extraido")).alias("texto"),
+        blank_to_null(strip("texto_extraido")).alias("texto"),
         F.coalesce("calidad", F.lit("unknown")).alias("calidad"),
     )
 
@@ -73,8 +73,8 @@ def score_pairs(
         .join(side_b, "key_b", "left")
     )
     error = F.when(
-        F.col("hash_a").isNull(), F.concat(F.lit("image not found for id_a="), "id_a")
-    ).when(F.col("hash_b").isNull(), F.concat(F.lit("image not found for id_b="), "id_b"))
+        F.col("hash_a").isNull(), F.concat(F.lit("image not found for id_a='"), "id_a", F.lit("'"))
+    ).when(F.col("hash_b").isNull(), F.concat(F.lit("image not found for id_b='"), "id_b", F.lit("'")))
 
     if cfg.similarity == "sequence_matcher":
         joined = joined.withColumn("s_text", sim.sequence_ratio("a.texto", "b.texto"))
@@ -124,8 +124,8 @@ def score_pairs(
             (ok & fields_match("a", "b")).alias("layer2_detected"),
             F.round("raw", 6).alias("score"),
             sim.classify("raw", cfg).alias("prediction"),
-            F.when(ok, F.coalesce("a.calidad", F.lit("unknown"))).alias("calidad_a"),
-            F.when(ok, F.coalesce("b.calidad", F.lit("unknown"))).alias("calidad_b"),
+            F.coalesce("a.calidad", F.lit("unknown")).alias("calidad_a"),
+            F.coalesce("b.calidad", F.lit("unknown")).alias("calidad_b"),
             "error",
         )
     )

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..config import ScoringConfig
 from ..functions import documents as doc
+from ..functions.amounts import strip
 from .keyed import attach_first
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str, order: list[str]) -> DataFrame:
     """New rows whose key is not stored yet, the first one (by ``order``) per key."""
     fresh = new.join(existing.select(key).distinct(), key, "left_anti")
-    stamped = attach_first(fresh, [key], order, "first", spread=order[-1])
+    stamped = attach_first(fresh, [key], order, "first")
     return stamped.filter(F.col("first") == F.struct(*order)).drop("first")
 
 
 def pending(all_ids: DataFrame, done: DataFrame, key: str = "image_id") -> DataFrame:
     """Work list: ids without an output row yet (blank ids never count as done)."""
-    finished = done.select(F.trim(F.col(key).cast("string")).alias("__k")).filter("__k <> ''")
+    finished = done.select(strip(F.col(key).cast("string")).alias("__k")).filter("__k <> ''")
     return all_ids.join(
         finished.distinct(), F.col(key).cast("string") == F.col("__k"), "left_anti"
     )
@@ -61,7 +62,7 @@ def enrich_text(truth: DataFrame, texts: DataFrame, key: str = "id") -> DataFram
         truth.join(offered, key, "left")
         .withColumn(
             "texto_extraido",
-            F.when(F.trim(F.coalesce(current, F.lit(""))) == "", F.coalesce("__new", current))
+            F.when(strip(F.coalesce(current, F.lit(""))) == "", F.coalesce("__new", current))
             .otherwise(current),
         )
         .drop("__new")
@@ -70,7 +71,7 @@ def enrich_text(truth: DataFrame, texts: DataFrame, key: str = "id") -> DataFram
 
 def pending_text(df: DataFrame) -> DataFrame:
     """Rows whose text is missing or blank."""
-    return df.filter(F.trim(F.coalesce("texto_extraido", F.lit(""))) == "")
+    return df.filter(strip(F.coalesce("texto_extraido", F.lit(""))) == "")
 
 
 def without_internal_fields(df: DataFrame, nested: str = "extended") -> DataFrame:

@@ -268,7 +268,7 @@ def _(spark, d):
 
 
 def _ymd(y: str, m: str, dd: str) -> str:
-    return f"TRY_CAST(concat(CASE WHEN length({y}) = 2 THEN '20' ELSE '' END, {y}, '-', lpad({m}, 2, '0'), '-', lpad({dd}, 2, '0')) AS DATE)"
+    return f"TRY_CAST(concat(CASE WHEN length({y}) <> 2 THEN '' WHEN TRY_CAST({y} AS INT) + 2000 >= year(current_date) + 50 THEN '19' ELSE '20' END, {y}, '-', lpad({m}, 2, '0'), '-', lpad({dd}, 2, '0')) AS DATE)"
 
 
 NUM = "'^(\\d{1,2})[/.\\- ](\\d{1,2})[/.\\- ](\\d{4}|\\d{2})$'"
