@@ -1,9 +1,8 @@
-"""Per-key lookups that stay balanced when one key holds a large share of all rows.
+"""Per-key lookups and ranks that stay balanced when one key holds a large share of all rows.
 
 The aggregate side is combined before its shuffle, so a hot key costs nothing there. The row
-side is where skew would hurt: rows of hot keys take their value from a broadcast table and
-spread over many partitions, all other rows take it from an ordinary join. The broadcast table
-has a proven bound: with N rows in total, fewer than ``MAX_HOT`` keys can hold N / MAX_HOT rows.
+side meets a side that is unique per key in an ordinary join: a partition that a hot key makes
+large is split at run time and its one matching row repeated for each part.
 """
 
 from __future__ import annotations
@@ -15,16 +14,6 @@ from pyspark.sql import functions as F
 
 from ..session import spool
 
-MAX_HOT = 100_000
-HOT_ROWS = 1_000_000
-_SPREAD = 4096
-
-
-def over_bound(counts: DataFrame, size: Column, floor: int, max_keys: int = MAX_HOT) -> DataFrame:
-    """Rows of ``counts`` whose ``size`` exceeds the floor; fewer than ``max_keys`` by counting."""
-    total = counts.agg(F.sum(size)).scalar()
-    return counts.filter((size > floor) & (size > total / F.lit(float(max_keys))))
-
 
 def _matches(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
     return reduce(
@@ -32,63 +21,18 @@ def _matches(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) ->
     )
 
 
-def lookup(
-    rows: DataFrame,
-    values: DataFrame,
-    keys: list[str],
-    take: list[str],
-    *,
-    size: str = "n",
-    spread: str = "id_comprobante",
-    hot_rows: int = HOT_ROWS,
-    largest: int | None = None,
-) -> DataFrame:
-    """Left-join the unique-per-key ``values`` onto ``rows``.
-
-    ``values`` carries ``size``, the number of rows per key; ``spread`` is a row column that
-    varies inside a key. Missing keys give nulls. ``largest``, where the caller has measured
-    it, is the biggest size: at or below ``hot_rows`` an ordinary join is balanced already.
-    """
-    if largest is not None and largest <= hot_rows:
-        side = values.select(
-            *[F.col(k).alias(f"__c_{k}") for k in keys],
-            *[F.col(c).alias(f"__c_{c}") for c in take],
-        )
-        return rows.join(side, _matches(rows, side, keys, "__c_"), "left").select(
-            *[c for c in rows.columns if c not in take],
-            *[F.col(f"__c_{c}").alias(c) for c in take],
-        )
-    flag, salt = "__hot", "__salt"
-    hot = over_bound(values, F.col(size), hot_rows).select(
-        *[F.col(k).alias(f"__h_{k}") for k in keys],
-        *[F.col(c).alias(f"__h_{c}") for c in take],
-        F.lit(True).alias(flag),
-    )
-    cold = values.select(
+def lookup(rows: DataFrame, values: DataFrame, keys: list[str], take: list[str]) -> DataFrame:
+    """Left-join the unique-per-key ``values`` onto ``rows``; missing keys give nulls."""
+    side = values.select(
         *[F.col(k).alias(f"__c_{k}") for k in keys],
         *[F.col(c).alias(f"__c_{c}") for c in take],
-        F.lit(0).alias("__c_salt"),
-    )
-    tagged = rows.join(F.broadcast(hot), _matches(rows, hot, keys, "__h_"), "left").withColumn(
-        salt,
-        F.when(F.col(flag), F.pmod(F.xxhash64(spread), F.lit(_SPREAD)).cast("int") + 1).otherwise(0),
-    )
-    joined = tagged.join(
-        cold,
-        _matches(tagged, cold, keys, "__c_") & (tagged[salt] == cold["__c_salt"]),
-        "left",
     )
-    kept = [c for c in rows.columns if c not in take]
-    return joined.select(
-        *kept, *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__c_{c}")).alias(c) for c in take]
+    return rows.join(side, _matches(rows, side, keys, "__c_"), "left").select(
+        *[c for c in rows.columns if c not in take],
+        *[F.col(f"__c_{c}").alias(c) for c in take],
     )
 
 
-def largest_size(sized: DataFrame, size: str = "n") -> int:
-    """The biggest group of a stored size table (0 when it is empty)."""
-    return sized.agg(F.max(size)).first()[0] or 0
-
-
 def attach_first(
     rows: DataFrame,
     keys: list[str],
@@ -96,48 +40,45 @@ def attach_first(
     into: str,
     *,
     where: Column | None = None,
-    spread: str = "id_comprobante",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add struct column ``into``: the smallest ``order`` tuple among the rows of each key.
 
     ``where`` limits which rows may be the first one; keys without such a row get null. Keys
-    held by one row need no lookup, so only repeated keys enter the join; their list is stored
-    once, and its largest group decides how the join has to be made.
+    held by one row need no lookup, so only repeated keys enter the join.
     """
     own = F.struct(*order)
     eligible = own if where is None else F.when(where, own)
     firsts = rows.groupBy(*keys).agg(
         F.min(eligible).alias(into), F.count(F.lit(1)).alias("n")
     )
-    repeated = spool(firsts.filter("n > 1"))
-    found = lookup(
-        rows, repeated, keys, [into],
-        spread=spread, hot_rows=hot_rows, largest=largest_size(repeated),
-    )
+    found = lookup(rows, spool(firsts.filter("n > 1")), keys, [into])
     return found.withColumn(into, F.coalesce(into, eligible))
 
 
 def ranked(df: DataFrame, order: list[str], into: str = "rank") -> DataFrame:
     """Global 1-based rank without a global window.
 
-    Rows are range-partitioned by ``order`` and stored; partition sizes give offsets (one row
-    per partition), and rows are numbered inside their partition only. ``order`` must be unique.
+    Rows are range-partitioned and sorted by ``order``, and numbered as they lie in their part;
+    part sizes (one row each) give the offsets. ``order`` must be unique. The rows are written
+    once and shuffled once.
     """
     parted = spool(
-        df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("__at", F.monotonically_increasing_id())
     )
-    sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    # the number holds the part in its upper bits and the place within the part in the lower 33
+    part, place = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = parted.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset")
     )
-    inside = Window.partitionBy("__part").orderBy(*order)
     # one row per partition of the sort, so the broadcast side cannot grow with the data
     return (
-        parted.join(F.broadcast(offsets), "__part")
-        .withColumn(into, F.row_number().over(inside) + F.col("__offset"))
-        .drop("__part", "__offset")
+        parted.withColumn("__part", part)
+        .join(F.broadcast(offsets), "__part")
+        .withColumn(into, place + F.lit(1) + F.col("__offset"))
+        .drop("__part", "__offset", "__at")
     )
 
 
@@ -148,14 +89,12 @@ def ranked_within(
 
     ``order`` must be unique inside a key. The rank is the global one less the key's start.
     """
-    spread = order[-1]
-    everywhere = spool(ranked(df, keys + order, "__global"))
+    everywhere = ranked(df, keys + order, "__global")
     starts = everywhere.groupBy(*keys).agg(
-        F.min("__global").alias("__start"), F.count(F.lit(1)).alias("n")
+        F.min("__global").alias("__start"), F.count(F.lit(1)).alias(size)
     )
-    starts = starts.withColumn(size, F.col("n"))
     return (
-        lookup(everywhere, starts, keys, ["__start", size], spread=spread)
+        lookup(everywhere, starts, keys, ["__start", size])
         .withColumn(into, F.col("__global") - F.col("__start") + 1)
         .drop("__global", "__start")
     )

@@ -12,7 +12,7 @@ from ..functions import similarity as sim
 from ..functions.amounts import amount_similarity
 from ..functions.dates import date_similarity
 from ..session import spool
-from .keyed import attach_first, largest_size, lookup, over_bound
+from .keyed import attach_first, lookup
 from .textpairs import named_in, text_pair_similarity
 
 ORDER = ["fecha_registro", "id_comprobante"]
@@ -27,16 +27,23 @@ def layer1(new: DataFrame, store: DataFrame | None = None) -> tuple[DataFrame, D
     """Split ``new`` into survivors and rejected rows by document hash.
 
     A row is rejected when its hash is already stored, or belongs to an earlier new row
-    (by registration time, then id). Rejected rows name the voucher that holds the hash.
+    (by registration time, then id). Rejected rows name the voucher that holds the hash. Rows
+    without a hash can't be told apart by it and are rejected for that reason (``sin_hash``).
     """
     own = F.struct(*ORDER)
+    unhashed = new.filter("hash_documento is null").select(
+        "id_comprobante", "hash_documento",
+        F.lit(None).cast(new.schema["id_comprobante"].dataType).alias("id_existente"),
+        F.lit("sin_hash").alias("metodo_deteccion"),
+    )
+    new = new.filter("hash_documento is not null")
     firsts = new.groupBy("hash_documento").agg(
         F.min(own)["id_comprobante"].alias("id_existente"), F.count(F.lit(1)).alias("n")
     )
     if store is None:
         clashes = firsts.filter("n > 1")
     else:
-        held = store.select("hash_documento", F.col("id_comprobante").alias("id_guardado"))
+        held = store.groupBy("hash_documento").agg(F.min("id_comprobante").alias("id_guardado"))
         clashes = (
             firsts.join(held, "hash_documento", "left")
             .filter("n > 1 or id_guardado is not null")
@@ -44,9 +51,7 @@ def layer1(new: DataFrame, store: DataFrame | None = None) -> tuple[DataFrame, D
         )
     # stored once: every later use of the survivors joins this short list, not all hashes again
     clashes = spool(clashes)
-    tagged = lookup(
-        new, clashes, ["hash_documento"], ["id_existente"], largest=largest_size(clashes)
-    )
+    tagged = lookup(new, clashes, ["hash_documento"], ["id_existente"])
     first_or_alone = F.col("id_existente").isNull() | (
         F.col("id_existente") == F.col("id_comprobante")
     )
@@ -57,7 +62,7 @@ def layer1(new: DataFrame, store: DataFrame | None = None) -> tuple[DataFrame, D
         "id_existente",
         F.lit("hash_exacto").alias("metodo_deteccion"),
     )
-    return survivors, rejected
+    return survivors, rejected.unionByName(unhashed)
 
 
 def layer2(
@@ -114,14 +119,13 @@ def _buckets(day: Column, width: int) -> Column:
 
 
 def _tiled(
-    queries: DataFrame, candidates: DataFrame, width: int, tile_rows: int | None
+    queries: DataFrame, candidates: DataFrame, width: int, tile_rows: int
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Give both sides the block columns of the band join, and name those columns.
 
     A block is (scope, date bucket). A query goes to its own and both adjacent buckets. Blocks
     larger than a tile are cut on both sides into a grid, so no task holds more than about one
-    tile of each; the list of large blocks is bounded by counting, hence broadcast. With
-    ``tile_rows=None`` the caller has measured that no block is that large.
+    tile of each, whatever the size of the table.
     """
     left = queries.withColumn(
         "bucket",
@@ -135,8 +139,6 @@ def _tiled(
     right = candidates.withColumn("bucket", _buckets(F.col("c_day"), width)).withColumnRenamed(
         "c_scope", "scope"
     )
-    if tile_rows is None:
-        return left, right, ["scope", "bucket"]
     sizes = (
         left.select("scope", "bucket", F.lit(1).alias("q"), F.lit(0).alias("c"))
         .unionByName(right.select("scope", "bucket", F.lit(0).alias("q"), F.lit(1).alias("c")))
@@ -145,18 +147,16 @@ def _tiled(
         .filter("nq > 0 and nc > 0")
     )
     big = spool(
-        over_bound(sizes, F.greatest("nq", "nc"), tile_rows).select(
+        sizes.filter(F.greatest("nq", "nc") > tile_rows).select(
             "scope",
             "bucket",
             F.ceil(F.col("nq") / F.lit(tile_rows)).cast("int").alias("cut_q"),
             F.ceil(F.col("nc") / F.lit(tile_rows)).cast("int").alias("cut_c"),
         )
     )
-    if big.isEmpty():
-        return left, right, ["scope", "bucket"]
 
     def place(df: DataFrame, own: str, own_cut: str, other: str, other_cut: str, key: str):
-        cut = df.join(F.broadcast(big), ["scope", "bucket"], "left")
+        cut = df.join(big, ["scope", "bucket"], "left")
         return (
             cut.withColumn(
                 own,
@@ -229,15 +229,16 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
 
     1. equal profiles (scope, reference, amount, date, text) collapse to their first live row;
        a later row of the same profile can only be beaten to it by a row that ties with it;
-    2. a first pass over the band join keeps one number per voucher, the best score that cheap
-       bounds already guarantee (edit distance bounds the reference measure);
-    3. a second pass emits only pairs whose upper bound reaches that number;
-    4. the exact reference measure and then the text measure run on those alone.
+    2. a first pass over the band join keeps two things per voucher: the best score that cheap
+       bounds already guarantee (edit distance bounds the reference measure) and the candidate
+       of the highest bound, which is then scored in full; the better of both is the floor;
+    3. a second pass measures the reference exactly where the bound reaches the floor and writes
+       only pairs that still reach it with the best possible text;
+    4. the text measure runs on those alone.
 
     Returns ``id_comprobante, id_comprobante_original, raw_score`` for every wanted row, nulls
     where no earlier candidate scores above 0. ``rows`` should be a stored table.
     """
-    width = cfg.window_days
     profiles = spool(
         rows.dropna(subset=["scope", "fecha_deposito"])
         .groupBy(*_PROFILE)
@@ -247,30 +248,11 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
             F.count(F.lit(1)).alias("n"),
         )
     )
-    copies = largest_size(profiles)
     pool = _as_candidates(profiles.filter("first is not null"))
-    # no block can exceed a tile when three adjacent buckets of all rows together do not
-    busiest = largest_size(
-        rows.groupBy("scope", _buckets(F.col("fecha_deposito"), width)).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-    )
-    tile_rows = None if 3 * busiest <= cfg.tile_rows else cfg.tile_rows
-    if copies <= 1:
-        # every row is its own profile: nothing to collapse or to look up
-        asking = rows.filter("wanted")
-        best = _best_of_heads(
-            _as_queries(asking.dropna(subset=["scope", "fecha_deposito"])),
-            pool, text_of, cfg, tile_rows,
-        )
-        return asking.select("id_comprobante").join(
-            best.withColumnRenamed("q_id", "id_comprobante"), "id_comprobante", "left"
-        )
-
     repeated = profiles.filter("n > 1")
     own = F.when(F.col("live") & F.col("fecha_deposito").isNotNull(), F.col("ord"))
     stamped = (
-        lookup(rows.filter("wanted"), repeated, _PROFILE, ["first"], largest=copies)
+        lookup(rows.filter("wanted"), repeated, _PROFILE, ["first"])
         .withColumn("first", F.coalesce("first", own))
         .withColumn("tail", F.coalesce(F.col("first") < F.col("ord"), F.lit(False)))
     )
@@ -284,7 +266,7 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
         .unionByName(leaders)
         .dropDuplicates(["id_comprobante"])
     )
-    best = _best_of_heads(spool(asked), pool, text_of, cfg, tile_rows)
+    best = _best_of_heads(spool(asked), pool, text_of, cfg)
     answered = stamped.join(
         best.select(
             F.col("q_id").alias("id_comprobante"), "raw_score", "id_comprobante_original"
@@ -312,9 +294,7 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
         )
     )
     positive = F.col("tail") & (F.col("led_score") > 0)
-    return lookup(
-        answered, led, _PROFILE, ["led_score", "led_original"], largest=copies
-    ).select(
+    return lookup(answered, led, _PROFILE, ["led_score", "led_original"]).select(
         "id_comprobante",
         F.when(positive, F.col("led_original"))
         .when(~F.col("tail"), F.col("id_comprobante_original"))
@@ -326,12 +306,11 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
 
 
 def _best_of_heads(
-    asked: DataFrame, pool: DataFrame, text_of: TextLookup, cfg: ScoringConfig,
-    tile_rows: int | None,
+    asked: DataFrame, pool: DataFrame, text_of: TextLookup, cfg: ScoringConfig
 ) -> DataFrame:
     """``q_id, raw_score, id_comprobante_original`` of the best earlier profile, stored."""
     width = cfg.window_days
-    asked, pool, block = _tiled(asked, pool, width, tile_rows)
+    blocked, facing, block = _tiled(asked, pool, width, cfg.tile_rows)
 
     same_text = F.coalesce(F.col("q_text") == F.col("c_text"), F.lit(False))
     open_text = F.col("q_text").isNotNull() & F.col("c_text").isNotNull() & ~same_text
@@ -349,59 +328,59 @@ def _best_of_heads(
         measure = sim.sequence_ratio
 
     in_window = _in_window(width)
-    floor = (
-        asked.join(pool, block)
-        .filter(in_window)
-        .groupBy("q_id")
-        .agg(F.max(sim.weighted_score(low_ref, known_text, s_monto, s_fecha, cfg)).alias("floor"))
-    )
     ceiling = sim.weighted_score(top_ref, top_text, s_monto, s_fecha, cfg)
-    contenders = (
-        asked.join(floor, "q_id")
-        .join(pool, block)
-        .filter(in_window & (ceiling >= F.col("floor") - _SLACK) & (ceiling > 0))
-        .select(
-            "q_id", "c_id", "c_ord", "q_ref", "c_ref", "q_text", "c_text",
-            s_monto.alias("s_monto"), s_fecha.alias("s_fecha"),
-        )
+    bounded = blocked.join(facing, block).filter(in_window).select(
+        "q_id", "c_id", ceiling.alias("ceiling"),
+        sim.weighted_score(low_ref, known_text, s_monto, s_fecha, cfg).alias("sure"),
     )
-    scored = spool(
-        contenders.withColumn("s_ref", measure("q_ref", "c_ref")).select(
-            "q_id", "c_id", "c_ord", "s_ref", "s_monto", "s_fecha",
+    floor = spool(bounded.groupBy("q_id").agg(
+        # by a number, so that the pass stays a hash aggregate whatever the type of the ids
+        F.max("sure").alias("sure"), F.max_by(F.xxhash64("c_id"), "ceiling").alias("lead")
+    ))
+
+    def measured(pairs: DataFrame, *carry: str) -> DataFrame:
+        """The parts of the score that need no text, and the pair of texts where it is open."""
+        return pairs.withColumn("s_ref", measure("q_ref", "c_ref")).select(
+            *carry, "q_id", "c_id", "c_ord", "s_ref", s_monto.alias("s_monto"), s_fecha.alias("s_fecha"),
             F.when(same_text, F.lit(1.0)).when(~open_text, F.lit(0.0)).alias("s_text"),
             F.when(open_text, F.least("q_text", "c_text")).alias("key_a"),
             F.when(open_text, F.greatest("q_text", "c_text")).alias("key_b"),
         )
-    )
+
+    def with_cosine(scored: DataFrame) -> DataFrame:
+        """``cosine`` for the pairs whose texts are open; each pair of texts is measured once."""
+        pairs = spool(scored.filter("key_a is not null").select("key_a", "key_b").distinct())
+        found = spool(text_pair_similarity(pairs, text_of(named_in(pairs))))
+        return lookup(
+            scored, found.withColumnRenamed("s_text", "cosine"), ["key_a", "key_b"], ["cosine"]
+        )
 
     def total(text: Column) -> Column:
         return sim.weighted_score("s_ref", text, "s_monto", "s_fecha", cfg)
 
-    reached = scored.groupBy("q_id").agg(
-        F.max(total(F.coalesce("s_text", F.lit(0.0)))).alias("floor"),
-        F.count(F.lit(1)).alias("n"),
+    # the candidate of the highest ceiling is scored in full, which lifts the floor of the rest
+    leading = spool(measured(
+        floor.select("q_id", "lead").join(asked, "q_id")
+        .join(pool.withColumn("lead", F.xxhash64("c_id")), "lead").filter(in_window)
+    ))
+    exact = with_cosine(leading).groupBy("q_id").agg(
+        F.max(total(F.coalesce("s_text", "cosine", F.lit(0.0)))).alias("exact")
     )
-    finalists = lookup(
-        scored, reached, ["q_id"], ["floor"], spread="c_id", largest=largest_size(reached)
-    ).filter(total(F.coalesce("s_text", F.lit(1.0))) >= F.col("floor") - _SLACK)
-    pairs = spool(
-        finalists.filter("key_a is not null")
-        .groupBy("key_a", "key_b")
-        .agg(F.count(F.lit(1)).alias("n"))
+    floor = spool(floor.join(exact, "q_id").select("q_id", F.greatest("sure", "exact").alias("floor")))
+    contenders = measured(
+        blocked.join(floor, "q_id")
+        .join(facing, block)
+        .filter(in_window & (ceiling >= F.col("floor") - _SLACK) & (ceiling > 0)),
+        "floor",
+    )
+    # only pairs whose exact reference and best possible text still reach the floor are written
+    finalists = spool(
+        contenders.filter(total(F.coalesce("s_text", F.lit(1.0))) >= F.col("floor") - _SLACK).drop("floor")
     )
-    most = largest_size(pairs)
-    if most:
-        named = text_of(named_in(pairs))
-        found = spool(text_pair_similarity(pairs.select("key_a", "key_b"), named, pairs.count()))
-        cosines = pairs.join(found, ["key_a", "key_b"]).withColumnRenamed("s_text", "cosine")
-        finalists = lookup(
-            finalists, cosines, ["key_a", "key_b"], ["cosine"], spread="c_id", largest=most
-        )
-    else:
-        finalists = finalists.withColumn("cosine", F.lit(None).cast("double"))
     top = F.min(F.struct((-F.col("score")).alias("neg"), "c_ord")).alias("top")
     return spool(
-        finalists.withColumn("score", total(F.coalesce("s_text", "cosine", F.lit(0.0))))
+        with_cosine(finalists)
+        .withColumn("score", total(F.coalesce("s_text", "cosine", F.lit(0.0))))
         .filter("score > 0")
         .groupBy("q_id")
         .agg(top)

@@ -17,9 +17,6 @@ from ..session import spool
 # the function below travels to the executors by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_PAIRS_PER_TASK = 1_000
-_MAX_TASKS = 100_000
-
 
 def term_counts(texts: DataFrame) -> DataFrame:
     """Per text: its terms as two 64-bit digests (sorted by the first), counts, squared norm."""
@@ -42,21 +39,34 @@ def _cosine(
     id_a: pd.Series, check_a: pd.Series, tf_a: pd.Series, all_a: pd.Series,
     id_b: pd.Series, check_b: pd.Series, tf_b: pd.Series, all_b: pd.Series,
 ) -> pd.Series:
-    """Two-document TF-IDF cosine: shared terms weigh 1, all others the unshared idf."""
-    out = np.zeros(len(id_a))
+    """Two-document TF-IDF cosine: shared terms weigh 1, all others the unshared idf.
+
+    All pairs of a batch at once: the terms of both sides are sorted by (pair, digests), and a
+    shared term stands next to its twin.
+    """
+    n = len(id_a)
+    if not n:
+        return pd.Series([], dtype="float64")
+
+    def flat(column: pd.Series) -> np.ndarray:
+        return np.concatenate([np.asarray(x, dtype=np.int64) for x in column])
+
+    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (id_a, id_b)]
+    pair = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
+    term = np.concatenate((flat(id_a), flat(id_b)))
+    check = np.concatenate((flat(check_a), flat(check_b)))
+    count = np.concatenate((flat(tf_a), flat(tf_b))).astype(np.float64)
+    side = np.repeat((0, 1), (sizes[0].sum(), sizes[1].sum()))
+    order = np.lexsort((side, check, term, pair))
+    pair, term, check, count = pair[order], term[order], check[order], count[order]
+    # a shared term agrees in both digests, 128 bits in all
+    twin = np.flatnonzero((pair[1:] == pair[:-1]) & (term[1:] == term[:-1]) & (check[1:] == check[:-1]))
+    x, y = count[twin], count[twin + 1]
+    dot, sx, sy = (np.bincount(pair[twin], weights=w, minlength=n) for w in (x * y, x * x, y * y))
     k2 = UNSHARED_IDF * UNSHARED_IDF
-    rows = zip(id_a, check_a, tf_a, all_a, id_b, check_b, tf_b, all_b)
-    for i, (ia, ca, ta, na, ib, cb, tb, nb) in enumerate(rows):
-        if len(ia) > len(ib):
-            ia, ca, ta, na, ib, cb, tb, nb = ib, cb, tb, nb, ia, ca, ta, na
-        at = np.minimum(np.searchsorted(ib, ia), len(ib) - 1)
-        # a shared term agrees in both digests, 128 bits in all
-        same = (ib[at] == ia) & (cb[at] == ca)
-        x, y = ta[same], tb[at[same]]
-        dot, sx, sy = float(x @ y), float(x @ x), float(y @ y)
-        if dot > 0.0:
-            out[i] = dot / (np.sqrt(sx + k2 * (na - sx)) * np.sqrt(sy + k2 * (nb - sy)))
-    return pd.Series(out)
+    na, nb = all_a.to_numpy(dtype=np.float64), all_b.to_numpy(dtype=np.float64)
+    norm = np.sqrt(sx + k2 * (na - sx)) * np.sqrt(sy + k2 * (nb - sy))
+    return pd.Series(np.where(dot > 0, dot / np.where(norm > 0, norm, 1.0), 0.0))
 
 
 def named_in(pairs: DataFrame) -> DataFrame:
@@ -64,20 +74,14 @@ def named_in(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()
 
 
-def text_pair_similarity(
-    pairs: DataFrame, texts: DataFrame, n_pairs: int | None = None
-) -> DataFrame:
+def text_pair_similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Cosine for each distinct pair of text keys that shares a term.
 
     ``pairs(key_a, key_b)`` are distinct; ``texts(text_key, text)`` is unique per key and best
     holds only texts named in a pair (see ``named_in``). A pair moves two compact count vectors, never exploded
     terms, and both joins have a unique side, so a text that many pairs name is split by AQE.
-    ``n_pairs``, where known, sets the number of tasks: a pair is few bytes but much work, so
-    partition sizes in bytes would give too few.
     """
     counted = spool(term_counts(texts))
-    if n_pairs:
-        pairs = pairs.repartition(min(_MAX_TASKS, -(-n_pairs // _PAIRS_PER_TASK)))
     side_a, side_b = (
         counted.select(*[F.col(c).alias(f"{c}_{s}") for c in counted.columns]) for s in "ab"
     )

@@ -122,11 +122,10 @@ def test_layer2_and_layer1(spark):
     }
 
 
-@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
-def test_lookup_with_and_without_hot_keys(spark, hot_rows):
+def test_lookup_with_hot_keys(spark):
     rows = [(i, None if i % 7 == 0 else ("hot" if i % 3 else f"k{i % 11}"), i * 37 % 101) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, k string, o int")
-    got = keyed.attach_first(df, ["k"], ["o", "id"], "first", spread="id", hot_rows=hot_rows).collect()
+    got = keyed.attach_first(df, ["k"], ["o", "id"], "first").collect()
     want = {}
     for i, k, o in rows:
         want[k] = min(want.get(k, (o, i)), (o, i))
