@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import ScoringConfig
@@ -291,8 +292,8 @@ res AS (
     ok AND coalesce(coalesce(ra, '') = coalesce(rb, '') AND ma = mb AND fa = fb, FALSE) AS layer2_detected,
     round(CASE WHEN ok THEN raw ELSE 0.0 END, 6) AS score,
     CASE WHEN ok THEN {CLASS.format(s='raw')} ELSE 'valido' END AS prediction,
-    CASE WHEN ok THEN coalesce(ca, 'unknown') END AS calidad_a, CASE WHEN ok THEN coalesce(cb, 'unknown') END AS calidad_b,
-    CASE WHEN ha IS NULL THEN 'image not found for id_a=' || id_a WHEN hb IS NULL THEN 'image not found for id_b=' || id_b END AS error
+    coalesce(ca, 'unknown') AS calidad_a, coalesce(cb, 'unknown') AS calidad_b,
+    CASE WHEN ha IS NULL THEN 'image not found for id_a=''' || id_a || '''' WHEN hb IS NULL THEN 'image not found for id_b=''' || id_b || '''' END AS error
   FROM s)"""
 
 
@@ -822,12 +823,16 @@ def _(spark, d):
     return workflow.judge(asked).select("event_id", "desde", "hacia", "legal")
 
 
-@query("m2_apply_requests", f"""
+@query("m2_first_requests", f"""
 SELECT r.id_comprobante, v.estado_actual AS desde, CASE WHEN e.a IS NOT NULL THEN r.hacia ELSE v.estado_actual END AS estado_actual, e.a IS NOT NULL AS legal
 FROM (SELECT *, row_number() OVER (PARTITION BY id_comprobante ORDER BY fecha, event_id) AS rn FROM {REQ} q) r
 JOIN {V} v USING (id_comprobante) LEFT JOIN {EDGES} ON e.a = v.estado_actual AND e.b = r.hacia WHERE rn = 1""")
 def _(spark, d):
-    return workflow.apply_requests(vouchers(spark, d), view(spark, d, "v_requests"))[0]
+    verdicts = workflow.request_verdicts(vouchers(spark, d), view(spark, d, "v_requests"))
+    first = Window.partitionBy("id_comprobante").orderBy("fecha", "event_id")
+    return verdicts.withColumn("rn", F.row_number().over(first)).filter("rn = 1 and desde is not null").select(
+        "id_comprobante", "desde", F.col("estado").alias("estado_actual"), "legal"
+    )
 
 
 EDGE_LIST = "['recibido>procesando','recibido>error','procesando>comparando','procesando>error','comparando>valido','comparando>sospechoso','comparando>duplicado','comparando>en_revision','comparando>error','en_revision>valido','en_revision>duplicado','en_revision>error','sospechoso>en_revision','error>recibido']"
@@ -838,6 +843,33 @@ SELECT r.id_comprobante, v.estado_actual AS desde,
 FROM {DENSE.format(r=REQ + ' q')} r JOIN {V} v USING (id_comprobante) GROUP BY 1, 2"""
 
 
+PATHS = f"""
+p AS (SELECT r.id_comprobante, list(r.event_id ORDER BY r.fecha, r.event_id) AS ev, list(r.hacia ORDER BY r.fecha, r.event_id) AS h, any_value(v.estado_actual) AS s0
+      FROM {REQ} r LEFT JOIN {V} v USING (id_comprobante) GROUP BY 1),
+w AS (SELECT id_comprobante, ev, h, CASE WHEN s0 IS NOT NULL THEN list_reduce(list_transform(h, lambda t: [t]),
+   lambda a, t: list_append(a, CASE WHEN list_contains({EDGE_LIST}, a[-1] || '>' || t[1]) THEN t[1] ELSE a[-1] END), [s0]) END AS path FROM p),
+verdicts AS (SELECT id_comprobante, unnest(ev) AS event_id, unnest(h) AS hacia, unnest(range(1, len(ev) + 1)) AS i, path FROM w)"""
+
+
+@query("m2_request_verdicts", f"""WITH {PATHS}
+SELECT id_comprobante, event_id, path[i] AS desde, hacia, coalesce(list_contains({EDGE_LIST}, path[i] || '>' || hacia), FALSE) AS legal, path[i + 1] AS estado FROM verdicts""")
+def _(spark, d):
+    return workflow.request_verdicts(vouchers(spark, d), view(spark, d, "v_requests")).drop("fecha")
+
+
+@query("m2_apply_requests", f"""WITH {PATHS}
+SELECT id_comprobante, any_value(path[1]) AS desde, any_value(path[-1]) AS estado_actual,
+  count(*) FILTER (list_contains({EDGE_LIST}, path[i] || '>' || hacia)) AS applied FROM verdicts WHERE path IS NOT NULL GROUP BY 1""")
+def _(spark, d):
+    return workflow.apply_requests(vouchers(spark, d), view(spark, d, "v_requests"))[0]
+
+
+@query("m2_refused_requests", f"""WITH {PATHS}
+SELECT id_comprobante, event_id, path[i] AS desde, hacia FROM verdicts WHERE NOT coalesce(list_contains({EDGE_LIST}, path[i] || '>' || hacia), FALSE)""")
+def _(spark, d):
+    return workflow.apply_requests(vouchers(spark, d), view(spark, d, "v_requests"))[1]
+
+
 def dense_requests(spark, d):
     """Many requests for each of a few vouchers, so that long histories are replayed."""
     return view(spark, d, "v_requests").withColumn("id_comprobante", F.col("event_id") % 40)
