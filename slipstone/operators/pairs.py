@@ -81,11 +81,6 @@ def round_robin(src: DataFrame, quotas: DataFrame, by: str = "banco", key: str =
     )
 
 
-def _seeded(key: str, seed: int | None) -> list[Column]:
-    """Draw order: by a seeded hash, or by id when no seed is given."""
-    return ([] if seed is None else [F.xxhash64(F.lit(seed), F.col(key))]) + [F.col(key)]
-
-
 def _halved(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Disjoint pairs inside each key with different amounts.
 
@@ -161,8 +156,10 @@ def negative_pairs(src: DataFrame, n: int, seed: int | None = 42) -> DataFrame:
         F.when(F.col("prio").isin(0, 2), " + fecha exacta").otherwise(" + fecha cercana"),
         F.lit(" + monto distinto"),
     )
-    order = [F.col("prio"), *_seeded("id_a", seed), F.col("id_b")]
-    return pool.orderBy(*order).limit(n).select(
+    drawn = pool.withColumn("__draw", F.lit(0) if seed is None else F.xxhash64(F.lit(seed), F.col("id_a")))
+    # numbered in place, so the first n pairs never pass through one task
+    first = ranked(drawn, ["prio", "__draw", "id_a", "id_b"], "__drawn").filter(F.col("__drawn") <= n)
+    return first.select(
         "id_a",
         "id_b",
         F.lit("negativo").alias("tipo_duplicado"),
