@@ -534,6 +534,43 @@ def _(spark, d):
     return evaluation.by_quality(view(spark, d, "v_results"))
 
 
+# the evaluation end to end: pairs are scored here, not taken from a table of results
+CHAIN = f"""WITH {SCORED_PAIRS},
+full_res AS (SELECT * REPLACE (coalesce(layer1_detected, FALSE) AS layer1_detected) FROM res)
+"""
+
+
+def _chained(sql: str) -> str:
+    return CHAIN + sql.replace(R, "full_res")
+
+
+@query("a8_scored_metrics_per_layer", _chained(rates(DETECTORS, "detector")))
+def _(spark, d):
+    return evaluation.binary_metrics(_scored_pairs(spark, d), evaluation.detectors())
+
+
+@query("a9_scored_stats", _chained(f"""
+SELECT tipo_duplicado, round(min(score), 6) AS min, round(max(score), 6) AS max, round(avg(score), 6) AS mean, round(median(score), 6) AS median
+FROM {R} r GROUP BY 1"""))
+def _(spark, d):
+    return evaluation.score_stats(_scored_pairs(spark, d))
+
+
+@query("a10_scored_confusion", _chained(f"""
+SELECT l.e AS clasificacion_esperada, count_if(prediction = 'duplicado') AS duplicado, count_if(prediction = 'sospechoso') AS sospechoso, count_if(prediction = 'valido') AS valido
+FROM (VALUES ('duplicado_exacto'), ('duplicado_parcial'), ('no_duplicado')) l(e) LEFT JOIN {R} r ON r.clasificacion_esperada = l.e GROUP BY 1"""))
+def _(spark, d):
+    return evaluation.confusion(_scored_pairs(spark, d))
+
+
+@query("a11_scored_quality", _chained(f"""
+SELECT coalesce(calidad_a, 'unknown') AS calidad, count(*) AS pairs,
+  round(CASE WHEN count_if(layer1_detected) > 0 THEN CAST(count_if(layer1_detected AND {POS}) AS DOUBLE) / count_if(layer1_detected) ELSE 0.0 END, 6) AS capa_1_precision,
+  round(avg(score), 6) AS scoring_mean FROM {R} r GROUP BY 1"""))
+def _(spark, d):
+    return evaluation.by_quality(_scored_pairs(spark, d))
+
+
 @query("a11_by_label_stratum", """
 SELECT CASE WHEN l.quality IS NULL THEN 'unknown' ELSE CAST(l.quality AS VARCHAR) END AS calidad, count(*) AS total, round(avg(n_chars), 6) AS media
 FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id) GROUP BY 1""")
