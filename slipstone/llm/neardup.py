@@ -290,6 +290,13 @@ def _tiles(dense: DataFrame, nodes: DataFrame) -> DataFrame:
     return tiles.groupBy(F.xxhash64("key", "row", "col").alias("g")).agg(_members("ask"))
 
 
+def _branched(rows: DataFrame, nodes: DataFrame, trees: int) -> DataFrame:
+    """Members (key, id) sent down the branches of their node."""
+    return rows.join(nodes.select("id", "sig"), "id").select(
+        F.explode(F.array_distinct(_child_keys(F.col("key"), F.col("sig"), trees))).alias("key"), "id"
+    )
+
+
 def tree_nodes(
     nodes: DataFrame, similarity: float, recall: float, node_limit: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -307,6 +314,10 @@ def tree_nodes(
         large = sized.filter(F.col("size") > node_limit).select("key", "id")
         if large.isEmpty():
             break
+        if depth == 0:
+            # the first nodes are common shingles' nodes for the most part: branch them all
+            rows = _branched(large, nodes, trees)
+            continue
         outer, met = _pivoted(large, nodes)
         pairs.append(outer.union(met).filter(
             (F.col("agree") >= ASK) & (F.col("id") != F.col("pivot"))
@@ -317,9 +328,7 @@ def tree_nodes(
         ).filter((F.col("share") >= DENSE_SHARE) | F.lit(depth == DEPTH)).select("key")
         marked = spool(met.select("key", "id", "pivot").join(stuck.withColumn("stuck", F.lit(True)), "key", "left"))
         dense.append(marked.filter("stuck").select("key", "id", "pivot"))
-        rows = marked.filter("stuck is null").join(nodes.select("id", "sig"), "id").select(
-            F.explode(F.array_distinct(_child_keys(F.col("key"), F.col("sig"), trees))).alias("key"), "id"
-        )
+        rows = _branched(marked.filter("stuck is null"), nodes, trees)
     none = nodes.select(F.lit(0).cast("long").alias("key"), "id", F.col("id").alias("pivot")).limit(0)
     merged = lambda parts, default: reduce(DataFrame.union, parts) if parts else default
     return (
