@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import mix64
 
-#: runs without a space are cut into parts of this many characters, at which pieces end
-LONGEST_WORD = 256
+#: longer words are scored in blocks of this many characters; scores run on across the blocks
+BLOCK = 4096
+#: longer words are forgotten after their call
+KEPT_LENGTH = 256
 #: states of words that a worker keeps between calls
 MAX_STATES = 1_600_000
 _WORDS_AT_ONCE = 150_000
@@ -71,6 +73,7 @@ class Pieces:
             self.raw[i] = piece.encode()
         self.ascii_ids = np.array(self.byte_ids[:0x80], dtype=np.int32)
         self.byte_logp = -sharpness * (math.log(size) + math.log(total))
+        self.longest = max(map(len, self.ids), default=1)
         self._build_trie()
 
     def _build_trie(self) -> None:
@@ -118,6 +121,16 @@ class Pieces:
             places, nodes = places[more], nodes[more]
         return [np.concatenate(part) for part in zip(*found, strict=True)]
 
+    def block(self, chars: np.ndarray, start: int):
+        """``matches`` of the places of one block of a word, counted from its start, by place and
+        size; the pieces may end behind the block."""
+        size = min(BLOCK, len(chars) - start)
+        near = chars[start : start + size + self.longest + 1].astype(np.int64)
+        place, width, piece, logp = self.matches(near, len(near) - np.arange(len(near)))
+        own = np.flatnonzero(place < size)
+        own = own[np.lexsort((width[own], place[own]))]
+        return size, place[own], width[own], piece[own], logp[own]
+
     def spelled(self, path: np.ndarray) -> np.ndarray:
         """Piece ids of a path; byte spellings become their byte pieces."""
         if not len(path) or path.min() >= 0:
@@ -149,7 +162,8 @@ class Chain:
 
     Edges of state s stand together, likely ones first, with the cumulative probabilities
     s + (0, 1], so a short scan draws the next piece of many words at once. Words stay until ``MAX_STATES`` are kept;
-    from then on new words are built for one call and forgotten, so memory is bounded.
+    from then on new words are built for one call and forgotten, as long words always are, so
+    memory is bounded by the kept words and the texts of one call.
     """
 
     def __init__(self, pieces: Pieces) -> None:
@@ -194,10 +208,17 @@ class Chain:
             total = np.add.reduceat(np.exp(value - np.repeat(top, counts)), heads)
             beta[at[heads]] = top + np.log(total)
             score[part] = value
-        order = np.lexsort((beta[place] - score, place))
-        place, goes, piece, score = place[order], (place + size)[order], piece[order], score[order]
-        base, edge_base = self.states, self.edges
+        base, edge_base = self.all_states, self.all_edges
         self._room(base + len(chars) + 1, edge_base + len(place))
+        self._store(base, edge_base, place, place + size, piece, score, beta, place + size == end_of[place])
+        self.first[base + len(chars)] = edge_base + len(place)
+        self.all_edges, self.all_states = edge_base + len(place), base + len(chars)
+        return base + ends - lengths
+
+    def _store(self, base, edge_base, place, goes, piece, score, beta, last) -> None:
+        """Put the edges of successive states, the first of them ``base``, from ``edge_base`` on."""
+        order = np.lexsort((beta[place] - score, place))
+        place, goes, piece, score, last = place[order], goes[order], piece[order], score[order], last[order]
         heads = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         counts = np.diff(np.append(heads, len(place)))
         logq = np.where(np.repeat(counts, counts) == 1, 0.0, score - beta[place])
@@ -207,11 +228,41 @@ class Chain:
         to = slice(edge_base, edge_base + len(place))
         self.upto[to] = base + place + reached
         self.logq[to], self.piece[to] = logq, piece
-        self.target[to] = np.where(goes == end_of[place], _END, base + goes)
-        self.first[base : base + len(chars)] = edge_base + heads
-        self.first[base + len(chars)] = edge_base + len(place)
-        self.all_edges, self.all_states = edge_base + len(place), base + len(chars)
-        return base + ends - lengths
+        self.target[to] = np.where(last, _END, base + goes)
+        self.first[base : base + len(heads)] = edge_base + heads
+
+    def _build_long(self, word: str) -> int:
+        """Add the lattice of one long word block by block from its end; its start state.
+
+        A block needs the backward scores of as many places behind it as a piece is long; they
+        are carried relative to the first of them, so their size doesn't grow with the word.
+        """
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        blocks = range(0, len(chars), BLOCK)
+        base = self.all_states
+        stop = self.all_edges + sum(len(self.pieces.block(chars, start)[1]) for start in blocks)
+        self._room(base + len(chars) + 1, stop)
+        self.first[base + len(chars)] = stop
+        self.all_edges, self.all_states = stop, base + len(chars)
+        behind = [0.0] * (self.pieces.longest + 1)
+        for start in reversed(blocks):
+            size, place, width, piece, logp = self.pieces.block(chars, start)
+            goes = place + width
+            heads = np.searchsorted(place, np.arange(size)).tolist()
+            beta, score, ahead, high = [0.0] * size + behind, logp.tolist(), goes.tolist(), len(place)
+            for at in range(size - 1, -1, -1):
+                low = heads[at]
+                value = [a + beta[b] for a, b in zip(score[low:high], ahead[low:high], strict=True)]
+                top = max(value)
+                beta[at] = top + math.log(sum([math.exp(v - top) for v in value]))
+                score[low:high] = value
+                high = low
+            stop -= len(place)
+            self._store(
+                base + start, stop, place, goes, piece, np.array(score), np.array(beta), start + goes == len(chars)
+            )
+            behind = [b - beta[0] for b in beta[: len(behind)]]
+        return base
 
     def starts(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Start states of the units of each text; valid until the next call."""
@@ -222,25 +273,24 @@ class Chain:
         self.all_states = self.states
         if None in numbers:
             new = list({unit for unit, number in zip(flat, numbers, strict=True) if number is None})
-            built = dict(zip(new, self._build(new).tolist(), strict=True))
+            short = [unit for unit in new if len(unit) <= KEPT_LENGTH]
+            middle = [unit for unit in new if KEPT_LENGTH < len(unit) <= BLOCK]
+            built = dict(zip(short, self._build(short).tolist(), strict=True)) if short else {}
+            if self.states <= MAX_STATES:
+                kept.update(built)
+                self.states, self.edges = self.all_states, self.all_edges
+            if middle:
+                built |= zip(middle, self._build(middle).tolist(), strict=True)
+            built |= {unit: self._build_long(unit) for unit in new if len(unit) > BLOCK}
             numbers = [
                 built[unit] if number is None else number for unit, number in zip(flat, numbers, strict=True)
             ]
-            if self.states <= MAX_STATES:
-                kept.update(built)
-                self.states += sum(map(len, new))
-                self.edges = self.all_edges
         return np.split(np.array(numbers, dtype=np.int64), np.cumsum(sizes)[:-1]) if texts else []
 
 
 def units(text: str) -> list[str]:
-    """Runs of spaces with the characters that follow, line ends apart; parts of long runs."""
-    found = _UNIT.findall(" " + text) if text else []
-    if found and max(map(len, found)) > LONGEST_WORD:
-        found = [
-            unit[i : i + LONGEST_WORD] for unit in found for i in range(0, len(unit), LONGEST_WORD)
-        ]
-    return found
+    """Runs of spaces with the characters that follow, line ends apart."""
+    return _UNIT.findall(" " + text) if text else []
 
 
 def _uniform(seeds: np.ndarray, place: np.ndarray | int, step: np.ndarray | int, purpose: int) -> np.ndarray:

@@ -4,10 +4,12 @@ Distinct pre-tokens are put into a trie. The best forward score of a prefix depe
 prefix alone, so it is computed once per trie node: the best over the pieces that end there of
 the score where the piece begins plus the piece's own. The number of pieces on the best path is
 carried along and stored where a pre-token ends; a text's count is the sum over its pre-tokens.
+Very long pre-tokens are counted alone, in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Pieces, pieces_at, units
+from .pieces import BLOCK, KEPT_LENGTH, Pieces, pieces_at, units
 
 #: pre-tokens whose counts a worker keeps
 MAX_KEPT = 400_000
@@ -23,7 +25,7 @@ MAX_KEPT = 400_000
 
 class TrieCounter:
     def __init__(self, pieces: Pieces) -> None:
-        self.kept: dict[str, int] = {}
+        self.pieces, self.kept = pieces, {}
         # pieces spelt from their last character, so that a walk towards the root reads them
         nodes, moves, ends = 1, {}, {}
         for piece in pieces.ids:
@@ -108,6 +110,27 @@ class TrieCounter:
             count[own[first]] = count[start[low:high][first]] + pieces[low:high][first]
         return count[ends].tolist()
 
+    def count_long(self, word: str) -> int:
+        """``count_new`` of one word in blocks: the scores of as many last places as a piece is
+        long go on to the next block."""
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        reach = self.pieces.longest
+        best, count = [0.0] + [-math.inf] * reach, [0] * (reach + 1)
+        for begin in range(0, len(chars), BLOCK):
+            size, start, width, piece, logp = self.pieces.block(chars, begin)
+            best += [-math.inf] * size
+            count += [0] * size
+            # what stands for a character without a piece is minus its code point
+            code = np.maximum(-piece - 1, 0)
+            tokens = np.where(piece >= 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+            edges = zip(start.tolist(), (start + width).tolist(), logp.tolist(), tokens.tolist(), strict=True)
+            for at, goes, score, own in edges:
+                value = best[at] + score
+                if value > best[goes]:
+                    best[goes], count[goes] = value, count[at] + own
+            best, count = best[size:], count[size:]
+        return count[0]
+
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pre-tokens and tokens of each text."""
         flat, sizes = [], np.zeros(len(texts), dtype=np.int64)
@@ -118,10 +141,14 @@ class TrieCounter:
         numbers = list(map(self.kept.get, flat))
         if None in numbers:
             new = sorted({u for u, n in zip(flat, numbers, strict=True) if n is None})
-            fresh = dict(zip(new, self.count_new(new), strict=True))
+            long = {u: self.count_long(u) for u in new if len(u) > BLOCK}
+            new = [u for u in new if u not in long]
+            fresh = dict(zip(new, self.count_new(new), strict=True)) if new else {}
+            kept = {u: n for u, n in fresh.items() if len(u) <= KEPT_LENGTH}
+            if len(self.kept) + len(kept) <= MAX_KEPT:
+                self.kept.update(kept)
+            fresh |= long
             numbers = [fresh[u] if n is None else n for u, n in zip(flat, numbers, strict=True)]
-            if len(self.kept) + len(fresh) <= MAX_KEPT:
-                self.kept.update(fresh)
         run = np.concatenate(([0], np.array(numbers, dtype=np.int64).cumsum()))
         return sizes, np.diff(run[np.concatenate(([0], sizes.cumsum()))])
 

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -107,3 +108,54 @@ def test_trie_shares_prefixes():
 @pytest.mark.parametrize("text", ["▁a", "x\ny", " "])
 def test_units_rebuild_the_text(text):
     assert "".join(units(text)) == " " + text
+
+
+def plain_units(text):
+    """Spaces go with what follows, line ends stand alone; nothing else is cut."""
+    found = []
+    for line in re.split("(\n)", " " + text):
+        found += [line] if line == "\n" else re.findall(" *[^ ]+| +", line)
+    return found
+
+
+def forward_scores(pieces, unit):
+    """Best count and log of the summed probability of all segmentations, over the whole unit."""
+    best, mass = [(0.0, 0)] + [(-math.inf, 0)] * len(unit), [0.0] + [-math.inf] * len(unit)
+    for end in range(1, len(unit) + 1):
+        for start in range(max(0, end - 40), end):
+            score, count = pieces.logp.get(unit[start:end]), 1
+            if score is None and end - start == 1:
+                count = len(unit[start:end].encode())
+                score = count * pieces.byte_logp
+            if score is not None:
+                mass[end] = np.logaddexp(mass[end], mass[start] + score)
+                if best[start][0] + score > best[end][0]:
+                    best[end] = (best[start][0] + score, best[start][1] + count)
+    return best[-1][1], mass[-1]
+
+
+#: runs without a space: words longer than 256 and than 4,096 characters, of several scripts
+LONG = ["interoperability" * 40, "unglaublichungern" * 700, "日本語のテキスト" * 90, "aGVsbG8gd29ybGQ" * 400 + "\nthe end", "x" * 9001]
+
+
+def test_long_runs_are_counted_whole(spark):
+    pieces = pieces_at(MODEL, 1.0)
+    frame = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_pretokens) for r in token_counts(frame, MODEL).collect()}
+    for i, text in enumerate(LONG):
+        own = plain_units(text)
+        assert got[i] == (sum(forward_scores(pieces, u)[0] for u in own), len(own))
+
+
+def test_long_runs_are_sampled_whole():
+    pieces = pieces_at(MODEL, 0.3)
+    crossed = set()
+    for samples, text in zip(Sampler(pieces, 2, 3).sample([str(i) for i in range(len(LONG))], LONG), LONG, strict=True):
+        whole = sum(forward_scores(pieces, u)[1] for u in plain_units(text))
+        for ids, logp, *_ in samples:
+            assert pieces.decode(ids.tolist()) == text
+            own = sum(pieces.byte_logp if i in pieces.byte_ids else pieces.logp[pieces.raw[i].decode()] for i in ids.tolist())
+            assert math.isclose(logp, own - whole, rel_tol=1e-7, abs_tol=1e-7)
+            ends = np.cumsum([len(pieces.raw[i]) for i in ids.tolist()])
+            crossed |= {at for at in range(256, len(text), 256) if text.isascii() and at not in ends}
+    assert len(crossed) > 5
