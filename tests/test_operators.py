@@ -260,3 +260,15 @@ def test_store_is_idempotent(spark):
 def test_account_flag(spark):
     df = spark.createDataFrame([("032180000118359719",), ("032180000118359718",), ("12",), (None,)], "x string")
     assert [r[0] for r in df.select(text_functions.clabe_is_valid("x")).collect()] == [True, False, False, False]
+
+
+@pytest.mark.parametrize("n_files,n_ids", [(7, 4), (4, 7), (3, 0)])
+def test_files_matched_by_position_with_unequal_lists(spark, n_files, n_ids):
+    files = spark.createDataFrame([(f"scan-{i:02}.jpg", f"scan-{i:02}") for i in range(n_files)], "file string, stem string")
+    truth = spark.createDataFrame(
+        [(f"g{i:02}", "" if i == 2 else "BCP", 1.0, None) for i in range(n_ids)],
+        "id string, banco_emisor string, monto double, fecha string",
+    )
+    got = {(r.file, r.gt_id) for r in pairs.match_sources(files, truth).collect()}
+    # a record without a bank takes its place but is left out; what has no counterpart drops out
+    assert got == {(f"scan-{i:02}.jpg", f"g{i:02}") for i in range(min(n_files, n_ids)) if i != 2}
