@@ -101,7 +101,8 @@ class ChunkEncoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     chunks in order. Texts of Latin-1 characters are lower-cased first, as the tokenizer would;
-    others go through it unchanged.
+    others go through it unchanged, and so do texts in which lower-casing makes an added token:
+    the tokenizer looks for those in the raw text.
     """
 
     def __init__(self, path: str) -> None:
@@ -109,6 +110,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
         self.kept: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 16, dtype=np.int64)
@@ -136,7 +138,9 @@ class ChunkEncoder:
         for i, text in enumerate(texts):
             try:
                 text.encode("latin-1")
-                text = text.lower()
+                low = text.lower()
+                if not any(low.count(t) > text.count(t) for t in self.added):
+                    text = low
             except UnicodeEncodeError:
                 pass
             own = text.encode("utf-8", "replace").split()

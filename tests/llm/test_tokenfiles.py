@@ -63,3 +63,13 @@ def test_chunk_cache_overflow_keeps_results(monkeypatch):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert tokenfiles.token_files(frame, PATH).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text", ["a <|ENDOFTEXT|> b", "A <|StartOfText|> B C", "<|endoftext|> Ab <|EndOfText|>", "X<|ENDOFTEXT|>Y <|endoftext|>Z"]
+)
+def test_added_tokens_count_in_their_own_case_alone(text):
+    encoder = tokenfiles.ChunkEncoder(PATH)
+    ids, counts = encoder.encode(["Before", text])
+    expected = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids[counts[0] :].tolist() == expected
