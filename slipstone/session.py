@@ -74,6 +74,12 @@ def _remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Delete one spool that no later step reads."""
+    _remove(spark, path)
+    _spools.pop(path, None)
+
+
 def drop_spools(spark: SparkSession) -> int:
     """Delete every spool of the process; call it once a query's result has been written."""
     gone = list(_spools)
