@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, langid, mixing, neardup, pieces, spotsigs, tokenfiles, toolcalls, triecounts, urls
+from ..session import spool
+from . import (
+    bm25,
+    codes,
+    langid,
+    mixing,
+    neardup,
+    packing,
+    pieces,
+    spotsigs,
+    tokenfiles,
+    toolcalls,
+    triecounts,
+    urls,
+    variants,
+)
 from .common import table
 
 #: fixed values: the rules that the URL query is asked to apply (verdict, host, path)
@@ -19,6 +34,7 @@ URL_RULES = [
 #: even out the sources until the mixture has this share of the highest possible entropy
 MIX = mixing.MixTarget(entropy_share=0.995)
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
 TOP = 10
@@ -82,6 +98,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=2)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return variants.variants(spool(variants.word_counts(docs)))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return coded.withColumn("codebooks_sha256", F.lit(books.sha256()))
+
+
+def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path(BYTE_TOKENIZER)).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
@@ -93,6 +127,9 @@ QUERIES = {
     "op8_temperature_mix": op8_temperature_mix,
     "op9_tool_calls": op9_tool_calls,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_harmonic_packing": op13_harmonic_packing,
 }
 
 _OP5 = """
@@ -180,8 +217,48 @@ select s.doc_id, any_value(n) as n_shingles, min(b) as component_id, s.doc_id =
 from sizes s join reach on a = s.doc_id group by s.doc_id
 """
 
+
+def _op12() -> str:
+    """Six rounds and a last assignment, as one chain of common table expressions."""
+    steps = ["""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+flat as (
+  select vec_id, (i - 1) // (len(v) // 8) as p, (i - 1) % (len(v) // 8) as i, v[i] as x
+  from (select vec_id, v, unnest(range(1, len(v) + 1)) as i from kept)),
+starts as (select vec_id, row_number() over (order by vec_id) - 1 as e from kept order by vec_id limit 16),
+c0 as (select p, e, i, x as c from flat join starts using (vec_id)),"""]
+    for r in range(7):
+        steps.append(f"""
+d{r} as (
+  select vec_id, p, e, sum((x - c) * (x - c))::bigint as d from flat join c{r} using (p, i) group by all),
+a{r} as (
+  select vec_id, p, min(d) as d, arg_min(e, d * 16 + e) as e from d{r} group by all),""")
+        if r < 6:
+            steps.append(f"""
+s{r} as (
+  select p, e, i, sum(x)::bigint as s, count(*) as n from a{r} join flat using (vec_id, p) group by all),
+c{r + 1} as (
+  select p, e, i, case when n is null then c else (s - ((s % n) + n) % n) // n end as c
+  from c{r} left join s{r} using (p, e, i)),""")
+    steps.append("""
+books as (select sha256(string_agg(c::varchar, ',' order by p, e, i)) as codebooks_sha256 from c6),
+coded as (
+  select vec_id, string_agg(printf('%02x', e::int), '' order by p) as code, sum(d)::bigint as error
+  from a6 group by vec_id),
+labelled as (
+  select label, sum(error)::bigint as label_error from coded join kept using (vec_id) group by label)
+select c.vec_id, code, error, label_error, codebooks_sha256
+from coded c join kept k using (vec_id) join labelled l on l.label is not distinct from k.label, books
+""")
+    return "".join(steps)
+
+
 ORACLE = {
     "op5_url_filter": _OP5,
     "op8_temperature_mix": _OP8,
     "op10_near_duplicates": _OP10,
+    "op12_vector_codes": _op12(),
 }
