@@ -267,7 +267,7 @@ def _search(texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     texts = texts.drop_duplicates("word").sort_values("word", key=lambda w: w.map(lambda s: s.encode("utf-32-be")))
     words, n = texts["word"].tolist(), texts["n"].to_numpy(np.int64)
     index = WordIndex(words)
-    rows = []
+    found: dict[str, list] = {"word": [], "n_near": [], "near": [], "near_n": []}
     for right in (True, False):
         side = asked[asked["ahead"] == right]
         if side.empty:
@@ -286,13 +286,11 @@ def _search(texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((w, -n[w], q))
         q, w = q[order], w[order]
         begin = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
-        rows.append(pd.DataFrame({
-            "word": [queries[i] for i in q[begin]], "n_near": np.diff(np.append(begin, len(q))),
-            "near": [words[i] for i in w[begin]], "near_n": n[w[begin]],
-        }))
-    if not rows:
-        return pd.DataFrame({"word": [], "n_near": [], "near": [], "near_n": []})
-    return pd.concat(rows)
+        found["word"] += [queries[i] for i in q[begin]]
+        found["n_near"] += np.diff(np.append(begin, len(q))).tolist()
+        found["near"] += [words[i] for i in w[begin]]
+        found["near_n"] += n[w[begin]].tolist()
+    return pd.DataFrame({c: pd.Series(v, dtype=object if c in ("word", "near") else np.int64) for c, v in found.items()})
 
 
 def _key(word: Column, length: Column, ahead: Column) -> Column:
@@ -330,18 +328,30 @@ def near_words(vocabulary: DataFrame, shard_words: int = SHARD_WORDS) -> DataFra
         )
     )
 
-    def placed(rows: DataFrame, own: str, across: str) -> DataFrame:
-        """Rows of a cut key: one of its own parts, times every part of the other side."""
-        part = F.pmod(F.xxhash64("word" if "word" in rows.columns else "query"), F.greatest(F.coalesce(own, F.lit(1)), F.lit(1)).cast("bigint"))
-        others = F.sequence(F.lit(0), F.greatest(F.coalesce(across, F.lit(1)), F.lit(1)) - 1)
-        spread = lookup(rows, cut, ["key"], ["cut_t", "cut_a"]).withColumn("own", part).withColumn("across", F.explode(others))
-        pair = ("own", "across") if own == "cut_t" else ("across", "own")
-        shard = F.pmod(F.xxhash64("key", *[F.col(p).cast("bigint") for p in pair]), F.lit(shards))
-        return spread.withColumn("shard", shard).drop("key", "cut_t", "cut_a", "own", "across")
+    def placed(rows: DataFrame, word: str, own: str, across: str) -> DataFrame:
+        """Rows of a cut key go to one of its own parts, times every part of the other side, and
+        each such cell is searched by itself, so that no pair meets twice."""
+        def cuts(column):
+            return F.greatest(F.coalesce(column, F.lit(1)), F.lit(1))
+
+        alone = F.coalesce("cut_t", "cut_a").isNotNull()
+        spread = (
+            lookup(rows, cut, ["key"], ["cut_t", "cut_a"])
+            .withColumn("own", F.pmod(F.xxhash64(word), cuts(own).cast("bigint")).cast("int"))
+            .withColumn("across", F.explode(F.sequence(F.lit(0), cuts(across) - 1)))
+        )
+        of_text, of_query = ("own", "across") if own == "cut_t" else ("across", "own")
+        return spread.select(
+            *[c for c in rows.columns if c != "key"],
+            F.when(alone, F.lit(-1)).otherwise(F.pmod("key", F.lit(shards))).alias("shard"),
+            F.when(alone, F.col("key")).otherwise(0).alias("cell"),
+            F.col(of_text).alias("text_part"), F.col(of_query).alias("query_part"),
+        )
 
+    group = ["shard", "cell", "text_part", "query_part"]
     found = (
-        placed(texts, "cut_t", "cut_a").groupBy("shard")
-        .cogroup(placed(asked, "cut_a", "cut_t").groupBy("shard"))
+        placed(texts, "word", "cut_t", "cut_a").groupBy(*group)
+        .cogroup(placed(asked, "query", "cut_a", "cut_t").groupBy(*group))
         .applyInPandas(_search, "word string, n_near long, near string, near_n long")
     )
     best = F.min(F.struct((-F.col("near_n")).alias("neg"), F.col("near").alias("near"))).alias("best")
