@@ -406,6 +406,38 @@ def layer3(
     candidate come back as ``valido`` with score 0.
     Returns ``id_comprobante, id_comprobante_original, score_similitud, clasificacion``.
     """
+    if store is None:
+        return layer3_against(v, cfg, settled=settled)
+    rows = spool(scoring_rows(store, cfg, 0, F.lit(False)))
+    return layer3_against(
+        v, cfg, settled=settled, earlier=rows, earlier_texts=lambda keys: held_texts(store, rows, keys)
+    )
+
+
+def held_texts(wide: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``text_key, text`` of the texts that ``keys`` names, from vouchers and their scoring rows."""
+    # one voucher stands for each text; the list of holders is stored first, so the wide table is
+    # filtered by a side of known size instead of being shuffled for it
+    holders = (
+        rows.join(keys, "text_key", "left_semi")
+        .groupBy("text_key")
+        .agg(F.min("id_comprobante").alias("id_comprobante"))
+    )
+    return wide.select("id_comprobante", "texto_extraido").join(spool(holders), "id_comprobante").select(
+        "text_key", F.col("texto_extraido").alias("text")
+    )
+
+
+def layer3_against(
+    v: DataFrame,
+    cfg: ScoringConfig = ScoringConfig(),
+    *,
+    settled: DataFrame | None = None,
+    earlier: DataFrame | None = None,
+    earlier_texts: TextLookup | None = None,
+) -> DataFrame:
+    """``layer3`` against stored scoring rows, whose texts are looked up only where a pair needs
+    them."""
     if settled is None:
         marked = v.withColumn("__ask", F.lit(True))
     else:
@@ -413,24 +445,15 @@ def layer3(
         marked = v.join(done, "id_comprobante", "left").withColumn(
             "__ask", F.coalesce("__done", F.lit(True))
         )
-    rows = scoring_rows(marked, cfg, 1, F.col("__ask"))
-    wide = v.select("id_comprobante", "texto_extraido")
-    if store is not None:
-        rows = rows.unionByName(scoring_rows(store, cfg, 0, F.lit(False)))
-        wide = wide.unionByName(store.select("id_comprobante", "texto_extraido"))
-    rows = spool(rows)
+    own = spool(scoring_rows(marked, cfg, 1, F.col("__ask")))
+    rows = own if earlier is None else spool(own.unionByName(earlier))
 
     def text_of(keys: DataFrame) -> DataFrame:
-        # one voucher stands for each text; the list of holders is stored first, so the wide
-        # table is filtered by a side of known size instead of being shuffled for it
-        holders = (
-            rows.join(keys, "text_key", "left_semi")
-            .groupBy("text_key")
-            .agg(F.min("id_comprobante").alias("id_comprobante"))
-        )
-        return wide.join(spool(holders), "id_comprobante").select(
-            "text_key", F.col("texto_extraido").alias("text")
-        )
+        found = held_texts(v, own, keys)
+        if earlier_texts is None:
+            return found
+        found = spool(found)
+        return found.unionByName(earlier_texts(keys.join(found, "text_key", "left_anti")))
 
     raw = F.coalesce("raw_score", F.lit(0.0))
     return best_matches(rows, text_of, cfg).select(

@@ -12,14 +12,17 @@ from ..operators import (
     audit,
     cascade as flow,
     evaluation,
+    intake as intake_flow,
     layers,
     pairs as pairset,
     reports,
     store,
     workflow,
 )
+from ..operators.prior import FrameStore
 from ..session import shared_dir
 from ..streaming import intake
+from ..streaming.store import BlockStore
 from .catalog import (
     ACC_MATCH, AS_OF, CLEAN, REF_SQL, RESPELL, UPLOAD_AS_OF, _accuracy, bank_ctes,
     parse_date_sql, query,
@@ -1006,6 +1009,114 @@ def _(spark, d):
     )
 
 
+# --- the whole upload path ---------------------------------------------------------------------------------------
+
+INTAKE_LIMITS = {"basic": 3, "pro": 6, "enterprise": -1}
+
+
+def intake_uploads(spark, d):
+    """Uploads not stored yet, with the model's answer wrapped as it sends it."""
+    rows = view(spark, d, "v_intake").filter("not guardado")
+    body = F.to_json(F.struct("monto", "fecha", "referencia", "numero_operacion", "banco", F.col("texto").alias("content")))
+    body = F.when(F.col("fallo") == "bad_json", F.substring(body, 1, 9)).when(F.col("fallo") == "not_object", "[1, 2]").otherwise(body)
+    answer = F.to_json(F.struct(F.array(F.struct(F.struct(body.alias("content")).alias("message"))).alias("choices")))
+    return rows.select(
+        "id_comprobante", "id_usuario", "fecha_registro", "bytes", F.unhex("contenido_hex").alias("content"),
+        F.when(F.col("fallo") == "bad_structure", '{"choices": []}').otherwise(answer).alias("respuesta"),
+    )
+
+
+def intake_store(spark, d):
+    """The vouchers stored before."""
+    return flow.normalized(view(spark, d, "v_intake").filter("guardado")).select(
+        "id_comprobante", "id_usuario", F.col("texto").alias("texto_extraido"), "referencia", "monto", "fecha_deposito",
+        F.sha2(F.unhex("contenido_hex"), 256).alias("hash_documento"), "fecha_registro",
+        F.lit(None).cast("timestamp").alias("deleted_at"),
+    )
+
+
+# one upload after the other: what the one before in the same month and the one before with the same hash left behind
+REPLAY = f"""
+raw AS (SELECT *, coalesce(bytes, length(contenido_hex) // 2) AS size, sha256(unhex(contenido_hex)) AS sha,
+   regexp_matches(contenido_hex, '^(89504E470D0A1A0A|FFD8FF|255044462D)') AS typed,
+   regexp_replace(trim(fecha), '[T ]+\\d{{1,2}}:\\d{{2}}(:\\d{{2}})?$', '') AS f FROM {duck('v_intake')} q),
+held AS (SELECT sha, min(id_comprobante) AS id_guardado FROM raw WHERE guardado GROUP BY sha),
+usage AS (SELECT id_usuario, date_trunc('month', fecha_registro) AS mes, count(*) AS usado FROM raw WHERE guardado GROUP BY ALL),
+up AS (
+  SELECT r.id_comprobante AS id, r.id_usuario, r.fecha_registro, date_trunc('month', r.fecha_registro) AS mes, r.fallo, h.id_guardado,
+    CASE WHEN size = 0 THEN 'empty' WHEN size > 10485760 THEN 'too_large' END AS guardia, typed,
+    CASE WHEN size BETWEEN 1 AND 10485760 AND typed THEN r.sha END AS sha, u.id_usuario IS NOT NULL AS conocido,
+    CASE WHEN NOT u.sin_cuota AND u.plan = 'basic' THEN 3 - coalesce(g.usado, 0) WHEN NOT u.sin_cuota AND u.plan = 'pro' THEN 6 - coalesce(g.usado, 0) END AS cupo
+  FROM raw r LEFT JOIN {duck('v_users')} u USING (id_usuario) LEFT JOIN usage g ON g.id_usuario = r.id_usuario AND g.mes = date_trunc('month', r.fecha_registro)
+  LEFT JOIN held h ON h.sha = r.sha WHERE NOT guardado),
+chain AS (
+  SELECT id, cupo, coalesce(conocido AND sha IS NOT NULL AND fallo IS NULL AND id_guardado IS NULL, FALSE) AS formed,
+    lag(id) OVER (PARTITION BY id_usuario, mes ORDER BY fecha_registro, id) AS pm,
+    CASE WHEN sha IS NOT NULL THEN lag(id) OVER (PARTITION BY sha ORDER BY fecha_registro, id) END AS ph FROM up),
+rep(step, id, cupo, formed, pm, ph, used, holder, known, stored) AS (
+  SELECT 0, id, cupo, formed, pm, ph, CASE WHEN pm IS NULL THEN 0 END, CAST(NULL AS BIGINT), ph IS NULL, CAST(NULL AS BOOLEAN) FROM chain
+  UNION ALL
+  SELECT step + 1, id, cupo, formed, pm, ph, u, k, n, coalesce(stored, CASE WHEN u IS NOT NULL AND n THEN formed AND (cupo IS NULL OR u < cupo) AND k IS NULL END)
+  FROM (SELECT a.*, coalesce(a.used, p.used + p.stored::INT) AS u, coalesce(a.holder, h.holder, CASE WHEN h.stored THEN h.id END) AS k,
+          a.known OR (h.known AND h.stored IS NOT NULL) AS n
+        FROM rep a LEFT JOIN rep p ON p.id = a.pm LEFT JOIN rep h ON h.id = a.ph) z
+  WHERE step < 120),
+fin AS (SELECT * FROM rep WHERE step = 120),
+screen AS (
+  SELECT up.*, fin.stored, coalesce(up.id_guardado, fin.holder) AS holder,
+    CASE WHEN NOT conocido THEN 'usuario' WHEN fin.used >= up.cupo THEN 'cuota' WHEN guardia IS NOT NULL THEN 'guardia' WHEN NOT typed THEN 'tipo'
+         WHEN coalesce(up.id_guardado, fin.holder) IS NOT NULL THEN 'hash' WHEN fallo IS NOT NULL THEN 'respuesta' END AS etapa
+  FROM up JOIN fin USING (id))"""
+
+INTAKE = f"""{REPLAY},
+kept AS (
+  SELECT id_comprobante, raw.id_usuario, guardado, texto AS texto_extraido, {REF_SQL} AS referencia, {parse_date_sql('f')} AS fecha_deposito,
+    CASE WHEN length({CLEAN}) - length(replace({CLEAN}, '.', '')) <= 1 AND TRY_CAST({CLEAN} AS DECIMAL(15,2)) >= 0 THEN TRY_CAST({CLEAN} AS DECIMAL(15,2)) END AS monto,
+    raw.fecha_registro, CAST(NULL AS TIMESTAMP) AS deleted_at
+  FROM raw LEFT JOIN screen ON screen.id = raw.id_comprobante WHERE guardado OR screen.stored),
+{CASCADE.split("kept AS (SELECT * FROM s WHERE rn = 1),")[1]}"""
+
+
+def _intake(spark, d):
+    cfg = ScoringConfig(limits=INTAKE_LIMITS)
+    return intake_flow.intake(
+        intake_uploads(spark, d), view(spark, d, "v_users"), FrameStore(intake_store(spark, d)), cfg
+    )
+
+
+@query("w2_admission_by_hash", f"""WITH RECURSIVE {REPLAY}
+SELECT id AS id_comprobante, etapa, CASE WHEN etapa = 'hash' THEN holder END AS id_existente, coalesce(stored, FALSE) AS guardado FROM screen""")
+def _(spark, d):
+    cfg = ScoringConfig(limits=INTAKE_LIMITS)
+    seen = intake_flow.examined(intake_uploads(spark, d))
+    rows = intake_flow.screened(seen, view(spark, d, "v_users"), FrameStore(intake_store(spark, d)), cfg)
+    return rows.select("id_comprobante", "etapa", "id_existente", F.col("etapa").isNull().alias("guardado"))
+
+
+@query("m7_full_intake", f"""WITH RECURSIVE {INTAKE}
+SELECT s.id AS id_comprobante, CASE WHEN etapa IS NULL THEN 'procesado' WHEN etapa = 'respuesta' THEN 'error' ELSE 'rechazado' END AS resultado,
+  coalesce(etapa, metodo_deteccion) AS etapa, CASE etapa WHEN 'usuario' THEN 'usuario_desconocido' WHEN 'cuota' THEN 'cuota_excedida'
+    WHEN 'guardia' THEN guardia WHEN 'tipo' THEN 'tipo_invalido' WHEN 'hash' THEN 'hash_exacto' WHEN 'respuesta' THEN fallo END AS motivo,
+  CASE WHEN etapa = 'hash' THEN holder END AS id_existente, clasificacion, id_comprobante_original, score_similitud,
+  CASE WHEN etapa = 'respuesta' THEN 'error' WHEN clasificacion = 'sospechoso' THEN 'en_revision' ELSE clasificacion END AS estado_actual
+FROM screen s LEFT JOIN decided d ON d.id_comprobante = s.id""")
+def _(spark, d):
+    return _intake(spark, d).outcomes.drop("id_usuario", "fecha_registro", "hash_documento")
+
+
+@query("m4_intake_log", f"""WITH RECURSIVE {REPLAY}
+SELECT id AS id_comprobante, etapa, CASE etapa WHEN 'usuario' THEN 'usuario_desconocido' WHEN 'cuota' THEN 'cuota_excedida'
+    WHEN 'guardia' THEN guardia WHEN 'tipo' THEN 'tipo_invalido' WHEN 'hash' THEN 'hash_exacto' ELSE fallo END AS mensaje,
+  CASE etapa WHEN 'respuesta' THEN 'ERROR' ELSE 'WARN' END AS nivel, id_usuario, fecha_registro AS fecha_evento FROM screen WHERE etapa IS NOT NULL
+UNION ALL
+SELECT id, unnest(['recepcion', 'extraccion', 'comparacion']), unnest(['recibido', 'procesando', 'comparando']), 'INFO', id_usuario, fecha_registro
+FROM screen WHERE etapa IS NULL""")
+def _(spark, d):
+    # the steps after the comparison are the business of m4_transition_log
+    log = _intake(spark, d).log
+    return log.filter("paso < 3").drop("paso")
+
+
 # --- streams (file source over the given tables, run to the end) ----------------------------------------------------
 
 
@@ -1080,7 +1191,7 @@ def _run_intake(spark, d):
         events.filter((day >= low) & (day < high)).coalesce(1).write.mode("append").parquet(
             f"{folder}/queue"
         )
-    paths = intake.IntakePaths(*(f"{folder}/{n}" for n in ("vouchers", "validations", "status", "check")))
+    paths = intake.IntakePaths(*(f"{folder}/{n}" for n in ("vouchers", "validations", "status", "check", "store")))
     intake.run_stream(voucher_stream(spark, d, f"{folder}/queue"), paths).awaitTermination()
     return paths
 
@@ -1095,6 +1206,30 @@ def _(spark, d):
     )
 
 
+@query("t7_full_intake_status", f"""WITH RECURSIVE {INTAKE}
+SELECT s.id AS id_comprobante, CASE WHEN etapa IS NULL THEN 'procesado' WHEN etapa = 'respuesta' THEN 'error' ELSE 'rechazado' END AS resultado,
+  coalesce(etapa, metodo_deteccion) AS etapa, clasificacion, CASE WHEN etapa = 'hash' THEN holder ELSE id_comprobante_original END AS id_comprobante_original
+FROM screen s LEFT JOIN decided d ON d.id_comprobante = s.id""")
+def _(spark, d):
+    folder = _folder(spark)
+    # the queue: the uploads cut by day into files in time order, one per micro-batch
+    uploads = intake_uploads(spark, d)
+    for low, high in [(1, 8), (8, 15), (15, 32)]:
+        day = F.dayofmonth("fecha_registro")
+        part = uploads.filter((day >= low) & (day < high))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/queue")
+    cfg = ScoringConfig(limits=INTAKE_LIMITS)
+    before = intake_store(spark, d)
+    kept = BlockStore(spark, f"{folder}/store", before.schema, cfg, buckets=8, fan=2)
+    kept.append(before, -1)
+    paths = intake.IntakePaths(*(f"{folder}/{n}" for n in ("vouchers", "validations", "status", "check", "store")))
+    source = intake.read_uploads(spark, f"{folder}/queue", uploads.schema, files_per_batch=1, pattern="*.parquet")
+    intake.run_intake_stream(source, view(spark, d, "v_users"), paths, cfg, store=kept).awaitTermination()
+    return spark.read.parquet(paths.status).select(
+        "id_comprobante", "resultado", "etapa", "clasificacion", "id_comprobante_original"
+    )
+
+
 @query("t3_hash_memory", f"SELECT DISTINCT hash_documento FROM {duck('v_uploads')} u")
 def _(spark, d):
     return _drained(intake.dedup_stream(upload_stream(spark, d)), _folder(spark)).select(

@@ -199,6 +199,27 @@ SELECT o_orderkey AS id_comprobante, o_custkey AS id_usuario,
 FROM {orders}
 """
 
+# uploads as they arrive: document bytes (as hex), listed size, the fields a model answered; a fifth
+# were stored before. Copies of documents, empty, oversized and mistyped ones, unknown users
+_INTAKE = """
+SELECT r.id_comprobante,
+  CASE WHEN r.id_comprobante % 59 = 3 THEN r.id_usuario + 100000000 ELSE r.id_usuario END AS id_usuario,
+  r.id_comprobante % 5 = 0 AS guardado,
+  CASE WHEN r.id_comprobante % 5 = 0 THEN @ts(DATE '2024-01-01', r.id_comprobante % 86400)@
+       ELSE @ts(DATE '2024-01-02', r.id_comprobante * 40)@ END AS fecha_registro,
+  CASE WHEN r.id_comprobante % 53 = 4 THEN CAST(10485761 AS BIGINT) END AS bytes,
+  CASE WHEN r.id_comprobante % 43 = 1 THEN '' WHEN r.id_comprobante % 47 = 2 THEN '474946383961'
+       ELSE concat(CASE n.dn % 3 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FFE0' ELSE '255044462D' END,
+                   lpad(CAST(n.dn AS STRING), 12, '0')) END AS contenido_hex,
+  CASE WHEN r.id_comprobante % 31 = 7 THEN 'bad_structure' WHEN r.id_comprobante % 37 = 5 THEN 'bad_json'
+       WHEN r.id_comprobante % 41 = 6 THEN 'not_object' END AS fallo,
+  r.monto, r.fecha, r.referencia, r.numero_operacion, r.banco,
+  concat('pago mensual cliente', CAST(r.id_usuario % 7 AS STRING), ' folio', CAST(r.id_comprobante % 5 AS STRING)) AS texto
+FROM {v_raw} r
+JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 3 THEN o_orderkey % 499 ELSE o_orderkey + 1000 END AS dn FROM {orders}) n
+  ON n.k = r.id_comprobante
+"""
+
 _ACCURACY = """
 SELECT o_orderkey AS image_id,
        CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_totalprice AS DECIMAL(15,2)) END AS gt_total,
@@ -329,6 +350,7 @@ VIEWS = {
     "v_requests": _REQUESTS,
     "v_slips": _SLIPS,
     "v_raw": _RAW,
+    "v_intake": _INTAKE,
     "v_accuracy": _ACCURACY,
     "v_truth": _TRUTH,
     "v_pairs": _PAIRS,

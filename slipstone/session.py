@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _spools: dict[str, SparkSession] = {}
+_makers: dict[str, int] = {}
 _own_folders: list[str] = []
 
 
@@ -54,6 +58,7 @@ def spool_path(spark: SparkSession, kind: str = "spool") -> str:
     """A new path in the shared folder, owned by the session until ``drop_spools``."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     _spools[path] = spark
+    _makers[path] = threading.get_ident()
     return path
 
 
@@ -78,14 +83,25 @@ def release(spark: SparkSession, path: str) -> None:
     """Delete one spool that no later step reads."""
     _remove(spark, path)
     _spools.pop(path, None)
+    _makers.pop(path, None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the spools that this thread made inside; for streams, which never end."""
+    before, own = set(_spools), threading.get_ident()
+    try:
+        yield
+    finally:
+        for path in [p for p in _spools if p not in before and _makers.get(p) == own]:
+            release(spark, path)
 
 
 def drop_spools(spark: SparkSession) -> int:
     """Delete every spool of the process; call it once a query's result has been written."""
     gone = list(_spools)
     for path in gone:
-        _remove(spark, path)
-        _spools.pop(path, None)
+        release(spark, path)
     return len(gone)
 
 
