@@ -21,7 +21,8 @@ from ..operators import (
 )
 from ..operators.prior import FrameStore
 from ..session import shared_dir
-from ..streaming import intake
+from ..sources.manifest import AppendTable
+from ..streaming import intake, memory
 from ..streaming.store import BlockStore
 from .catalog import (
     ACC_MATCH, AS_OF, CLEAN, REF_SQL, RESPELL, UPLOAD_AS_OF, _accuracy, bank_ctes,
@@ -1237,6 +1238,92 @@ def _(spark, d):
     )
 
 
+STATE_NAMES = ("recibido", "procesando", "comparando", "sospechoso", "en_revision", "valido", "duplicado", "error")
+
+
+def _by_week(spark, d, folder: str):
+    """The events as a queue of files in time order, one per micro-batch."""
+    events = table(spark, d, "events")
+    for low, high in [(1, 8), (8, 15), (15, 22), (22, 32)]:
+        day = F.dayofmonth("ts")
+        events.filter((day >= low) & (day < high)).coalesce(1).write.mode("append").parquet(f"{folder}/queue")
+    return intake.read_uploads(spark, f"{folder}/queue", events.schema, files_per_batch=1, pattern="*.parquet")
+
+
+@query("t3_hash_expiry", f"""
+WITH o AS (SELECT hash_documento, list(id_comprobante ORDER BY fecha_registro, id_comprobante) AS ids,
+    list(epoch_ms(fecha_registro) ORDER BY fecha_registro, id_comprobante) AS ts FROM {duck('v_uploads')} u GROUP BY 1),
+w AS (SELECT *, list_reduce(list_transform(range(1, len(ts) + 1), lambda i: [CAST(i AS BIGINT)]),
+    lambda a, i: list_append(a, CASE WHEN ts[i[1]] >= ts[a[-1]] + 7 * 86400000 THEN i[1] ELSE a[-1] END)) AS holder FROM o),
+z AS (SELECT hash_documento, ids, holder, unnest(range(1, len(ids) + 1)) AS i FROM w)
+SELECT ids[i] AS id_comprobante, hash_documento, CASE WHEN holder[i] <> i THEN ids[holder[i]] END AS id_existente FROM z""")
+def _(spark, d):
+    folder = _folder(spark)
+    raw = _by_week(spark, d, folder).select(
+        F.col("event_id").alias("id_comprobante"),
+        F.sha2(F.concat(F.col("user_id").cast("string"), F.lit("|"), "event_type", F.lit("|"), "props"), 256).alias("hash_documento"),
+        F.col("ts").cast("timestamp").alias("fecha_registro"),
+    )
+    return _drained(memory.hash_memory(raw), folder)
+
+
+@query("t4_voucher_states", f"""WITH {PATHS}
+SELECT id_comprobante, event_id, path[i] AS desde, hacia, coalesce(list_contains({EDGE_LIST}, path[i] || '>' || hacia), FALSE) AS legal, path[i + 1] AS estado FROM verdicts""")
+def _(spark, d):
+    folder = _folder(spark)
+    orders = table(spark, d, "orders").count()
+    asked = (F.col("user_id") + F.col("event_id")) % 8
+    raw = _by_week(spark, d, folder).select(
+        (F.col("event_id") % orders).alias("id_comprobante"), "event_id", F.col("ts").cast("timestamp").alias("fecha"),
+        F.element_at(F.array(*[F.lit(s) for s in STATE_NAMES]), (asked + 1).cast("int")).alias("hacia"),
+    )
+    stored = vouchers(spark, d).select("id_comprobante", F.col("estado_actual").alias("inicial"))
+    return _drained(memory.voucher_states(raw.join(stored, "id_comprobante", "left")), folder)
+
+
+@query("t6_usage_meter", f"""
+SELECT id_usuario, CAST(date_trunc('month', fecha_registro) AS DATE) AS mes, count(*) AS used FROM {duck('v_uploads')} u GROUP BY 1, 2""")
+def _(spark, d):
+    folder = _folder(spark)
+    raw = _by_week(spark, d, folder).select(
+        F.col("user_id").alias("id_usuario"), F.col("ts").cast("timestamp").alias("fecha_registro")
+    )
+    intake.run_usage_stream(raw, f"{folder}/used", f"{folder}/check").awaitTermination()
+    # the last micro-batch once more, as after a crash before its commit: nothing changes
+    newest = table(spark, d, "events").filter(F.dayofmonth("ts") >= 22)
+    intake.add_usage(
+        newest.select(F.col("user_id").alias("id_usuario"), F.col("ts").cast("timestamp").alias("fecha_registro")), 3,
+        f"{folder}/used",
+    )
+    return intake.usage_meter(spark, f"{folder}/used")
+
+
+@query("s9_append_once", f"""
+SELECT id_comprobante, id_usuario, monto FROM {V} v""")
+def _(spark, d):
+    rows = vouchers(spark, d).select("id_comprobante", "id_usuario", "monto")
+    kept = AppendTable(spark, _folder(spark), rows.schema)
+    half = F.col("id_comprobante") % 2 == 0
+    kept.append(rows.filter(half), 0)
+    kept.append(rows.filter(~half).limit(10), 1)  # an attempt that is tried again
+    kept.append(rows.filter(~half), 1)
+    return kept.read()
+
+
+@query("s8_unique_mail", f"""
+SELECT arg_min(id_usuario, (lote, id_usuario)) AS id_usuario, clave FROM (
+  SELECT id_usuario, id_usuario % 3 AS lote, concat('u', CAST(id_usuario % 500 AS VARCHAR), '@example.com') AS clave FROM {duck('v_users')} u) z GROUP BY clave""")
+def _(spark, d):
+    users = view(spark, d, "v_users").select(
+        "id_usuario", F.concat(F.lit("u"), (F.col("id_usuario") % 500).cast("string"), F.lit("@example.com")).alias("clave")
+    )
+    kept = AppendTable(spark, _folder(spark), users.schema)
+    for batch in (0, 1, 1, 2):  # the second batch is tried twice
+        fresh = users.filter(F.col("id_usuario") % 3 == batch)
+        kept.append(store.insert_if_absent(fresh, kept.read(before=batch), "clave", ["id_usuario"]), batch)
+    return kept.read()
+
+
 @query("t4_state_stream", f"""
 SELECT id_comprobante, count(*) AS eventos, any_value(desde) AS desde, any_value(estado) AS estado
 FROM ({REPLAYED}) x JOIN {DENSE.format(r=REQ + ' q')} r USING (id_comprobante) GROUP BY 1""")
