@@ -48,6 +48,13 @@ def _latin(text: str) -> bool:
         return False
 
 
+def _apart(unit: str) -> bool:
+    """Whether a unit has the same ids between line ends as alone."""
+    if "\n" in unit or unit[-1].isspace():
+        return False
+    return not unit[0].isspace() or (unit[0] == " " and not unit[1].isspace())
+
+
 class _Numbers(dict):
     """Numbers units in the order in which they are first asked for."""
 
@@ -74,25 +81,39 @@ class UnitEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.numbers = _Numbers()
         self.ids = np.zeros(1 << 16, dtype="<u4")
-        self.ends = np.zeros(1 << 16, dtype=np.int64)
+        self.starts, self.sizes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
+        self.line_end = self._encoded(["\n"])[0][0]
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for s in range(0, len(texts), 4096)
                 for e in self.tokenizer.encode_batch_fast(texts[s : s + 4096], add_special_tokens=False)]
 
+    def _lined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end and their numbers, of units that a line end keeps apart."""
+        lines = ["\n".join(units[s : s + 256]) for s in range(0, len(units), 256)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(chain(e.ids, (self.line_end,)) for e in found), dtype="<u4")
+        ends = np.flatnonzero(flat == self.line_end)
+        return flat[flat != self.line_end], np.diff(ends, prepend=-1) - 1
+
     def _add(self, new: list[str], at: int) -> None:
-        """Ids of ``new`` behind those of the first ``at`` units; unit u ends at ends[u + 1]."""
-        found = self._encoded(new)
-        sizes = np.array([len(f) for f in found], dtype=np.int64)
-        total = int(sizes.sum())
-        while self.used + total > len(self.ids):
+        """Keep the ids of ``new``, numbered from ``at``: where they start and how many they are."""
+        while at + len(new) > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+            self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+        apart = [_apart(u) for u in new]
+        flat, sizes = self._lined([u for u, a in zip(new, apart, strict=True) if a])
+        rest = self._encoded([u for u, a in zip(new, apart, strict=True) if not a])
+        numbers = np.argsort(~np.array(apart), kind="stable") + at
+        sizes = np.concatenate((sizes, np.array([len(r) for r in rest], dtype=np.int64)))
+        flat = np.concatenate((flat, np.array(list(chain.from_iterable(rest)), dtype="<u4")))
+        while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while at + len(new) + 1 > len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        self.ids[self.used : self.used + total] = list(chain.from_iterable(found))
-        self.ends[at + 1 : at + 1 + len(new)] = self.used + sizes.cumsum()
-        self.used += total
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[numbers] = self.used + sizes.cumsum() - sizes
+        self.sizes[numbers] = sizes
+        self.used += len(flat)
 
     def _split(self, text: str) -> list[str]:
         if _latin(text):
@@ -106,11 +127,10 @@ class UnitEncoder:
         if len(self.numbers) > MAX_UNITS:
             self.numbers, self.used = _Numbers(), 0
         known = len(self.numbers)
-        numbers = list(map(self.numbers.__getitem__, units))
+        at = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
         if len(self.numbers) > known:
             self._add(list(islice(self.numbers, known, None)), known)
-        at = np.array(numbers, dtype=np.int64)
-        starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
+        starts, sizes = self.starts[at], self.sizes[at]
         run = np.concatenate(([0], sizes.cumsum()))
         return self.ids[np.repeat(starts - run[:-1], sizes) + np.arange(run[-1])], run
 
