@@ -216,7 +216,15 @@ _SCHEMA = "doc string, start long, ids binary, doc_tokens long, sequence_id long
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=_COLUMNS)
+    return pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def _first_frame(placed: list[tuple], left: list[tuple]) -> pd.DataFrame:
+    """Pieces in full bins and pieces of open ones, whose ids stand in a column of their own so
+    that pooling them reads no others."""
+    rows = [(*row, None) for row in placed]
+    rows += [(doc, start, None, tokens, None, None, ids) for doc, start, ids, tokens in left]
+    frame = pd.DataFrame(rows, columns=[*_COLUMNS, "open_ids"])
     return frame.astype({"sequence_id": "Int64", "offset": "Int64"})
 
 
@@ -244,12 +252,12 @@ def _packed(docs: DataFrame, tokenizer: str, capacity: int, slack: int, end_id:
                     for length in cuts(len(ids), capacity, slack):
                         rows += bins.put((doc, at, ids[at : at + length].tobytes(), len(ids)))
                         at += length
-                yield _frame(rows)
+                yield _first_frame(rows, [])
                 start = stop
-        yield _frame([(*piece, None, None) for piece in bins.left()])
+        yield _first_frame([], bins.left())
 
     texts = docs.select(F.col("doc_id").cast("string").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, _SCHEMA)
+    return texts.mapInPandas(run, _SCHEMA + ", open_ids binary")
 
 
 def _pooled(open_pieces: DataFrame, capacity: int) -> DataFrame:
@@ -303,8 +311,9 @@ def pack(
     """
     kind = docs.schema["doc_id"].dataType
     pieces = spool(_packed(docs, tokenizer, capacity, slack, end_id))
-    pooled = _pooled(pieces.filter("sequence_id is null"), capacity)
-    return pieces.filter("sequence_id is not null").unionByName(pooled).select(
+    left = pieces.filter("open_ids is not null").select("doc", "start", F.col("open_ids").alias("ids"), "doc_tokens")
+    pooled = _pooled(left, capacity)
+    return pieces.filter("sequence_id is not null").select(*_COLUMNS).unionByName(pooled).select(
         F.col("doc").cast(kind).alias("doc_id"), *_COLUMNS[1:]
     )
 
