@@ -6,6 +6,7 @@ DuckDB SQL for the same result (absent where SQL cannot express it).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -16,7 +17,7 @@ from ..config import ScoringConfig
 from ..functions import amounts, banks, dates, documents, extract, metrics, similarity, text
 from ..operators import evaluation, store, textpairs
 from ..session import shared_dir
-from ..sources import readers, writers
+from ..sources import readers, record_files, writers
 from .fixtures import duck, table, view
 from .oracle_parts import CLASS, cosine_ctes, indel, s_fecha, s_monto
 
@@ -55,6 +56,66 @@ def _(spark, d):
     return readers.scan_documents(spark, d, ("parquet",)).select("file", "stem", "bytes")
 
 
+@query("s3_truth_folder", f"""
+WITH t AS (SELECT *, CASE WHEN ord % 10 = 0 THEN concat('f', CAST(ord AS VARCHAR)) ELSE id END AS stem FROM {duck('v_truth')} q)
+SELECT id AS clave, stem, CAST(monto AS DOUBLE) AS monto, pais, TRUE AS legible FROM t
+UNION ALL SELECT stem, stem, CAST(monto AS DOUBLE), pais, TRUE FROM t WHERE stem <> id
+UNION ALL SELECT NULL, concat('roto', CAST(i AS VARCHAR)), NULL, NULL, FALSE FROM range(4) r(i)""")
+def _(spark, d):
+    folder = f"{shared_dir(spark)}/truth-{uuid.uuid4().hex}"
+    truth = view(spark, d, "v_truth").select(
+        "id", F.col("monto").cast("double").alias("monto"), "fecha",
+        F.struct("pais", F.lit("x").alias("_interno")).alias("extended"),
+        F.when(F.col("ord") % 10 == 0, F.concat(F.lit("f"), F.col("ord").cast("string"))).otherwise(F.col("id")).alias("stem"),
+        (F.col("ord") % 4).alias("lote"),
+    )
+    record_files.write_truth_files(truth, folder, lot="lote")
+    # a file in every folder that is no JSON
+    broken = spark.range(4).select(F.format_string("%d/roto%d.json", "id", "id").alias("archivo"), F.lit('{"id": ').alias("cuerpo"))
+    record_files.write_records(broken, folder)
+    good, bad = readers.read_truth(spark, f"{folder}/*")
+    return readers.addressable(good).select(
+        F.col("key").alias("clave"), "stem", "monto", F.col("extended.pais").alias("pais"), F.lit(True).alias("legible")
+    ).unionByName(bad.select(
+        F.lit(None).cast("string").alias("clave"), "stem", F.lit(None).cast("double").alias("monto"),
+        F.lit(None).cast("string").alias("pais"), F.lit(False).alias("legible"),
+    ))
+
+
+def document_files(spark, d) -> str:
+    """The documents as files of three extensions; some have no known type."""
+    folder = f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}"
+    k = F.col("doc_id")
+    ext = F.when(k % 3 == 0, "pdf").when(k % 3 == 1, "PNG").otherwise("jpg")
+    record_files.write_records(
+        table(spark, d, "documents").select(
+            F.format_string("doc-%d.%s", k, ext).alias("archivo"),
+            F.concat(F.when(k % 11 == 5, "XX").otherwise("%PDF-"), F.coalesce("text", F.lit(""))).alias("cuerpo"),
+        ),
+        folder,
+    )
+    return folder
+
+
+DOC_FILES = """(SELECT doc_id, concat('doc-', CAST(doc_id AS VARCHAR), '.', CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'PNG' ELSE 'jpg' END) AS archivo,
+  concat(CASE WHEN doc_id % 11 = 5 THEN 'XX' ELSE '%PDF-' END, coalesce(text, '')) AS cuerpo, doc_id % 11 <> 5 AS bueno FROM documents)"""
+
+
+@query("s2_document_folder", f"""
+SELECT archivo, CAST(strlen(cuerpo) AS BIGINT) AS bytes, CASE WHEN NOT bueno THEN 'bad_type' END AS motivo,
+  CASE WHEN bueno THEN min(doc_id) OVER (PARTITION BY cuerpo) END AS primero FROM {DOC_FILES} f""")
+def _(spark, d):
+    good, bad = readers.read_documents(spark, document_files(spark, d))
+    # back to the table by content: the first document of each hash
+    text = F.concat(F.lit("%PDF-"), F.coalesce("text", F.lit("")))
+    held = table(spark, d, "documents").filter("doc_id % 11 <> 5").groupBy(
+        documents.document_hash(text).alias("hash_documento")
+    ).agg(F.min("doc_id").alias("primero"))
+    return good.join(held, "hash_documento", "left").select(
+        F.col("file").alias("archivo"), "bytes", F.lit(None).cast("string").alias("motivo"), "primero"
+    ).unionByName(bad.select(F.col("file").alias("archivo"), "bytes", "motivo", F.lit(None).cast("long").alias("primero")))
+
+
 @query("s4_pairs_csv_roundtrip", f"""
 SELECT id_a, id_b, tipo_duplicado, 'capa_1' AS capa_esperada, clasificacion_esperada,
        concat('nota, "', id_a, '"') AS notas

@@ -14,6 +14,7 @@ from ..operators import (
     evaluation,
     intake as intake_flow,
     layers,
+    pages,
     pairs as pairset,
     reports,
     store,
@@ -21,11 +22,12 @@ from ..operators import (
 )
 from ..operators.prior import FrameStore
 from ..session import shared_dir
+from ..sources import readers
 from ..sources.manifest import AppendTable
 from ..streaming import intake, memory
 from ..streaming.store import BlockStore
 from .catalog import (
-    ACC_MATCH, AS_OF, CLEAN, REF_SQL, RESPELL, UPLOAD_AS_OF, _accuracy, bank_ctes,
+    ACC_MATCH, AS_OF, CLEAN, DOC_FILES, REF_SQL, RESPELL, UPLOAD_AS_OF, _accuracy, bank_ctes, document_files,
     parse_date_sql, query,
 )
 from .fixtures import duck, table, view
@@ -801,6 +803,14 @@ def _(spark, d):
     return reports.after_key(rows, "1996-06-01 12:00:00", 500, 50).select("id_comprobante")
 
 
+@query("o2_deep_page", f"""
+SELECT id_comprobante, estado_actual, monto FROM {LIVE} v {NEWEST} LIMIT 50 OFFSET (SELECT count(*) * 9 // 10 FROM {LIVE} w)""")
+def _(spark, d):
+    rows = reports.live(vouchers(spark, d)).select("id_comprobante", "estado_actual", "monto", "fecha_registro")
+    index = pages.build_page_index(rows, _folder(spark), run_rows=2000)
+    return index.page(50, index.total * 9 // 10).drop("fecha_registro")
+
+
 @query("o3_recent", f"SELECT id_comprobante FROM {LIVE} v {NEWEST} LIMIT 10")
 def _(spark, d):
     return reports.recent(vouchers(spark, d), 10).select("id_comprobante")
@@ -1159,6 +1169,14 @@ def _(spark, d):
     )
 
 
+@query("t1_document_stream", f"""
+SELECT archivo, CAST(strlen(cuerpo) AS BIGINT) AS bytes, CASE WHEN bueno THEN 'application/pdf' END AS mime,
+  CASE WHEN bueno THEN sha256(cuerpo) END AS hash_documento, CASE WHEN NOT bueno THEN 'bad_type' END AS motivo FROM {DOC_FILES} f""")
+def _(spark, d):
+    source = readers.document_stream(spark, document_files(spark, d), files_per_batch=400)
+    return _drained(source, _folder(spark))
+
+
 def voucher_stream(spark, d, folder: str):
     """Uploads as full vouchers: reference, amount and date come from the event itself."""
     schema = table(spark, d, "events").schema
