@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +28,23 @@ def strip(value) -> Column:
     return F.btrim(_as_col(value), F.lit(WHITESPACE))
 
 
+_plain: ContextVar[bool] = ContextVar("plain", default=False)
+
+
+@contextmanager
+def written_out() -> Iterator[None]:
+    """Inside, ``let`` repeats its value instead of binding it: SQL text has no binding."""
+    token = _plain.set(True)
+    try:
+        yield
+    finally:
+        _plain.reset(token)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    if _plain.get():
+        return body(value)
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

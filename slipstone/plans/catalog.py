@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ScoringConfig
-from ..functions import amounts, banks, dates, documents, extract, metrics, similarity, text
+from ..functions import amounts, banks, dates, documents, extract, metrics, similarity, sql, text
 from ..operators import evaluation, store, textpairs
 from ..session import shared_dir
 from ..sources import readers, record_files, writers
@@ -817,6 +817,27 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", text.slug(name).alias("slug"))
 
 
+@query("f_sql_functions", f"""
+WITH p AS (SELECT id_comprobante, {REF_SQL} AS referencia, {parse_date_sql('f')} AS fecha, f.o_totalprice, f.o_orderdate,
+    CASE WHEN length({CLEAN}) - length(replace({CLEAN}, '.', '')) <= 1 AND TRY_CAST({CLEAN} AS DECIMAL(15,2)) >= 0 THEN TRY_CAST({CLEAN} AS DECIMAL(15,2)) END AS monto
+  FROM (SELECT s.*, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM {STRIPPED.replace('{v}', duck('v_raw') + ' r')} s JOIN orders ON o_orderkey = id_comprobante) f)
+SELECT id_comprobante, monto, fecha, referencia, round({s_monto('monto', 'o_totalprice')}, 6) AS s_monto, round({s_fecha('fecha', 'o_orderdate')}, 6) AS s_fecha,
+  {CLASS.format(s=s_monto('monto', 'o_totalprice'))} AS clase,
+  concat('cuenta ****', right(lpad(CAST(id_comprobante AS VARCHAR), 11, '0'), 4)) AS cuenta, sha256(CAST(id_comprobante AS VARCHAR)) AS huella FROM p""")
+def _(spark, d):
+    sql.register(spark)
+    view(spark, d, "v_raw").createOrReplaceTempView("capturas")
+    table(spark, d, "orders").createOrReplaceTempView("pedidos")
+    return spark.sql("""
+        SELECT id_comprobante, slip_amount(monto) AS monto, slip_date(fecha) AS fecha, slip_reference(referencia) AS referencia,
+          round(slip_amount_similarity(CAST(slip_amount(monto) AS DOUBLE), o_totalprice), 6) AS s_monto,
+          round(slip_date_similarity(slip_date(fecha), CAST(o_orderdate AS DATE)), 6) AS s_fecha,
+          slip_class(slip_amount_similarity(CAST(slip_amount(monto) AS DOUBLE), o_totalprice)) AS clase,
+          slip_mask_accounts(concat('cuenta 0121800', lpad(CAST(id_comprobante AS STRING), 11, '0'))) AS cuenta,
+          slip_hash(CAST(CAST(id_comprobante AS STRING) AS BINARY)) AS huella
+        FROM capturas JOIN pedidos ON o_orderkey = id_comprobante""")
+
+
 MONTHS_SQL = "['ENERO','FEBRERO','MARZO','ABRIL','MAYO','JUNIO','JULIO','AGOSTO','SEPTIEMBRE','OCTUBRE','NOVIEMBRE','DICIEMBRE']"
 
 
