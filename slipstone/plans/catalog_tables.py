@@ -349,12 +349,12 @@ def _(spark, d):
 
 @query("j11_match_by_position", f"""
 WITH f AS (SELECT concat('scan-', lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), '.jpg') AS file, row_number() OVER (ORDER BY concat('scan-', lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), '.jpg')) AS rn
-           FROM orders WHERE o_orderpriority <> '5-LOW'),
+           FROM orders),
 g AS (SELECT id, {RESPELL} AS banco, row_number() OVER (ORDER BY id) AS rn FROM {duck('v_truth')} t)
 SELECT file, id AS gt_id, banco FROM f JOIN g USING (rn) WHERE banco <> ''""")
 def _(spark, d):
     stem = F.concat(F.lit("scan-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
-    files = table(spark, d, "orders").filter("o_orderpriority <> '5-LOW'").select(
+    files = table(spark, d, "orders").select(
         stem.alias("stem"), F.concat(stem, F.lit(".jpg")).alias("file")
     )
     return pairset.match_sources(files, view(spark, d, "v_truth")).select("file", "gt_id", "banco")
@@ -661,6 +661,83 @@ def _(spark, d):
     return audit.audit_constraints({"comprobantes": spark.sql(DIRTY.format(v="slipstone_vouchers"))})
 
 
+def audit_tables(spark, d):
+    """Five tables of the store."""
+    checked = validations(spark, d)
+    vouchers(spark, d).createOrReplaceTempView("slipstone_vouchers")
+    return {
+        "comprobantes": spark.sql(DIRTY.format(v="slipstone_vouchers")), "validaciones": checked,
+        "usuarios": view(spark, d, "v_audit_users"), "organizaciones": view(spark, d, "v_audit_orgs"),
+        "log_procesamiento": view(spark, d, "v_audit_log"),
+    }
+
+
+AUDITED = {"comprobantes": DV, "validaciones": VAL, "usuarios": duck("v_audit_users"),
+           "organizaciones": duck("v_audit_orgs"), "log_procesamiento": duck("v_audit_log")}
+
+
+def audit_sql(rule: tuple) -> str:
+    kind, t, c, *rest = rule
+    if kind == "fila":
+        return f"SELECT '{t}' AS tabla, '{c}' AS regla, count_if({rest[0]}) AS violaciones FROM {AUDITED[t]} x"
+    if kind == "unico":
+        return f"SELECT '{t}' AS tabla, 'unico_{c}' AS regla, count({c}) - count(DISTINCT {c}) AS violaciones FROM {AUDITED[t]} x"
+    return (f"SELECT '{t}', 'huerfano_{c}', count(*) FROM {AUDITED[t]} x WHERE {c} IS NOT NULL "
+            f"AND NOT EXISTS (SELECT 1 FROM {AUDITED[rest[0]]} p WHERE p.{rest[1]} = x.{c})")
+
+
+ALL_RULES = [
+    ("fila", "comprobantes", "estado_actual", f"estado_actual IS NULL OR estado_actual NOT IN {STATES_SQL}"),
+    ("fila", "comprobantes", "monto_no_negativo", "monto < 0"),
+    ("fila", "comprobantes", "hash_formato", "hash_documento IS NULL OR NOT regexp_matches(hash_documento, '^[0-9a-f]{64}$')"),
+    ("fila", "comprobantes", "usuario_no_nulo", "id_usuario IS NULL"),
+    ("fila", "comprobantes", "referencia_larga", "length(referencia) > 100"),
+    ("fila", "comprobantes", "banco_largo", "length(banco) > 50"),
+    ("fila", "comprobantes", "imagen_larga", "imagen_path IS NULL OR length(imagen_path) > 500"),
+    ("fila", "validaciones", "clasificacion", "clasificacion IS NULL OR clasificacion NOT IN ('valido', 'sospechoso', 'duplicado')"),
+    ("fila", "validaciones", "metodo", "metodo_deteccion IS NULL OR metodo_deteccion NOT IN ('hash_exacto', 'campos_exactos', 'scoring_ponderado', 'manual')"),
+    ("fila", "validaciones", "score_rango", "score_similitud < 0 OR score_similitud > 1"),
+    ("fila", "validaciones", "comprobante_no_nulo", "id_comprobante IS NULL"),
+    ("fila", "validaciones", "fecha_no_nula", "fecha_validacion IS NULL"),
+    ("fila", "usuarios", "organizacion_no_nula", "id_organizacion IS NULL"),
+    ("fila", "usuarios", "nombre", "nombre IS NULL OR length(nombre) > 150"),
+    ("fila", "usuarios", "correo_largo", "length(correo) > 254"),
+    ("fila", "usuarios", "plan", "plan IS NULL OR plan NOT IN ('basic', 'pro', 'enterprise')"),
+    ("fila", "usuarios", "correo_no_nulo", "correo IS NULL"),
+    ("fila", "organizaciones", "plan_suscripcion", "plan_suscripcion IS NULL OR plan_suscripcion NOT IN ('basico', 'profesional', 'empresarial')"),
+    ("fila", "organizaciones", "nombre", "nombre IS NULL OR length(nombre) > 150"),
+    ("fila", "log_procesamiento", "nivel", "nivel IS NULL OR nivel NOT IN ('INFO', 'WARN', 'ERROR')"),
+    ("fila", "log_procesamiento", "comprobante_no_nulo", "id_comprobante IS NULL"),
+    ("fila", "log_procesamiento", "etapa", "etapa IS NULL OR length(etapa) > 50"),
+    ("fila", "log_procesamiento", "mensaje_no_nulo", "mensaje IS NULL"),
+    ("unico", "comprobantes", "id_comprobante"), ("unico", "comprobantes", "hash_documento"),
+    ("unico", "usuarios", "id_usuario"), ("unico", "usuarios", "correo"), ("unico", "organizaciones", "id_organizacion"),
+    ("unico", "log_procesamiento", "id_log"),
+    ("huerfano", "comprobantes", "id_usuario", "usuarios", "id_usuario"),
+    ("huerfano", "validaciones", "id_comprobante", "comprobantes", "id_comprobante"),
+    ("huerfano", "validaciones", "id_comprobante_original", "comprobantes", "id_comprobante"),
+    ("huerfano", "usuarios", "id_organizacion", "organizaciones", "id_organizacion"),
+    ("huerfano", "log_procesamiento", "id_comprobante", "comprobantes", "id_comprobante"),
+    ("huerfano", "log_procesamiento", "id_usuario", "usuarios", "id_usuario"),
+]
+
+
+@query("a16_audit_all_tables", " UNION ALL ".join(map(audit_sql, ALL_RULES)))
+def _(spark, d):
+    return audit.audit_all(audit_tables(spark, d))
+
+
+@query("j15_audit_by_increments", " UNION ALL ".join(audit_sql(r) for r in ALL_RULES if r[0] != "fila"))
+def _(spark, d):
+    tables = audit_tables(spark, d)
+    # vouchers and log rows in two halves, as an audit that is kept would see them
+    split = {"comprobantes": "id_comprobante", "log_procesamiento": "id_log"}
+    first = {t: df.filter(F.col(split[t]) % 2 == 0) if t in split else df for t, df in tables.items()}
+    later = {t: df.filter(F.col(split[t]) % 2 == 1) if t in split else df.limit(0) for t, df in tables.items()}
+    counts = audit.merged_counts(audit.key_counts(first), audit.key_counts(later))
+    return audit.key_violations(counts, tables)
+
+
 @query("a17_weights", f"""
 SELECT coalesce(max(CASE WHEN key = 'scoring.w_ref' THEN TRY_CAST(value AS DOUBLE) END), 0.35) AS w_ref,
   coalesce(max(CASE WHEN key = 'scoring.w_text' THEN TRY_CAST(value AS DOUBLE) END), 0.30) AS w_text,

@@ -339,6 +339,31 @@ SELECT concat('scoring.', CASE o_orderkey % 5 WHEN 0 THEN 'w_ref' WHEN 1 THEN 'w
 FROM {orders} GROUP BY o_orderkey % 5
 """
 
+# the other tables of the relational store, with a few rows that break their rules
+_AUDIT_USERS = """
+SELECT id_usuario, CASE WHEN id_usuario % 83 = 0 THEN 999 WHEN id_usuario % 79 = 0 THEN NULL ELSE id_organizacion END AS id_organizacion,
+  CASE WHEN id_usuario % 89 = 0 THEN NULL ELSE nombre END AS nombre,
+  CASE WHEN id_usuario % 71 = 0 THEN 'igual@example.com' WHEN id_usuario % 73 = 0 THEN NULL ELSE correo END AS correo,
+  CASE WHEN id_usuario % 67 = 0 THEN 'oro' ELSE plan END AS plan
+FROM {v_users} u WHERE id_usuario % 97 <> 0
+"""
+
+_AUDIT_ORGS = """
+SELECT CASE WHEN n_nationkey = 24 THEN 23 ELSE n_nationkey END AS id_organizacion, n_name AS nombre,
+  CASE WHEN n_nationkey % 7 = 0 THEN 'gratis' ELSE 'basico' END AS plan_suscripcion
+FROM {nation}
+"""
+
+_AUDIT_LOG = """
+SELECT event_id - event_id % 50 * (CASE WHEN event_id % 50 = 1 THEN 1 ELSE 0 END) AS id_log,
+  CASE WHEN event_id % 61 = 0 THEN NULL ELSE event_id END AS id_comprobante,
+  CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id * 7 END AS id_usuario,
+  CASE WHEN event_id % 59 = 0 THEN concat(event_type, lpad('', 60, 'x')) ELSE event_type END AS etapa,
+  CASE WHEN event_id % 47 = 0 THEN NULL ELSE props END AS mensaje,
+  CASE WHEN event_id % 53 = 0 THEN 'TRACE' ELSE 'INFO' END AS nivel
+FROM {events}
+"""
+
 VIEWS = {
     "v_vouchers": _VOUCHERS,
     "v_deposits": _DEPOSITS,
@@ -351,6 +376,9 @@ VIEWS = {
     "v_slips": _SLIPS,
     "v_raw": _RAW,
     "v_intake": _INTAKE,
+    "v_audit_users": _AUDIT_USERS,
+    "v_audit_orgs": _AUDIT_ORGS,
+    "v_audit_log": _AUDIT_LOG,
     "v_accuracy": _ACCURACY,
     "v_truth": _TRUTH,
     "v_pairs": _PAIRS,
