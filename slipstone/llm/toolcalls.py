@@ -38,6 +38,22 @@ _TYPES = {
 }
 
 
+def _plain(value):
+    """Whole numbers as integers, however they were written, as far as a double is exact."""
+    if isinstance(value, float) and value.is_integer() and abs(value) < 2**53:
+        return int(value)
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return value
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: true is not 1."""
+    return canonical(_plain(a)) == canonical(_plain(b))
+
+
 def canonical(value) -> str:
     """Keys in order, no spaces, characters unescaped where JSON allows; no NaN or infinity."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
@@ -50,7 +66,7 @@ def violation(value, schema: dict, place: str = "$") -> str | None:
         kinds = [kinds] if isinstance(kinds, str) else kinds
         if not any(_TYPES[k](value) for k in kinds):
             return f"{place}: type"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, allowed) for allowed in schema["enum"]):
         return f"{place}: enum"
     if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf):
         return f"{place}: length"
@@ -76,8 +92,9 @@ def violation(value, schema: dict, place: str = "$") -> str | None:
 
 def check_arguments(text: str | None, schema: dict | None) -> Arguments:
     try:
-        value = json.loads(text if text is not None else "null")
+        value = _plain(json.loads(text if text is not None else "null"))
         plain = canonical(value)
+        plain.encode("utf-8")  # an escape may name half of a pair, which no text can hold
     except (ValueError, RecursionError):
         return Arguments(None, "$: not JSON")
     if schema is None:

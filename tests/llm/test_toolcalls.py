@@ -67,3 +67,15 @@ def test_schema_rules(value, schema, found):
 def test_canonical_arguments():
     assert check_arguments('{"b": [1, 2.50], "a": "\\u00e9/"}', {}).canonical == '{"a":"é/","b":[1,2.5]}'
     assert check_arguments("[NaN]", {}).error == "$: not JSON"
+
+
+def test_halves_of_pairs_and_whole_numbers(spark):
+    half = '{"s":"\\ud800"}'
+    assert check_arguments(half, {}).error == "$: not JSON"
+    assert check_arguments('{"s":"\\ud83d\\ude00"}', {}).canonical == '{"s":"\U0001f600"}'
+    assert check_arguments('{"n":[1.0,2.5,-0.0,1e300,1e3]}', {}).canonical == '{"n":[1,2.5,0,1e+300,1000]}'
+    assert violation(True, {"enum": [1]}) == "$: enum" and violation(1.0, {"enum": [1]}) is None
+    assert violation([True], {"enum": [[1]]}) == "$: enum" and violation({"a": 1.0}, {"enum": [{"a": 1}]}) is None
+    got = linked(spark, [(1, 0, "a", "sum", half, []), (1, 2, "b", "sum", '{"n":3.0}', [])], [(1, 1, "a", "r"), (1, 3, "b", "r")])
+    assert got[1, "a"].status == "invalid_arguments" and got[1, "a"].arguments is None
+    assert (got[1, "b"].status, got[1, "b"].arguments) == ("linked", '{"n":3}')
