@@ -70,8 +70,8 @@ STAGES = [
     ("piece_samples", piece_samples),
 ]
 
-#: a trained model and sampled segmentations are beyond SQL; tests hold the stages against
-#: brute-force versions
+#: a trained model and sampled segmentations are beyond SQL; the operators' own tests hold them
+#: against brute force, the pipeline's tests check what each stage keeps on small tables
 ORACLE_SQL = None
 
 

@@ -361,7 +361,9 @@ def _best_of_heads(
     # the candidate of the highest ceiling is scored in full, which lifts the floor of the rest
     leading = spool(measured(
         floor.select("q_id", "lead").join(asked, "q_id")
-        .join(pool.withColumn("lead", F.xxhash64("c_id")), "lead").filter(in_window)
+        # the number is no id: another scope's voucher may share it
+        .join(pool.withColumn("lead", F.xxhash64("c_id")), "lead")
+        .filter(in_window & (F.col("q_scope") == F.col("c_scope")))
     ))
     exact = with_cosine(leading).groupBy("q_id").agg(
         F.max(total(F.coalesce("s_text", "cosine", F.lit(0.0)))).alias("exact")

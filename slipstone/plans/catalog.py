@@ -12,7 +12,9 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .. import schemas
 from ..config import ScoringConfig
 from ..functions import amounts, banks, dates, documents, extract, metrics, similarity, sql, text
 from ..operators import evaluation, store, textpairs
@@ -167,6 +169,24 @@ def _(spark, d):
     ).select("id_comprobante", "id_usuario", "monto", "fecha_deposito")
 
 
+@query("s7_stored_tables", f"""
+SELECT CAST(v.id_comprobante AS VARCHAR) AS id_comprobante, v.monto, u.plan, v.estado_actual
+FROM {duck('v_vouchers')} v JOIN {duck('v_users')} u USING (id_usuario) WHERE v.monto > 100000 AND u.deleted_at IS NULL""")
+def _(spark, d):
+    # the store as it is kept: one folder per table, explicit schemas
+    root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    for name, rows in (("comprobantes", view(spark, d, "v_vouchers")), ("usuarios", view(spark, d, "v_users"))):
+        fields = StructType.fromDDL(schemas.TABLES[name]).fields
+        rows.select(*[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+        ]).write.parquet(f"{root}/{name}")
+    held = readers.read_tables(spark, root, ["comprobantes", "usuarios"])
+    live = held["usuarios"].filter("deleted_at is null").select("id_usuario", "plan")
+    return held["comprobantes"].filter("monto > 100000").join(live, "id_usuario").select(
+        "id_comprobante", "monto", "plan", "estado_actual"
+    )
+
+
 @query("s8_insert_if_absent", f"""
 SELECT id_comprobante, hash_documento FROM (
   SELECT *, row_number() OVER (PARTITION BY hash_documento ORDER BY fecha_registro, id_comprobante) AS rn

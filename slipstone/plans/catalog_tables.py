@@ -200,6 +200,18 @@ def _(spark, d):
     return layers.layer3(vouchers(spark, d), ScoringConfig(scope="id_organizacion"))
 
 
+_FIXED = "0.35::DOUBLE * s_ref + 0.3::DOUBLE * s_text + 0.2::DOUBLE * s_monto\n            + 0.15::DOUBLE * s_fecha"
+_STORED = " + ".join(
+    f"(SELECT CAST(value AS DOUBLE) FROM {duck('v_weights')} w WHERE key = 'scoring.{k}') * {s}"
+    for k, s in (("w_ref", "s_ref"), ("w_text", "s_text"), ("w_monto", "s_monto"), ("w_fecha", "s_fecha"))
+)
+
+
+@query("a17_weights_in_layer3", _layer3_sql("id_usuario").replace(_FIXED, _STORED))
+def _(spark, d):
+    return layers.layer3(vouchers(spark, d), store.load_weights(view(spark, d, "v_weights")))
+
+
 @query("j4_layer3_sequence_matcher")
 def _(spark, d):
     return layers.layer3(vouchers(spark, d), ScoringConfig(similarity="sequence_matcher"))

@@ -339,6 +339,13 @@ SELECT concat('scoring.', CASE o_orderkey % 5 WHEN 0 THEN 'w_ref' WHEN 1 THEN 'w
 FROM {orders} GROUP BY o_orderkey % 5
 """
 
+# stored weights of the scored layer
+_WEIGHTS = """
+SELECT concat('scoring.', CASE o_orderkey % 4 WHEN 0 THEN 'w_ref' WHEN 1 THEN 'w_text' WHEN 2 THEN 'w_monto' ELSE 'w_fecha' END) AS key,
+       CASE o_orderkey % 4 WHEN 0 THEN '0.4' WHEN 1 THEN '0.1' WHEN 2 THEN '0.375' ELSE '0.125' END AS value
+FROM {orders} GROUP BY o_orderkey % 4
+"""
+
 # the other tables of the relational store, with a few rows that break their rules
 _AUDIT_USERS = """
 SELECT id_usuario, CASE WHEN id_usuario % 83 = 0 THEN 999 WHEN id_usuario % 79 = 0 THEN NULL ELSE id_organizacion END AS id_organizacion,
@@ -376,6 +383,7 @@ VIEWS = {
     "v_slips": _SLIPS,
     "v_raw": _RAW,
     "v_intake": _INTAKE,
+    "v_weights": _WEIGHTS,
     "v_audit_users": _AUDIT_USERS,
     "v_audit_orgs": _AUDIT_ORGS,
     "v_audit_log": _AUDIT_LOG,
