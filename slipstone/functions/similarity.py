@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from ..config import ScoringConfig
 from .amounts import _as_col
@@ -152,6 +152,42 @@ def terms(text) -> Column:
     return F.regexp_extract_all(F.lower(_as_col(text)), F.lit(f"({TERM_PATTERN})"))
 
 
+#: hash buckets of a text sketch
+SKETCH_WIDTH = 256
+
+
+def term_hashes(text) -> Column:
+    """64-bit hashes of the terms of a text, repeats included."""
+    return F.transform(terms(text), lambda t: F.xxhash64(t))
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def _sketch_udf(hashes: pd.Series) -> pd.Series:
+    def one(found) -> np.ndarray:
+        term, count = np.unique(np.asarray(found, dtype=np.int64), return_counts=True)
+        squares = np.bincount(term & (SKETCH_WIDTH - 1), weights=count.astype(np.float64) ** 2, minlength=SKETCH_WIDTH)
+        whole = squares.sum()
+        # rounded up, so that products of two sketches stay upper bounds
+        return (np.sqrt(squares / whole if whole else squares) * (1 + 1e-6)).astype(np.float32)
+
+    return hashes.map(one)
+
+
+def text_sketch(text) -> Column:
+    """Norm of the terms in each of 256 hash buckets, as a share of the whole norm."""
+    return _sketch_udf(term_hashes(text))
+
+
+def cosine_bound(a: str, b: str) -> Column:
+    """Upper bound of the two-document TF-IDF cosine from two ``text_sketch`` columns.
+
+    Unshared terms weigh more than shared ones, so the plain norms bound the divisor from below;
+    within a bucket the shared products are at most the product of the two norms.
+    """
+    product = F.zip_with(a, b, lambda x, y: (x * y).cast("double"))
+    return F.least(F.lit(1.0), F.aggregate(product, F.lit(0.0), lambda held, x: held + x))
+
+
 def cosine_of_sums(dot, shared_a, all_a, shared_b, all_b) -> Column:
     """Two-document TF-IDF cosine from sums over terms.
 

@@ -100,7 +100,7 @@ def text_key(text) -> Column:
 
 
 def scoring_rows(v: DataFrame, cfg: ScoringConfig, batch: int, queries: Column) -> DataFrame:
-    """The narrow columns scoring needs; the text itself is replaced by its digest."""
+    """The narrow columns scoring needs; the text is replaced by its digest and sketch."""
     return v.select(
         "id_comprobante",
         F.struct(F.lit(batch).alias("batch"), *ORDER).alias("ord"),
@@ -109,6 +109,7 @@ def scoring_rows(v: DataFrame, cfg: ScoringConfig, batch: int, queries: Column)
         F.col("monto").cast("double").alias("monto"),
         "fecha_deposito",
         text_key("texto_extraido").alias("text_key"),
+        sim.text_sketch(F.coalesce("texto_extraido", F.lit(""))).alias("sketch"),
         F.col("deleted_at").isNull().alias("live"),
         queries.alias("wanted"),
     )
@@ -187,6 +188,7 @@ def _as_queries(df: DataFrame) -> DataFrame:
         F.col("monto").alias("q_monto"),
         F.col("fecha_deposito").alias("q_day"),
         F.col("text_key").alias("q_text"),
+        F.col("sketch").alias("q_sketch"),
     )
 
 
@@ -199,6 +201,7 @@ def _as_candidates(df: DataFrame) -> DataFrame:
         F.col("monto").alias("c_monto"),
         F.col("fecha_deposito").alias("c_day"),
         F.col("text_key").alias("c_text"),
+        F.col("sketch").alias("c_sketch"),
     )
 
 
@@ -230,10 +233,11 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
     1. equal profiles (scope, reference, amount, date, text) collapse to their first live row;
        a later row of the same profile can only be beaten to it by a row that ties with it;
     2. a first pass over the band join keeps two things per voucher: the best score that cheap
-       bounds already guarantee (edit distance bounds the reference measure) and the candidate
-       of the highest bound, which is then scored in full; the better of both is the floor;
+       bounds already guarantee and the candidate of the highest bound, which is then scored in
+       full; the better of both is the floor. Edit distance bounds the reference measure,
+       sketches of fixed width (norms of the terms by hash bucket) bound the text measure;
     3. a second pass measures the reference exactly where the bound reaches the floor and writes
-       only pairs that still reach it with the best possible text;
+       only pairs that still reach it with the bound of the text, a few to a voucher;
     4. the text measure runs on those alone.
 
     Returns ``id_comprobante, id_comprobante_original, raw_score`` for every wanted row, nulls
@@ -246,6 +250,7 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
             F.min(F.when(F.col("live"), F.col("ord"))).alias("first"),
             F.max("wanted").alias("wanted"),
             F.count(F.lit(1)).alias("n"),
+            F.any_value("sketch").alias("sketch"),
         )
     )
     pool = _as_candidates(profiles.filter("first is not null"))
@@ -259,10 +264,10 @@ def best_matches(rows: DataFrame, text_of: TextLookup, cfg: ScoringConfig) -> Da
     heads = stamped.filter("not tail and fecha_deposito is not null and scope is not null")
     # firsts of profiles that have later rows are scored too, wanted or not
     leaders = repeated.filter("wanted and first is not null").select(
-        F.col("first.id_comprobante").alias("id_comprobante"), F.col("first").alias("ord"), *_PROFILE
+        F.col("first.id_comprobante").alias("id_comprobante"), F.col("first").alias("ord"), *_PROFILE, "sketch"
     )
     asked = _as_queries(
-        heads.select("id_comprobante", "ord", *_PROFILE)
+        heads.select("id_comprobante", "ord", *_PROFILE, "sketch")
         .unionByName(leaders)
         .dropDuplicates(["id_comprobante"])
     )
@@ -315,7 +320,9 @@ def _best_of_heads(
     same_text = F.coalesce(F.col("q_text") == F.col("c_text"), F.lit(False))
     open_text = F.col("q_text").isNotNull() & F.col("c_text").isNotNull() & ~same_text
     known_text = F.when(same_text, F.lit(1.0)).otherwise(F.lit(0.0))
-    top_text = F.when(same_text | open_text, F.lit(1.0)).otherwise(F.lit(0.0))
+    top_text = (
+        F.when(same_text, F.lit(1.0)).when(open_text, sim.cosine_bound("q_sketch", "c_sketch")).otherwise(F.lit(0.0))
+    )
     s_monto = amount_similarity("q_monto", "c_monto")
     s_fecha = date_similarity("q_day", "c_day", width)
     if cfg.similarity == "indel":
@@ -328,6 +335,9 @@ def _best_of_heads(
         measure = sim.sequence_ratio
 
     in_window = _in_window(width)
+    # without the sketches: what a pair could reach if its open texts were equal
+    any_text = F.when(same_text | open_text, F.lit(1.0)).otherwise(F.lit(0.0))
+    rough = sim.weighted_score(top_ref, any_text, s_monto, s_fecha, cfg)
     ceiling = sim.weighted_score(top_ref, top_text, s_monto, s_fecha, cfg)
     bounded = blocked.join(facing, block).filter(in_window).select(
         "q_id", "c_id", ceiling.alias("ceiling"),
@@ -343,6 +353,7 @@ def _best_of_heads(
         return pairs.withColumn("s_ref", measure("q_ref", "c_ref")).select(
             *carry, "q_id", "c_id", "c_ord", "s_ref", s_monto.alias("s_monto"), s_fecha.alias("s_fecha"),
             F.when(same_text, F.lit(1.0)).when(~open_text, F.lit(0.0)).alias("s_text"),
+            top_text.alias("top_text"),
             F.when(open_text, F.least("q_text", "c_text")).alias("key_a"),
             F.when(open_text, F.greatest("q_text", "c_text")).alias("key_b"),
         )
@@ -372,12 +383,12 @@ def _best_of_heads(
     contenders = measured(
         blocked.join(floor, "q_id")
         .join(facing, block)
-        .filter(in_window & (ceiling >= F.col("floor") - _SLACK) & (ceiling > 0)),
+        .filter(in_window & (rough >= F.col("floor") - _SLACK) & (ceiling >= F.col("floor") - _SLACK) & (ceiling > 0)),
         "floor",
     )
-    # only pairs whose exact reference and best possible text still reach the floor are written
+    # only pairs whose exact reference and text bound still reach the floor are written
     finalists = spool(
-        contenders.filter(total(F.coalesce("s_text", F.lit(1.0))) >= F.col("floor") - _SLACK).drop("floor")
+        contenders.filter(total(F.col("top_text")) >= F.col("floor") - _SLACK).drop("floor", "top_text")
     )
     top = F.min(F.struct((-F.col("score")).alias("neg"), "c_ord")).alias("top")
     return spool(

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slipstone.config import ScoringConfig
+from slipstone.functions import similarity as sim
 from slipstone.functions.similarity import UNSHARED_IDF
 from slipstone.operators import keyed, layers
 from slipstone.operators.cascade import cascade
@@ -100,6 +101,48 @@ def test_layer3_matches_brute_force(spark, seed, tile):
         assert (r.id_comprobante_original in who) if who else r.id_comprobante_original is None, r
 
 
+def test_text_sketch_bounds_the_cosine(spark):
+    rng = random.Random(3)
+    words = [f"palabra{i}" for i in range(300)] + ["pago", "ño_ñ", "banco"]
+    texts = ["", "a", "pago pago pago", "PAGO ño_ñ"] + [
+        " ".join(rng.choices(words, k=rng.choice([1, 4, 30, 400]))) for _ in range(40)
+    ]
+    rows = [(a, b, cosine(a, b)) for a in texts for b in texts]
+    df = spark.createDataFrame(rows, "a string, b string, exact double").select(
+        "exact", "a", "b", sim.text_sketch("a").alias("x"), sim.text_sketch("b").alias("y")
+    )
+    got = df.select("a", "b", "exact", sim.cosine_bound("x", "y").alias("top")).collect()
+    assert all(r.exact - 1e-9 <= r.top <= 1.0 for r in got)
+    assert all(r.top == 0.0 for r in got if not cosine(r.a, r.a) or not cosine(r.b, r.b))
+    # short unrelated texts are told apart
+    assert sum(r.top for r in got if r.exact == 0.0) / sum(r.exact == 0.0 for r in got) < 0.3
+
+
+def test_unlike_texts_write_few_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i:03d}" for i in range(900)]
+    rows = [
+        (f"v{i:04d}", "u0", " ".join(rng.sample(words, 12)), f"R{rng.randint(0, 9999):04d}",
+         Decimal(rng.randint(1, 900)), date(2024, 1, 1) + timedelta(days=i % 20), f"h{i}", "recibido",
+         datetime(2024, 3, 1) + timedelta(minutes=i), None)
+        for i in range(150)
+    ]
+    written, kept = [], layers.spool
+
+    def counted(df):
+        stored = kept(df)
+        if {"q_id", "c_id", "key_a"} <= set(df.columns):
+            written.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(layers, "spool", counted)
+    got = {r.id_comprobante: r.score_similitud for r in layers.layer3(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = brute(rows)
+    assert all(got[k] == pytest.approx(best, abs=1.1e-6) for k, (best, _) in want.items())
+    # all vouchers lie in one window: 11,175 pairs
+    assert max(written) <= 5 * len(rows)
+
+
 def test_layer2_and_layer1(spark):
     rows = make(200, 5)
     df = spark.createDataFrame(rows, SCHEMA)
