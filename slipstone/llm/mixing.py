@@ -3,21 +3,23 @@
 Token shares p are raised to an exponent: weights are proportional to p ** exponent. The
 exponent is found by bisection, many candidates to a pass, as one combined aggregate over the
 sources. The weights and the token budget give each source a quota; it is filled by whole
-epochs of the source and a part of one more. In every epoch the documents are dealt into blocks
-by a keyed hash and the blocks are permuted, so the stream is shuffled without a global sort,
-and only the one block that crosses the quota is looked at document by document.
+epochs of the source and a part of one more. In every epoch a keyed hash deals the documents into
+blocks and a keyed hash of the block gives its place, so the stream is shuffled without a global
+sort. The part of an epoch ends at one block and one key in it, which sums over the blocks and a
+look at that block alone find; whether a document is used is then decided in its own row.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import spool
 
-BLOCKS = 256
+#: uses of a document that one array holds before it is exploded
+_SPAN = 10_000
 _PROBES = 16
 _PASSES = 8
 #: weights are rounded to this many decimals before quotas are taken from them
@@ -26,7 +28,8 @@ DECIMALS = 9
 
 @dataclass(frozen=True)
 class MixTarget:
-    """Give ``entropy_share`` (of the highest possible entropy) or ``max_repeats``.
+    """Give ``entropy_share`` (of the highest possible entropy) or ``max_repeats``; with both, the
+    limit on repeats comes first and the entropy may stay below its target.
 
     ``budget`` is the number of tokens of the mixture; None takes the smallest budget that
     holds every document at least once, so that nothing is lost.
@@ -78,8 +81,13 @@ def exponent_for(sources: DataFrame, target: MixTarget) -> float:
     Entropy falls and repeats rise as the exponent falls towards natural shares and even
     weights, so each pass keeps the one gap between its probes where the answer lies.
     """
-    if (target.entropy_share is None) == (target.max_repeats is None):
+    if target.entropy_share is None and target.max_repeats is None:
         raise ValueError("give entropy_share or max_repeats")
+    if target.entropy_share is not None and target.max_repeats is not None:
+        return max(
+            exponent_for(sources, replace(target, max_repeats=None)),
+            exponent_for(sources, replace(target, entropy_share=None)),
+        )
     low, high = 0.0, 1.0
     for _ in range(_PASSES):
         probes = [low + (high - low) * i / _PROBES for i in range(_PROBES + 1)]
@@ -133,46 +141,41 @@ def _block(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 2), 16, 10).cast("int")
 
 
-def mixture(docs: DataFrame, target: MixTarget) -> DataFrame:
-    """One row per use of a document: doc_id, source, n_tokens, epoch, block, key.
-
-    ``docs`` has doc_id, source and n_tokens (long). Sorting by (epoch, block, key) within a
-    source is its training order. Every source gets its whole epochs, then the documents of one
-    further epoch in block order while the running sum stays within the rest of its quota. A
-    null source is a source of its own; sources without a token are used once if no budget is
-    given and left out otherwise. Documents with a null or repeated doc_id share their place.
-    """
-    sized = spool(docs.select("doc_id", "source", "n_tokens"))
-    plan = spool(weights(sized, target))
-    # one narrow row per source; AQE broadcasts it where it is small and splits hot sources
-    joined = sized.join(
-        plan.select(F.col("source").alias("s"), "epochs", "rest"), F.col("source").eqNullSafe(F.col("s"))
-    ).drop("s")
+def _places(frame: DataFrame, seed: int) -> DataFrame:
+    """``key``, ``block`` and ``block_key`` (the block's place) of doc_id in ``epoch``."""
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    whole = joined.filter("epochs > 0").select(
-        "doc_id", "source", "n_tokens",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))).alias("epoch"),
-    ).withColumn("key", _order_key(target.seed, F.col("epoch"), doc))
-    part = spool(joined.filter("rest > 0").select(
-        "doc_id", "source", "n_tokens", (F.col("epochs") + 1).alias("epoch"), "rest"
-    ).withColumn("key", _order_key(target.seed, F.col("epoch"), doc)).withColumn("block", _block(F.col("key"))))
+    of_block = F.concat(F.lit(f"{seed}:block:"), F.col("epoch").cast("string"), F.lit(":"), F.col("block").cast("string"))
+    return (
+        frame.withColumn("key", _order_key(seed, F.col("epoch"), doc))
+        .withColumn("block", _block(F.col("key")))
+        .withColumn("block_key", F.md5(of_block))
+    )
+
+
+def _cuts(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Per source with a part epoch: ``last_block`` (the last block_key used whole), ``cut_block``
+    and ``cut_key`` (the block that crosses the rest of the quota and the last key used of it)."""
+    open_part = plan.filter("rest > 0").select(F.col("source").alias("s"), (F.col("epochs") + 1).alias("epoch"), "rest")
+    part = spool(_places(
+        sized.join(open_part, F.col("source").eqNullSafe(F.col("s"))).drop("s"), seed
+    ))
     # 256 blocks to a source, so this window holds few rows however hot the source is
-    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = part.groupBy("source", "block").agg(
+    ahead = Window.partitionBy("source").orderBy("block_key").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = part.groupBy("source", "block_key").agg(
         F.sum("n_tokens").alias("in_block"), F.first("rest").alias("rest")
     ).withColumn("before", F.coalesce(F.sum("in_block").over(ahead), F.lit(0)))
-    placed = blocks.select(
-        F.col("source").alias("s"), F.col("block").alias("b"), "before",
-        (F.col("before") + F.col("in_block") <= F.col("rest")).alias("all_in"),
-        (F.col("before") <= F.col("rest")).alias("some_in"),
-    ).filter("some_in")
-    at = part.join(placed, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-    columns = ["doc_id", "source", "n_tokens", "epoch", "block", "key"]
-    running = Window.partitionBy("source", "slot").orderBy("key", "doc_id").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    whole = F.col("before") + F.col("in_block") <= F.col("rest")
+    ends = spool(blocks.groupBy("source").agg(
+        F.max(F.when(whole, F.col("block_key"))).alias("last_block"),
+        F.min(F.when(~whole, F.struct("block_key", "before"))).alias("crossing"),
+    ).select(
+        F.col("source").alias("s"), "last_block", F.col("crossing.block_key").alias("cut_block"),
+        F.col("crossing.before").alias("before"),
+    ))
     # the crossing block: running sums within 256 slots of it, offset by the slots before
-    edge = at.filter("not all_in").withColumn("slot", F.conv(F.substring("key", 3, 2), 16, 10).cast("int"))
+    edge = part.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("block_key") == F.col("cut_block"))).drop(
+        "s", "last_block", "cut_block"
+    ).withColumn("slot", F.conv(F.substring("key", 3, 2), 16, 10).cast("int"))
     slots = edge.groupBy("source", "slot").agg(F.sum("n_tokens").alias("in_slot"))
     slots = slots.select(
         F.col("source").alias("s"), F.col("slot").alias("t"),
@@ -180,11 +183,57 @@ def mixture(docs: DataFrame, target: MixTarget) -> DataFrame:
             Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
         ), F.lit(0)).alias("slots_before"),
     )
-    crossing = edge.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("t"))).withColumn(
-        "upto", F.sum("n_tokens").over(running) + F.col("before") + F.col("slots_before")
-    ).filter(F.col("upto") <= F.col("rest"))
-    return (
-        whole.withColumn("block", _block(F.col("key"))).select(*columns)
-        .union(at.filter("all_in").select(*columns))
-        .union(crossing.select(*columns))
+    # rows of one key share their fate: the sum up to a key holds all of its rows
+    running = Window.partitionBy("source", "slot").orderBy("key")
+    upto = F.sum("n_tokens").over(running) + F.col("before") + F.col("slots_before")
+    keys = edge.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("t"))).withColumn(
+        "upto", upto
+    ).filter(F.col("upto") <= F.col("rest")).groupBy(F.col("source").alias("k")).agg(F.max("key").alias("cut_key"))
+    return ends.join(keys, F.col("s").eqNullSafe(F.col("k")), "left").select("s", "last_block", "cut_block", "cut_key")
+
+
+def uses(docs: DataFrame, target: MixTarget, *carry: str) -> DataFrame:
+    """``mixture`` with the columns named in ``carry`` as well.
+
+    The plan has one narrow row per source. Spark broadcasts it where it is small by its stored
+    size; the documents are then not shuffled at all. Otherwise it is an ordinary join.
+    """
+    sized = spool(docs.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")))
+    plan = spool(weights(sized, target))
+    cuts = _cuts(sized, plan, target.seed)
+    rules = spool(
+        plan.select(F.col("source").alias("p"), "epochs", "rest")
+        .join(cuts, F.col("p").eqNullSafe(F.col("s")), "left").drop("s")
     )
+    own = ["doc_id", "source", "n_tokens", *carry]
+    joined = docs.select(*own).join(rules, F.col("source").eqNullSafe(F.col("p")))
+    at_cut = _places(joined.withColumn("epoch", F.col("epochs") + 1), target.seed)
+    inside = (F.col("rest") > 0) & (
+        (F.col("block_key") <= F.col("last_block"))
+        | ((F.col("block_key") == F.col("cut_block")) & (F.col("key") <= F.col("cut_key")))
+    )
+    counted = at_cut.withColumn(
+        "times", F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("long")
+    ).filter("times > 0").select(*own, "times")
+    # in spans, since one array can't hold the repeats of a tiny source beside a huge one
+    spans = counted.withColumn(
+        "span", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {_SPAN}")))
+    )
+    rows = spans.withColumn("epoch", F.explode(F.sequence(
+        F.col("span") * _SPAN + 1, F.least(F.col("times"), (F.col("span") + 1) * _SPAN)
+    )))
+    return _places(rows, target.seed).select(*own, "epoch", "block", "block_key", "key")
+
+
+def mixture(docs: DataFrame, target: MixTarget) -> DataFrame:
+    """One row per use of a document: doc_id, source, n_tokens, epoch, block, block_key, key.
+
+    ``docs`` has doc_id, source and n_tokens (long; null counts as 0). Sorting by (epoch,
+    block_key, key) within a source is its training order. Every source gets its whole epochs,
+    then the documents of one further epoch in that order while the running sum stays within the
+    rest of its quota. A null source is a source of its own; sources without a token are used once
+    if no budget is given and left out otherwise. Documents with a null or repeated doc_id share
+    their place and are used equally often. An empty table gives no rows, further columns of
+    ``docs`` are ignored.
+    """
+    return uses(docs, target)

@@ -181,13 +181,15 @@ uses as (
   from sized d join plan p on d.source is not distinct from p.source,
     unnest(generate_series(1, case when tokens > 0 then quota // tokens + 1 else 1 end)) e(epoch)),
 keyed as (
-  select *, md5('7:' || epoch || ':' || coalesce(doc_id::varchar, '')) as key from uses),
+  select *, ('0x' || substr(key, 1, 2))::int as block
+  from (select *, md5('7:' || epoch || ':' || coalesce(doc_id::varchar, '')) as key from uses)),
+placed as (select *, md5('7:block:' || epoch || ':' || block) as block_key from keyed),
 running as (
-  select *, sum(n_tokens) over (partition by source, epoch order by key, doc_id rows unbounded preceding) as upto
-  from keyed)
-select doc_id, source, n_tokens, epoch, ('0x' || substr(key, 1, 2))::int as block, key
+  select *, sum(n_tokens) over (partition by source, epoch order by block_key, key) as upto
+  from placed)
+select doc_id, source, n_tokens, epoch, block, block_key, key
 from running
-where tokens = 0 or epoch <= quota // tokens or upto <= quota % tokens
+where tokens = 0 or epoch <= quota // tokens or (quota % tokens > 0 and upto <= quota % tokens)
 """
 
 _OP10 = """

@@ -34,7 +34,12 @@ def brute(rows, share):
         own = [(d, n) for d, s, n in rows if s == source]
         epochs, rest = divmod(quota, count) if count else (1, 0)
         for epoch in range(1, epochs + 2):
-            key = lambda d, e=epoch: hashlib.md5(f"7:{e}:{d}".encode()).hexdigest()
+            digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+
+            def key(d, e=epoch, digest=digest):
+                own_key = digest(f"7:{e}:{d}")
+                return digest(f"7:block:{e}:{int(own_key[:2], 16)}"), own_key
+
             upto = 0
             for doc, n in sorted(own, key=lambda o: key(o[0])):
                 upto += n
@@ -65,6 +70,39 @@ def test_repeat_limit_and_budget(spark):
     assert sums == {"big": 500, "small": 500}
 
 
+def test_blocks_are_permuted_anew_in_every_epoch(spark):
+    rows = [(i, "small" if i < 300 else "big", 1 if i < 300 else 9) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    got = mixing.mixture(frame, mixing.MixTarget(entropy_share=1.0)).filter("source = 'small'").collect()
+    orders = []
+    for epoch in (1, 2):
+        seen = sorted((r.block_key, r.block) for r in got if r.epoch == epoch)
+        orders.append([b for _, b in dict.fromkeys(seen)])
+        assert orders[-1] != sorted(orders[-1])
+    assert orders[0] != orders[1]
+
+
+def test_one_token_beside_a_large_source(spark):
+    frame = spark.createDataFrame([(1, "tiny", 1), (2, "big", 45_000)], "doc_id long, source string, n_tokens long")
+    got = mixing.mixture(frame, mixing.MixTarget(entropy_share=1.0)).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {1: 45_000, 2: 1}
+    both = mixing.MixTarget(entropy_share=1.0, max_repeats=4.0)
+    got = mixing.mixture(frame, both).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {1: 4, 2: 1}
+
+
+def test_carried_columns_and_repeated_ids(spark):
+    frame = spark.createDataFrame(
+        [(i // 2, "a" if i % 3 else "b", 3, f"t{i}") for i in range(80)] + [(7, "b", None, "none")],
+        "doc_id long, source string, n_tokens long, key string",
+    )
+    packed = frame.select("doc_id", "source", "n_tokens", frame["key"].alias("row"))
+    got = mixing.uses(packed, mixing.MixTarget(entropy_share=1.0), "row").groupBy("doc_id", "source", "row").count().collect()
+    assert {r.row for r in got} == {f"t{i}" for i in range(80)} | {"none"}
+    for r in got:
+        assert {x["count"] for x in got if (x.doc_id, x.source) == (r.doc_id, r.source)} == {r["count"]}
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     assert mixing.mixture(empty, mixing.MixTarget(entropy_share=0.9)).count() == 0
