@@ -39,23 +39,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture uses it, at least once; token shares of the
-    sources follow the target weights. A row per use, with the columns of documents. Rows that
-    repeat doc_id, source and length are used equally often."""
-    tokens = mixing.token_count(F.col("text"))
-    sized = docs.select("doc_id", "source", tokens.alias("n_tokens"))
-    uses = mixing.mixture(sized, TARGET).groupBy("doc_id", "source", "n_tokens").agg(
-        F.countDistinct("epoch").cast("int").alias("uses")
+    sources follow the target weights. A row per use, with the columns of documents. A null
+    source is a source of its own, a null text has no tokens, rows that repeat source and doc_id
+    (nulls together) are used equally often; an empty table stays empty."""
+    packed = docs.select(
+        "doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), F.struct(*docs.columns).alias("row")
     )
-    mark, number = _free("tokens", docs), _free("use", docs)
-    rows = docs.withColumn(mark, tokens)
-    same = (
-        rows["doc_id"].eqNullSafe(uses["doc_id"]) & rows["source"].eqNullSafe(uses["source"])
-        & (rows[mark] == uses["n_tokens"])
-    )
-    used = rows.join(uses, same).select(
-        *[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), uses["uses"])).alias(number)
-    )
-    return used.select(*docs.columns)
+    return mixing.uses(packed, TARGET, "row").select("row.*")
 
 
 def piece_samples(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +60,9 @@ STAGES = [
     ("piece_samples", piece_samples),
 ]
 
-#: a trained model and sampled segmentations are beyond SQL; the operators' own tests hold them
-#: against brute force, the pipeline's tests check what each stage keeps on small tables
+#: a trained model and sampled segmentations are beyond SQL; the operators' own tests hold these
+#: against brute force or held-out rows, the pipeline's tests check what each stage keeps on small
+#: tables by the operators themselves
 ORACLE_SQL = None
 
 
