@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slipstone import schemas, vocab
 from slipstone.functions import text as text_functions
-from slipstone.operators import audit, evaluation, pairs, reports, store, workflow
+from slipstone.operators import audit, evaluation, pairs, reports, store, textpairs, workflow
 from slipstone.sources import readers, writers
 from slipstone.streaming import intake
 
@@ -272,3 +272,17 @@ def test_files_matched_by_position_with_unequal_lists(spark, n_files, n_ids):
     got = {(r.file, r.gt_id) for r in pairs.match_sources(files, truth).collect()}
     # a record without a bank takes its place but is left out; what has no counterpart drops out
     assert got == {(f"scan-{i:02}.jpg", f"g{i:02}") for i in range(min(n_files, n_ids)) if i != 2}
+
+
+def test_term_counts_are_packed_and_repeated_keys_add_up(spark):
+    texts = spark.createDataFrame(
+        [(1, "pago pago banco"), (2, "pago banco ño_ñ"), (3, "a"), (4, None), (5, "pago"), (5, "Banco banco pago")],
+        "text_key long, text string",
+    )
+    held = {r.text_key: r for r in textpairs.term_counts(texts).collect()}
+    # 16 bytes a distinct term; nothing for texts without terms
+    assert {k: (len(r.counts) // 16, r.total) for k, r in held.items()} == {1: (2, 5), 2: (3, 3), 5: (2, 8)}
+    pairs = spark.createDataFrame([(1, 2), (1, 5), (1, 3), (1, 4)], "key_a long, key_b long")
+    got = {(r.key_a, r.key_b): r.s_text for r in textpairs.text_pair_similarity(pairs, texts).collect()}
+    assert set(got) == {(1, 2), (1, 5)}
+    assert got[1, 5] == pytest.approx(6 / (5**0.5 * 8**0.5))
