@@ -197,3 +197,25 @@ def test_micro_batches_equal_one_batch(spark):
         for r in frame.collect()
     }
     assert pick(first.validations) | pick(second.validations) == pick(whole.validations)
+
+
+def test_few_candidates_carry_no_sketch(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i:03d}" for i in range(900)]
+    rows = [
+        (f"v{i:04d}", f"u{i % 40}", " ".join(rng.sample(words, 12)), f"R{rng.randint(0, 9999):04d}",
+         Decimal(rng.randint(1, 900)), date(2024, 1, 1) + timedelta(days=i % 20), f"h{i}", "recibido",
+         datetime(2024, 3, 1) + timedelta(minutes=i), None)
+        for i in range(120)
+    ]
+    columns, kept = set(), layers.spool
+
+    def seen(df):
+        columns.update(c for c in df.columns if "sketch" in c)
+        return kept(df)
+
+    monkeypatch.setattr(layers, "spool", seen)
+    got = {r.id_comprobante: r.score_similitud for r in layers.layer3(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not columns
+    want = brute(rows)
+    assert all(got[k] == pytest.approx(best, abs=1.1e-6) for k, (best, _) in want.items())
