@@ -118,17 +118,22 @@ class ChunkEncoder:
 
     def _add(self, new: list[bytes]) -> None:
         """Ids of ``new`` behind the kept ones; chunk number c ends at ends[c + 1]."""
-        found = []
+        parts, counts = [], []
         for start in range(0, len(new), 4096):
             texts = [c.decode("utf-8") for c in new[start : start + 4096]]
-            found += [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(f) for f in found], dtype=np.int64)
+            # one text for the whole block; where an id begins tells the chunk it belongs to
+            block = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            begins = np.fromiter((begin for begin, _ in block.offsets), dtype=np.int64, count=len(block.ids))
+            after = np.cumsum([len(t) + 1 for t in texts])
+            counts.append(np.bincount(np.searchsorted(after, begins, side="right"), minlength=len(texts)))
+            parts.append(np.array(block.ids, dtype=np.uint32))
+        sizes = np.concatenate(counts)
         total = int(sizes.sum())
         while self.used + total > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while self.chunks + len(new) + 1 > len(self.ends):
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        self.ids[self.used : self.used + total] = [i for f in found for i in f]
+        self.ids[self.used : self.used + total] = np.concatenate(parts)
         self.ends[self.chunks + 1 : self.chunks + 1 + len(new)] = self.used + sizes.cumsum()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -73,3 +73,21 @@ def test_added_tokens_count_in_their_own_case_alone(text):
     ids, counts = encoder.encode(["Before", text])
     expected = encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert ids[counts[0] :].tolist() == expected
+
+
+def test_new_chunks_are_encoded_as_one_text():
+    encoder, plain = tokenfiles.ChunkEncoder(PATH), tokenfiles.ChunkEncoder(PATH).tokenizer
+    asked = []
+
+    class Recorded:
+        def encode(self, text, **kwargs):
+            asked.append(text)
+            return plain.encode(text, **kwargs)
+
+    encoder.tokenizer = Recorded()
+    # combining marks first, Unicode spaces, final sigma, contractions, an added token's text, no ids at all
+    texts = ["́a é x y", "ΟΔΟΣ Σ it's 's <|endoftext|> <|endoftext|", "", "​ ﻿ \u0001 名字 😀", "a b\tc\n42"]
+    ids, counts = encoder.encode(texts)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    assert len(asked) == 1
