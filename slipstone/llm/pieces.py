@@ -13,6 +13,7 @@ the row alone.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 import zlib
@@ -87,13 +88,39 @@ class Pieces:
                     nodes += 1
                 at = moves[move]
             ends[at] = (number, self.logp[piece])
-        self.move_keys = np.array(sorted(moves), dtype=np.int64)
-        self.move_to = np.array([moves[m] for m in self.move_keys.tolist()], dtype=np.int64)
+        keys, targets = (np.fromiter(part, dtype=np.int64, count=len(moves)) for part in (moves, moves.values()))
+        # moves by an open hash table, an eighth of it or less in use
+        bits = (8 * len(moves) + 8).bit_length()
+        self.move_shift, self.move_mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.move_keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.move_to = np.zeros(1 << bits, dtype=np.int32)
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.move_keys[slots] < 0
+            self.move_keys[slots[free]] = keys[free]
+            placed = self.move_keys[slots] == keys
+            self.move_to[slots[placed]] = targets[placed]
+            keys, targets, slots = keys[~placed], targets[~placed], (slots[~placed] + 1) & self.move_mask
         self.end_piece = np.full(nodes, -1, dtype=np.int32)
         self.end_logp = np.zeros(nodes)
         for at, (number, score) in ends.items():
             self.end_piece[at], self.end_logp[at] = number, score
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _A) >> self.move_shift).astype(np.int64)
+
+    def _moved(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which moves exist, and the nodes that those lead to."""
+        slots = self._slots(keys)
+        met = self.move_keys[slots]
+        off = np.flatnonzero((met != keys) & (met >= 0))
+        while len(off):
+            slots[off] = (slots[off] + 1) & self.move_mask
+            met[off] = self.move_keys[slots[off]]
+            off = off[(met[off] != keys[off]) & (met[off] >= 0)]
+        hit = met == keys
+        return hit, self.move_to[slots[hit]].astype(np.int64)
+
     def matches(self, chars: np.ndarray, left: np.ndarray):
         """Every piece that starts at each place and ends within its word: (place, size, piece,
         log-probability). ``left`` is the number of characters up to the word's end. A place
@@ -103,9 +130,8 @@ class Pieces:
         size = 0
         while len(places):
             keys = (nodes << 21) | chars[places + size]
-            at = np.minimum(np.searchsorted(self.move_keys, keys), len(self.move_keys) - 1)
-            hit = self.move_keys[at] == keys
-            places, nodes = places[hit], self.move_to[at[hit]]
+            hit, nodes = self._moved(keys)
+            places = places[hit]
             size += 1
             ends = self.end_piece[nodes] >= 0
             own = places[ends]
@@ -121,6 +147,21 @@ class Pieces:
             places, nodes = places[more], nodes[more]
         return [np.concatenate(part) for part in zip(*found, strict=True)]
 
+    def sorted_matches(self, chars: np.ndarray, left: np.ndarray):
+        """``matches`` by place and size. Matches of one size come by place, so a place's next
+        free slot is counted up size by size instead of sorting."""
+        place, size, piece, logp = self.matches(chars, left)
+        free = np.concatenate(([0], np.bincount(place, minlength=len(chars)).cumsum()))[:-1]
+        slot = np.empty(len(place), dtype=np.int64)
+        cuts = np.flatnonzero((place[1:] <= place[:-1])) + 1
+        for start, stop in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(place)])), strict=True):
+            own = place[start:stop]
+            slot[start:stop] = free[own]
+            free[own] += 1
+        order = np.empty(len(place), dtype=np.int64)
+        order[slot] = np.arange(len(place))
+        return place[order], size[order], piece[order], logp[order]
+
     def block(self, chars: np.ndarray, start: int):
         """``matches`` of the places of one block of a word, counted from its start, by place and
         size; the pieces may end behind the block."""
@@ -148,7 +189,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """Text of an id sequence; the space that encoding put in front is dropped again."""
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -176,12 +217,12 @@ class Chain:
         self.all_edges, self.all_states = 0, 1
 
     def _room(self, states: int, edges: int) -> None:
-        if states + 1 > len(self.first):
-            self.first = np.concatenate((self.first, np.zeros(states, dtype=np.int32)))
-        if edges > len(self.upto):
-            for name in ("upto", "logq", "target", "piece"):
+        for need, names in ((states + 1, ("first",)), (edges, ("upto", "logq", "target", "piece"))):
+            for name in names:
                 old = getattr(self, name)
-                setattr(self, name, np.concatenate((old, np.zeros(edges, dtype=old.dtype))))
+                if need > len(old):
+                    more = max(need - len(old), len(old) // 8)
+                    setattr(self, name, np.concatenate((old, np.zeros(more, dtype=old.dtype))))
 
     def _build(self, words: list[str]) -> np.ndarray:
         """Add the lattices of ``words`` behind the kept ones; their start states."""
@@ -190,24 +231,28 @@ class Chain:
         ends = lengths.cumsum()
         end_of = np.repeat(ends, lengths)
         left = end_of - np.arange(len(chars))
-        place, size, piece, logp = self.pieces.matches(chars, left)
+        place, size, piece, logp = self.pieces.sorted_matches(chars, left)
         # backwards over the distance to the word's end, all words at once
-        order = np.lexsort((place, left[place]))
+        order = np.argsort(left.astype(np.int16)[place], kind="stable")
         beta = np.zeros(len(chars) + 1)
-        far = left[place[order]]
-        cuts = np.flatnonzero(np.diff(far)) + 1
+        own = place[order]
+        goes = own + size[order]
+        inside, logs = goes < end_of[own], logp[order]
+        heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        bounds = np.searchsorted(left[own[heads]], np.arange(1, left.max() + 2)).tolist()
+        cuts = np.append(heads, len(order))
+        ordered = np.empty(len(order))
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            start, stop = cuts[low], cuts[high]
+            value = logs[start:stop] + np.where(inside[start:stop], beta[goes[start:stop]], 0.0)
+            first = heads[low:high] - start
+            top = np.maximum.reduceat(value, first)
+            counts = cuts[low + 1 : high + 1] - heads[low:high]
+            total = np.add.reduceat(np.exp(value - np.repeat(top, counts)), first)
+            beta[own[heads[low:high]]] = top + np.log(total)
+            ordered[start:stop] = value
         score = np.empty(len(order))
-        for start, stop in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(order)])), strict=True):
-            part = order[start:stop]
-            at = place[part]
-            goes = at + size[part]
-            value = logp[part] + np.where(goes == end_of[at], 0.0, beta[np.minimum(goes, len(chars))])
-            heads = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            top = np.maximum.reduceat(value, heads)
-            counts = np.diff(np.append(heads, len(at)))
-            total = np.add.reduceat(np.exp(value - np.repeat(top, counts)), heads)
-            beta[at[heads]] = top + np.log(total)
-            score[part] = value
+        score[order] = ordered
         base, edge_base = self.all_states, self.all_edges
         self._room(base + len(chars) + 1, edge_base + len(place))
         self._store(base, edge_base, place, place + size, piece, score, beta, place + size == end_of[place])
@@ -216,12 +261,22 @@ class Chain:
         return base + ends - lengths
 
     def _store(self, base, edge_base, place, goes, piece, score, beta, last) -> None:
-        """Put the edges of successive states, the first of them ``base``, from ``edge_base`` on."""
-        order = np.lexsort((beta[place] - score, place))
-        place, goes, piece, score, last = place[order], goes[order], piece[order], score[order], last[order]
+        """Put the edges of successive states, the first of them ``base``, from ``edge_base`` on.
+
+        They come by ``place`` and are put likely ones first, equal ones as they came.
+        """
         heads = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         counts = np.diff(np.append(heads, len(place)))
-        logq = np.where(np.repeat(counts, counts) == 1, 0.0, score - beta[place])
+        gap = beta[place] - score
+        order = np.arange(len(place))
+        pairs = heads[counts == 2]
+        turned = pairs[gap[pairs] > gap[pairs + 1]]
+        order[turned], order[turned + 1] = turned + 1, turned
+        for count in range(3, counts.max(initial=0) + 1):
+            several = heads[counts == count, None] + np.arange(count)
+            order[several] = several[:, :1] + np.argsort(gap[several], axis=1, kind="stable")
+        goes, piece, last = goes[order], piece[order], last[order]
+        logq = np.where(np.repeat(counts, counts) == 1, 0.0, -gap[order])
         run = np.exp(logq).cumsum()
         reached = run - np.repeat(np.concatenate(([0.0], run))[heads], counts)
         reached[heads + counts - 1] = 2.0  # the last edge takes what rounding leaves
@@ -267,12 +322,14 @@ class Chain:
     def starts(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Start states of the units of each text; valid until the next call."""
         kept, sizes = self.kept, [len(own) for own in texts]
-        flat = [unit for own in texts for unit in own]
-        numbers = list(map(kept.get, flat))
+        flat = list(itertools.chain.from_iterable(texts))
+        numbers = np.fromiter(map(kept.get, flat, itertools.repeat(-1)), dtype=np.int64, count=len(flat))
         self.first[self.states] = self.all_edges = self.edges
         self.all_states = self.states
-        if None in numbers:
-            new = list({unit for unit, number in zip(flat, numbers, strict=True) if number is None})
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            lacking = [flat[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(lacking))
             short = [unit for unit in new if len(unit) <= KEPT_LENGTH]
             middle = [unit for unit in new if KEPT_LENGTH < len(unit) <= BLOCK]
             built = dict(zip(short, self._build(short).tolist(), strict=True)) if short else {}
@@ -282,10 +339,8 @@ class Chain:
             if middle:
                 built |= zip(middle, self._build(middle).tolist(), strict=True)
             built |= {unit: self._build_long(unit) for unit in new if len(unit) > BLOCK}
-            numbers = [
-                built[unit] if number is None else number for unit, number in zip(flat, numbers, strict=True)
-            ]
-        return np.split(np.array(numbers, dtype=np.int64), np.cumsum(sizes)[:-1]) if texts else []
+            numbers[missing] = np.fromiter(map(built.__getitem__, lacking), dtype=np.int64, count=len(lacking))
+        return np.split(numbers, np.cumsum(sizes)[:-1]) if texts else []
 
 
 def units(text: str) -> list[str]:

@@ -159,3 +159,33 @@ def test_long_runs_are_sampled_whole():
             ends = np.cumsum([len(pieces.raw[i]) for i in ids.tolist()])
             crossed |= {at for at in range(256, len(text), 256) if text.isascii() and at not in ends}
     assert len(crossed) > 5
+
+
+def test_matches_by_place_and_the_order_of_a_state():
+    pieces = pieces_at(MODEL, 1.0)
+    words = [" wonderful", " 日本語", "x" * 300, " naïve,", "\n", " \U0001f600"]
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    ends = np.repeat(np.cumsum([len(w) for w in words]), [len(w) for w in words])
+    place, size, piece, logp = pieces.sorted_matches(chars, ends - np.arange(len(chars)))
+    text, expected = "".join(words), []
+    for at in range(len(text)):
+        own = [(at, n, pieces.ids[text[at : at + n]], pieces.logp[text[at : at + n]])
+               for n in range(1, int(ends[at]) - at + 1) if text[at : at + n] in pieces.ids]
+        if not own or own[0][1] != 1:
+            own.insert(0, (at, 1, -ord(text[at]) - 1, len(text[at].encode()) * pieces.byte_logp))
+        expected += own
+    assert list(zip(place.tolist(), size.tolist(), piece.tolist(), logp.tolist(), strict=True)) == expected
+    lattice = Sampler(pieces, 2, 1).chain
+    lattice.starts([words])
+    for state in range(1, lattice.all_states):
+        own = lattice.logq[lattice.first[state] : lattice.first[state + 1]]
+        assert (np.diff(own) <= 0).all() and abs(np.exp(own).sum() - 1) < 1e-9
+
+
+def test_room_for_lattices_follows_what_is_used():
+    lattice = Sampler(pieces_at(MODEL, 1.0), 2, 1).chain
+    draw = np.random.default_rng(5)
+    for _ in range(12):
+        lattice.starts([["".join(w) for w in draw.choice(list("aeinorst"), (4000, 9))]])
+    assert lattice.edges > 1 << 17
+    assert len(lattice.upto) <= 1.25 * lattice.edges
