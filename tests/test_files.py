@@ -109,3 +109,18 @@ def test_audit_counts_add_up_and_use_one_exchange(spark):
     assert told(audit.merged_counts(audit.merged_counts(rest, halves[0]), halves[1])) == want
     twice = told(audit.merged_counts(rest, audit.merged_counts(halves[0], halves[0])))
     assert twice[("comprobantes", "unico_id_comprobante")] == 5 and twice[("usuarios", "unico_id_usuario")] == 1
+
+
+def test_small_files_are_written_and_read_by_tasks_that_follow_the_cores(spark, folder, monkeypatch):
+    monkeypatch.setattr(readers, "TASKS_PER_CORE", 1)
+    rows = spark.range(300).coalesce(1).select(
+        F.format_string("d%d.json", "id").alias("archivo"),
+        F.when(F.col("id") == 7, '{"id": ').otherwise(F.format_string('{"id": "k%d", "monto": 1.5}', "id")).alias("cuerpo"),
+    )
+    done = write_records(rows, folder)
+    assert done.filter("motivo is null").count() == 300 and len(done.inputFiles()) > 1
+    good, bad = readers.read_truth(spark, folder)
+    # the files themselves are opened once, whatever is asked of both results
+    assert not [f for f in (*good.inputFiles(), *bad.inputFiles()) if folder in f]
+    assert good.filter("key = concat('k', substr(stem, 2)) and monto = 1.5").count() == 299
+    assert [r.stem for r in bad.collect()] == ["d7"]
