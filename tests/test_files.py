@@ -119,6 +119,8 @@ def test_small_files_are_written_and_read_by_tasks_that_follow_the_cores(spark,
     )
     done = write_records(rows, folder)
     assert done.filter("motivo is null").count() == 300 and len(done.inputFiles()) > 1
+    found = readers.scan_documents(spark, folder, ("json",))
+    assert found.count() == 300 and found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     good, bad = readers.read_truth(spark, folder)
     # the files themselves are opened once, whatever is asked of both results
     assert not [f for f in (*good.inputFiles(), *bad.inputFiles()) if folder in f]
