@@ -11,7 +11,9 @@ that Spark commits are ever read, so a repeated or lost task does no harm.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +33,10 @@ END_ID = 2
 SHARD_TOKENS = 1 << 26
 #: distinct chunks whose ids a worker keeps
 MAX_CHUNKS = 400_000
+#: ASCII punctuation without the apostrophe, which may begin a word's last part
+_CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: runs of A-Z and the Latin-1 letters U+00C0 to U+00FF, which the tokenizer doesn't part
+_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 _SAMPLE = 256
 _HEAD = struct.Struct("<QQQB")
 
@@ -110,31 +116,88 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: without offsets, for words
+        self.encode_fast = self.tokenizer.encode_batch_fast
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
+        self.added_bytes = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.closes[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.kept: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 16, dtype=np.int64)
         self.chunks, self.used = 0, 0
 
-    def _add(self, new: list[bytes]) -> None:
-        """Ids of ``new`` behind the kept ones; chunk number c ends at ends[c + 1]."""
-        parts, counts = [], []
-        for start in range(0, len(new), 4096):
-            texts = [c.decode("utf-8") for c in new[start : start + 4096]]
-            # one text for the whole block; where an id begins tells the chunk it belongs to
-            block = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            begins = np.fromiter((begin for begin, _ in block.offsets), dtype=np.int64, count=len(block.ids))
-            after = np.cumsum([len(t) + 1 for t in texts])
-            counts.append(np.bincount(np.searchsorted(after, begins, side="right"), minlength=len(texts)))
-            parts.append(np.array(block.ids, dtype=np.uint32))
-        sizes = np.concatenate(counts)
-        total = int(sizes.sum())
-        while self.used + total > len(self.ids):
+    def _cut(self, chunks: list[bytes]) -> list[bytes]:
+        """Every chunk without its closing punctuation, and that, in turn. The tokenizer parts words
+        from punctuation, so the ids of both follow each other, unless an added token takes in both."""
+        whole = b" ".join(chunks)
+        added = [t for t in self.added_bytes if t in whole]
+        parts = []
+        for chunk in chunks:
+            head = chunk.rstrip(_CLOSING)
+            if len(head) == len(chunk) or not head[-1:].isalnum() or (added and any(t in chunk for t in added)):
+                parts += chunk, b""
+            else:
+                parts += head, chunk[len(head) :]
+        return parts
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words (``_WORD``) end to end and the number of each; none if they can't be told apart.
+
+        Such a word is one run to the tokenizer, and only the last id of a run ends a word.
+        """
+        block = self.encode_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
+        ids = np.array(block.ids, dtype=np.uint32)
+        last = np.flatnonzero(self.closes[ids])
+        if len(last) != len(words) or len(ids) != last[-1] + 1:
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+    def _others(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any chunks end to end and the number of each."""
+        texts = [c.decode("utf-8") for c in chunks]
+        # one text for the whole block; where an id begins tells the chunk it belongs to
+        block = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.fromiter((begin for begin, _ in block.offsets), dtype=np.int64, count=len(block.ids))
+        after = np.cumsum([len(t) + 1 for t in texts])
+        sizes = np.bincount(np.searchsorted(after, begins, side="right"), minlength=len(texts))
+        return np.array(block.ids, dtype=np.uint32), sizes
+
+    def _append(self, ids: np.ndarray, sizes: np.ndarray, chunks: int, used: int) -> None:
+        """Put chunks behind the first ``chunks``, which have ``used`` ids; chunk c ends at ends[c + 1]."""
+        while used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while self.chunks + len(new) + 1 > len(self.ends):
+        while chunks + len(sizes) + 1 > len(self.ends):
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        self.ids[self.used : self.used + total] = np.concatenate(parts)
-        self.ends[self.chunks + 1 : self.chunks + 1 + len(new)] = self.used + sizes.cumsum()
+        self.ids[used : used + len(ids)] = ids
+        self.ends[chunks + 1 : chunks + 1 + len(sizes)] = used + sizes.cumsum()
+
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks of these numbers end to end and where each one's end."""
+        starts, sizes = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        run = np.concatenate(([0], sizes.cumsum()))
+        return self.ids[np.repeat(starts - run[:-1], sizes) + np.arange(run[-1])], run
+
+    def _add(self, new: list[bytes]) -> None:
+        """Ids of ``new`` behind the kept ones; words and closing punctuation are encoded once."""
+        parts = self._cut(new)
+        lacking = list(set(parts).difference(self.kept))
+        words = [p for p in lacking if _WORD(p)]
+        others = [p for p in lacking if not _WORD(p)]
+        chunks, used = self.chunks, self.used
+        for group, encode in ((words, self._words), (others, self._others)):
+            for start in range(0, len(group), 4096):
+                block = group[start : start + 4096]
+                ids, sizes = encode(block) or self._others(block)
+                self._append(ids, sizes, chunks, used)
+                chunks, used = chunks + len(block), used + len(ids)
+        own = dict(zip(words + others, range(self.chunks, chunks), strict=True))
+        numbers = np.fromiter(map(own.get, parts, itertools.repeat(-1)), dtype=np.int64, count=len(parts))
+        known = np.flatnonzero(numbers < 0)
+        numbers[known] = [self.kept[parts[i]] for i in known.tolist()]
+        ids, run = self._gathered(numbers)
+        self._append(ids, np.diff(run[::2]), self.chunks, self.used)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and the number of each."""
@@ -151,20 +214,19 @@ class ChunkEncoder:
             own = text.encode("utf-8", "replace").split()
             counts[i] = len(own)
             chunks += own
-        numbers = list(map(self.kept.get, chunks))
-        if None in numbers:
-            new = list({c for c, n in zip(chunks, numbers, strict=True) if n is None})
+        numbers = np.fromiter(map(self.kept.get, chunks, itertools.repeat(-1)), dtype=np.int64, count=len(chunks))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            lacking = [chunks[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(lacking))
             self._add(new)
             fresh = dict(zip(new, range(self.chunks, self.chunks + len(new)), strict=True))
-            numbers = [fresh[c] if n is None else n for c, n in zip(chunks, numbers, strict=True)]
+            numbers[missing] = [fresh[c] for c in lacking]
             if self.chunks + len(new) <= MAX_CHUNKS:
                 self.kept.update(fresh)
                 self.used = int(self.ends[self.chunks + len(new)])
                 self.chunks += len(new)
-        at = np.array(numbers, dtype=np.int64)
-        starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
-        run = np.concatenate(([0], sizes.cumsum()))
-        ids = self.ids[np.repeat(starts - run[:-1], sizes) + np.arange(run[-1])]
+        ids, run = self._gathered(numbers)
         bounds = run[np.concatenate(([0], counts.cumsum()))]
         return ids, np.diff(bounds)
 

@@ -91,3 +91,33 @@ def test_new_chunks_are_encoded_as_one_text():
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
     assert len(asked) == 1
+
+
+class Counting:
+    """A tokenizer that keeps the words it was asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode(self, text, **kwargs):
+        self.asked += text.split()
+        return self.tokenizer.encode(text, **kwargs)
+
+    def encode_batch_fast(self, texts, **kwargs):
+        self.asked += " ".join(texts).split()
+        return self.tokenizer.encode_batch_fast(texts, **kwargs)
+
+
+def test_words_and_closing_punctuation_are_encoded_once():
+    encoder = tokenfiles.ChunkEncoder(PATH)
+    plain, encoder.tokenizer = encoder.tokenizer, Counting(encoder.tokenizer)
+    encoder.encode_fast = encoder.tokenizer.encode_batch_fast
+    texts = [
+        "Haus haus. (haus) haus, naïve naïve!! 7 7. 12.5, x&&& haus&&&", "haus; naïve. don't don't. x' 's. 't,",
+        "a<|endoftext|> a<|endoftext|>. b<|startoftext|>. <|ENDOFTEXT|>. |>", "ß. ×. é. Σ. ΣΑΣ. ﬁ. _a_ -- ... x--y--",
+    ]
+    for text in texts:
+        ids, counts = encoder.encode([text])
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    assert encoder.tokenizer.asked.count("haus") == 1 and encoder.tokenizer.asked.count("naïve") == 1
+    assert not {"haus.", "haus,", "naïve!!", "haus&&&", "haus;"} & set(encoder.tokenizer.asked)
