@@ -24,15 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, mixed
 
 #: longer words are scored in blocks of this many characters; scores run on across the blocks
 BLOCK = 4096
 #: longer words are forgotten after their call
 KEPT_LENGTH = 256
 #: states of words that a worker keeps between calls
-MAX_STATES = 1_600_000
-_WORDS_AT_ONCE = 150_000
+MAX_STATES = 800_000
+_WORDS_AT_ONCE = 75_000
 _END = 0
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -76,6 +76,9 @@ class Pieces:
         self.byte_logp = -sharpness * (math.log(size) + math.log(total))
         self.longest = max(map(len, self.ids), default=1)
         self._build_trie()
+        self.raw_sizes = np.array([len(raw) for raw in self.raw], dtype=np.int64)
+        self.raw_begins = self.raw_sizes.cumsum() - self.raw_sizes
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
 
     def _build_trie(self) -> None:
         nodes, moves, ends = 1, {}, {}
@@ -187,6 +190,31 @@ class Pieces:
                 out.extend(self.byte_ids[b] for b in chr(-code - 1).encode("utf-8", "surrogatepass"))
         return np.array(out, dtype=np.int32)
 
+    def all_spelled(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """``spelled`` of many paths at once."""
+        bounds = np.concatenate(([0], np.cumsum([len(path) for path in paths])))
+        flat = np.concatenate(paths)
+        letters = np.flatnonzero((flat < 0) & (flat >= -0x80))
+        flat[letters] = self.ascii_ids[-flat[letters] - 1]
+        out = [flat[start:stop] for start, stop in itertools.pairwise(bounds.tolist())]
+        rare = np.flatnonzero(flat < 0)
+        for at in np.unique(np.searchsorted(bounds, rare, side="right") - 1).tolist() if len(rare) else []:
+            out[at] = self.spelled(out[at])
+        return out
+
+    def round_trips(self, paths: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether each id sequence decodes to its text; the bytes of all are put together at once."""
+        ids = np.concatenate(paths)
+        sizes = self.raw_sizes[ids]
+        run = np.concatenate(([0], sizes.cumsum()))
+        spelt = self.raw_bytes[np.repeat(self.raw_begins[ids] - run[:-1], sizes) + np.arange(run[-1])].tobytes()
+        bounds = run[np.concatenate(([0], np.cumsum([len(path) for path in paths])))].tolist()
+        out = []
+        for path, text, (start, stop) in zip(paths, texts, itertools.pairwise(bounds), strict=True):
+            wanted = (" " + text).encode("utf-8", "surrogatepass") if text else b""
+            out.append(spelt[start:stop] == wanted or self.decode(path.tolist()) == text)
+        return out
+
     def decode(self, ids) -> str:
         """Text of an id sequence; the space that encoding put in front is dropped again."""
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
@@ -357,6 +385,12 @@ def _uniform(seeds: np.ndarray, place: np.ndarray | int, step: np.ndarray | int,
     return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
+def _uniform_one(seed: int, place: int, step: int, purpose: int) -> float:
+    """``_uniform`` of single numbers."""
+    bits = mixed(seed + place * int(_A) + step * int(_B) + purpose * int(_C))
+    return ((bits >> 12) + 0.5) / 2.0**52
+
+
 class Sampler:
     """Samples for a list of documents at once."""
 
@@ -482,10 +516,10 @@ class Sampler:
         docs = []
         for key, starts in zip(keys, chain.starts([units(text) for text in texts]), strict=True):
             row = zlib.crc32(key.encode()) + (zlib.adler32(key.encode()) << 32) + self.seed * 0x632BE5AB
-            seed = mix64(np.array([row % 2**64], dtype=np.uint64))
-            gumbel = -math.log(-math.log(float(_uniform(seed, 0, 0, 1_000_003)[0])))
+            seed = mixed(row)
+            gumbel = -math.log(-math.log(_uniform_one(seed, 0, 0, 1_000_003)))
             docs.append({
-                "starts": starts, "seed": seed[0], "gumbel": gumbel,
+                "starts": starts, "seed": seed, "gumbel": gumbel,
                 "heap": [], "samples": [],
             })
         live = docs
@@ -497,13 +531,12 @@ class Sampler:
                 doc["samples"].append((doc["path"], float(total), doc["gumbel"]))
                 self._queue(doc, sets, number)
             live = [d for d in live if self._pop(d, number)] if number + 1 < self.k else []
-        piece, spelled = chain.piece, chain.pieces.spelled
+        spelt = iter(chain.pieces.all_spelled([chain.piece[path] for doc in docs for path, *_ in doc["samples"]]))
         out = []
         for doc in docs:
             bar = -doc["heap"][0][0] if doc["heap"] else -math.inf
             out.append([
-                (spelled(piece[path]), logp, gumbel, _log_inclusion(logp, bar))
-                for path, logp, gumbel in doc["samples"]
+                (next(spelt), logp, gumbel, _log_inclusion(logp, bar)) for _, logp, gumbel in doc["samples"]
             ])
         return out
 
@@ -515,7 +548,7 @@ class Sampler:
             mass, before, barred, cut, parent, steps = left
             if mass > 1e-13:
                 rest = before + math.log(mass)
-                wait = -math.log(float(_uniform(np.array([doc["seed"]], dtype=np.uint64), cut, number, 1_000_033)[0]))
+                wait = -math.log(_uniform_one(doc["seed"], cut, number, 1_000_033))
                 value = rest - math.log(wait + math.exp(min(rest - doc["gumbel"], 700)))
                 heapq.heappush(doc["heap"], (-value, number, cut, before, parent, steps, barred))
 
@@ -527,7 +560,7 @@ class Sampler:
         chain = self.chain
         first = chain.first
         state = int(np.searchsorted(first[: chain.all_states + 1], np.int32(parent[cut]), side="right")) - 1
-        draw = float(_uniform(np.array([doc["seed"]], dtype=np.uint64), cut, number, 1_000_019)[0])
+        draw = _uniform_one(doc["seed"], cut, number, 1_000_019)
         edge, mass = self._other(range(first[state], first[state + 1]), barred, draw)
         doc.update(
             gumbel=-value, cut=cut, parent=parent, parent_steps=steps, edge=edge,
@@ -597,12 +630,15 @@ def _sampler(path: str, sharpness: float, samples: int, seed: int) -> Sampler:
 
 def _frame(pieces: Pieces, ids, texts, found) -> pd.DataFrame:
     rows = []
-    for doc_id, text, samples in zip(ids, texts, found, strict=True):
+    held = iter(pieces.round_trips(
+        [path for samples in found for path, *_ in samples],
+        [text for text, samples in zip(texts, found, strict=True) for _ in samples],
+    ))
+    for doc_id, samples in zip(ids, found, strict=True):
         for number, (path, logp, perturbed, inclusion) in enumerate(samples):
             rows.append((
                 None if doc_id is None else int(doc_id), number, path, len(path), logp, perturbed,
-                math.exp(inclusion), inclusion,
-                zlib.crc32(path.astype("<u4").tobytes()), pieces.decode(path.tolist()) == text,
+                math.exp(inclusion), inclusion, zlib.crc32(path.astype("<u4", copy=False).data), next(held),
             ))
     out = pd.DataFrame(rows, columns=[
         "doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion",

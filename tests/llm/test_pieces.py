@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from slipstone.llm import pieces
 from slipstone.llm.pieces import Sampler, pieces_at, sample_encodings, units
 from slipstone.llm.triecounts import TrieCounter, token_counts
 
@@ -189,3 +190,24 @@ def test_room_for_lattices_follows_what_is_used():
         lattice.starts([["".join(w) for w in draw.choice(list("aeinorst"), (4000, 9))]])
     assert lattice.edges > 1 << 17
     assert len(lattice.upto) <= 1.25 * lattice.edges
+
+
+def test_spelling_and_decoding_of_many_paths_at_once(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pieces.Pieces(path)
+    texts = ["Haus und Hof\n", "日本語 ▁ ÿ😀 text", "", "a  b\x07", "x" * 300]
+    found = pieces.Sampler(model, 2, 17).sample([str(i) for i in range(len(texts))], texts)
+    paths, own = zip(*[(path, text) for text, samples in zip(texts, found, strict=True) for path, *_ in samples], strict=True)
+    assert [model.decode(p.tolist()) for p in paths] == list(own)
+    seen = []
+    decode = model.decode
+    monkeypatch.setattr(model, "decode", lambda ids: seen.append(ids) or decode(ids))
+    assert all(pieces._frame(model, list(range(len(texts))), texts, found)["round_trip"])
+    assert not seen  # decoded together, none by itself
+    assert model.round_trips(list(paths), ["other", *own[1:]]) == [False] + [True] * (len(paths) - 1)
+
+
+def test_single_draws_equal_those_of_arrays():
+    for seed, place, step in ((0, 0, 0), (2**64 - 1, 7, 1), (2**63 + 12345, 10**6, 3)):
+        many = pieces._uniform(np.array([seed], dtype=np.uint64), place, step, 1_000_033)
+        assert pieces._uniform_one(seed, place, step, 1_000_033) == many[0]
