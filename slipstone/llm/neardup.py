@@ -8,7 +8,8 @@ on the full shingle sets, and independent trees repeat the walk until the target
 
 Equal sets are one vertex from the start, so exact copies cost nothing. A node that branching
 can't split because most members resemble each other is compared with two pivots; members that
-the confirmed links leave outside the pivot's component then meet the whole node in tiles.
+the confirmed links leave outside the pivot's component then meet, in tiles, all members that
+their distances to the pivot leave possible.
 Groups of bounded size are confirmed where they are: members with a candidate bring their full
 sets, pairs are tried strongest first, and pairs already joined are skipped, so a group gives a
 spanning forest of its links and no pair list is ever written. Nothing is capped.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spool
-from .common import WordHasher, shingle_set
+from .common import WordHasher, mix64, shingle_set
 from .components import components
 
 COORDS = 64
@@ -37,6 +38,12 @@ ASK = 0.6
 #: a node with this share of members like its pivot is not branched any more
 DENSE_SHARE, DENSE_AGREE = 0.3, 0.7
 _TILE = 64
+#: sketches of a candidate pair differ in this many places at most
+_REACH = COORDS - math.ceil(ASK * COORDS)
+#: width of the bands of distance to the pivot in which members of a dense node meet
+_BAND = 5
+#: ids that one broadcast holds, and how often the texts are scanned at most before they are shuffled
+_IDS_AT_ONCE, _SCANS = 1 << 20, 4
 
 
 def trees_for(recall: float, similarity: float) -> int:
@@ -132,9 +139,30 @@ def _candidates(ids, sizes, part, asks, sketch, similarity: float):
     return i[agree >= ASK], j[agree >= ASK], agree[agree >= ASK]
 
 
+def _linked_parts(i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """The positions that the pairs i, j connect, part by part."""
+    if len(i) == 1:
+        return [np.array([i[0], j[0]])]
+    some, ends = np.unique(np.concatenate((i, j)), return_inverse=True)
+    left, right = ends[: len(i)], ends[len(i) :]
+    label = np.arange(len(some))
+    while True:
+        low = np.minimum(label[left], label[right])
+        lower = label.copy()
+        np.minimum.at(lower, left, low)
+        np.minimum.at(lower, right, low)
+        if (lower == label).all():
+            break
+        label = lower
+    return [some[label == part] for part in np.unique(label)]
+
+
 def _promising(groups: DataFrame, similarity: float) -> DataFrame:
     """Members (g, id, ask) of bounded groups that have a candidate by size and sketch.
 
+    What candidates connect is a group of its own, named by its members, so that one met in
+    several trees and nodes is confirmed once.
+
     Groups carry members (id, n, sketch, part, ask); pairs of one part (component) and pairs
     without an asking member are no candidates.
     """
@@ -142,7 +170,7 @@ def _promising(groups: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for g, members in zip(batch["g"], batch["members"], strict=True):
+            for members in batch["members"]:
                 part = np.array([m["part"] for m in members], dtype=np.int64)
                 if (part == part[0]).all():
                     continue
@@ -151,16 +179,16 @@ def _promising(groups: DataFrame, similarity: float) -> DataFrame:
                 asks = np.array([m["ask"] for m in members], dtype=bool)
                 sketch = np.frombuffer(b"".join(bytes(m["sketch"]) for m in members), dtype=np.uint8).reshape(-1, COORDS)
                 i, j, _ = _candidates(ids, sizes, part, asks, sketch, similarity)
-                if len(i):
-                    some = np.unique(np.concatenate((i, j)))
-                    out.append((np.full(len(some), g), ids[some], asks[some]))
+                for some in _linked_parts(i, j) if len(i) else []:
+                    name = mix64(ids[some].view(np.uint64) * np.uint64(2) + asks[some]).sum(dtype=np.uint64)
+                    out.append((np.full(len(some), name).view(np.int64), ids[some], asks[some]))
             yield pd.DataFrame({
                 "g": np.concatenate([o[0] for o in out]) if out else np.zeros(0, dtype=np.int64),
                 "id": np.concatenate([o[1] for o in out]) if out else np.zeros(0, dtype=np.int64),
                 "ask": np.concatenate([o[2] for o in out]) if out else np.zeros(0, dtype=bool),
             })
 
-    return groups.select("g", "members").mapInPandas(run, "g long, id long, ask boolean")
+    return groups.select("members").mapInPandas(run, "g long, id long, ask boolean").distinct()
 
 
 def _links_of(rows: list[tuple], percent: int, similarity: float) -> list[tuple[int, int]]:
@@ -262,32 +290,38 @@ def _same_bytes(left: Column, right: Column) -> Column:
 
 
 def _tiles(dense: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of dense nodes outside their pivot's component against the whole node, in tiles.
+    """Members of dense nodes outside their pivot's component against the node, in tiles.
 
-    ``dense`` has key, id and pivot. These members are dealt into rows of tiles by hash, the
-    whole node into columns; each tile is a group of bounded size, so no task holds a node.
+    ``dense`` has key, id, pivot and agree. Places in which sketches differ are a distance, so two
+    members whose distances to the pivot are further apart than ``_REACH`` are no candidates: a
+    member meets only the bands of distance within its reach. The asking members of a band are
+    dealt into rows of tiles by hash, those they meet into columns; each tile is a group of
+    bounded size, so no task holds a node.
     """
     parts = nodes.select("id", "part").dropDuplicates(["id"])
     of_pivot = parts.select(F.col("id").alias("pivot"), F.col("part").alias("home"))
-    rows = dense.join(parts, "id").join(of_pivot, "pivot").select(
-        "key", "id", (F.col("part") != F.col("home")).alias("asks")
-    )
-    sizes = rows.groupBy("key").agg(
+    band = F.floor((COORDS - F.round(F.col("agree") * COORDS)) / _BAND)
+    rows = spool(dense.join(parts, "id").join(of_pivot, "pivot").select(
+        "key", "id", (F.col("part") != F.col("home")).alias("asks"), band.alias("band")
+    ))
+    counts = rows.groupBy("key", "band").agg(
         F.sum(F.col("asks").cast("long")).alias("askers"), F.count(F.lit(1)).alias("size")
-    ).filter("askers > 0").select(
-        "key", F.ceil(F.col("askers") / _TILE).alias("rows"), F.ceil(F.col("size") / _TILE).alias("cols"),
     )
-    placed = rows.join(sizes, "key")
+    askers = counts.filter("askers > 0").select("key", F.col("band").alias("own"), "askers")
+    meets = F.abs(F.col("band") - F.col("own")) <= -(-_REACH // _BAND)
+    sizes = spool(askers.join(counts.select("key", "band", "size"), "key").filter(meets).groupBy("key", "own").agg(
+        F.ceil(F.max("askers") / _TILE).alias("rows"), F.ceil(F.sum("size") / _TILE).alias("cols")
+    ))
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asking = placed.filter("asks").select(
-        "key", "id", F.lit(True).alias("ask"), spot("rows").alias("row"), upto("cols").alias("col")
+    asking = rows.filter("asks").withColumnRenamed("band", "own").join(sizes, ["key", "own"]).select(
+        "key", "own", "id", F.lit(True).alias("ask"), spot("rows").alias("row"), upto("cols").alias("col")
     )
-    asked = placed.select(
-        "key", "id", F.lit(False).alias("ask"), spot("cols").alias("col"), upto("rows").alias("row")
-    ).select("key", "id", "ask", "row", "col")
+    asked = rows.join(sizes, "key").filter(meets).select(
+        "key", "own", "id", F.lit(False).alias("ask"), spot("cols").alias("col"), upto("rows").alias("row")
+    ).select("key", "own", "id", "ask", "row", "col")
     tiles = _with_sketch(asking.union(asked), nodes)
-    return tiles.groupBy(F.xxhash64("key", "row", "col").alias("g")).agg(_members("ask"))
+    return tiles.groupBy(F.xxhash64("key", "own", "row", "col").alias("g")).agg(_members("ask"))
 
 
 def _branched(rows: DataFrame, nodes: DataFrame, trees: int) -> DataFrame:
@@ -300,7 +334,7 @@ def _branched(rows: DataFrame, nodes: DataFrame, trees: int) -> DataFrame:
 def tree_nodes(
     nodes: DataFrame, similarity: float, recall: float, node_limit: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Walk the trees: small nodes (key, id), dense nodes (key, id, pivot), pivot pairs (a, b)."""
+    """Walk the trees: small nodes (key, id), dense nodes (key, id, pivot, agree), pivot pairs (a, b)."""
     trees = trees_for(recall, similarity)
     small: list[DataFrame] = []
     dense: list[DataFrame] = []
@@ -326,10 +360,12 @@ def tree_nodes(
         stuck = met.groupBy("key").agg(
             F.avg((F.col("agree") >= DENSE_AGREE).cast("int")).alias("share")
         ).filter((F.col("share") >= DENSE_SHARE) | F.lit(depth == DEPTH)).select("key")
-        marked = spool(met.select("key", "id", "pivot").join(stuck.withColumn("stuck", F.lit(True)), "key", "left"))
-        dense.append(marked.filter("stuck").select("key", "id", "pivot"))
+        marked = spool(met.select("key", "id", "pivot", "agree").join(stuck.withColumn("stuck", F.lit(True)), "key", "left"))
+        dense.append(marked.filter("stuck").select("key", "id", "pivot", "agree"))
         rows = _branched(marked.filter("stuck is null"), nodes, trees)
-    none = nodes.select(F.lit(0).cast("long").alias("key"), "id", F.col("id").alias("pivot")).limit(0)
+    none = nodes.select(
+        F.lit(0).cast("long").alias("key"), "id", F.col("id").alias("pivot"), F.lit(0.0).alias("agree")
+    ).limit(0)
     merged = lambda parts, default: reduce(DataFrame.union, parts) if parts else default
     return (
         merged(small, none.select("key", "id")), merged(dense, none),
@@ -337,6 +373,23 @@ def tree_nodes(
     )
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and text of the documents named in ``wanted``.
+
+    Few are, so their ids are broadcast in parts of bounded size and the texts scanned where they
+    are; beyond ``_SCANS`` scans a shuffle of the texts costs less.
+    """
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    names = spool(wanted.select("id").distinct())
+    scans = max(1, math.ceil(names.count() / _IDS_AT_ONCE))
+    if scans > _SCANS:
+        return texts.join(names, "id", "left_semi")
+    part = F.pmod(F.xxhash64("id"), F.lit(scans))
+    return reduce(DataFrame.union, [
+        texts.join(F.broadcast(names.filter(part == at)), "id", "left_semi") for at in range(scans)
+    ])
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """id, fp and members (sorted 64-bit hashes, packed) of the documents named in ``wanted``."""
 
@@ -350,8 +403,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 "members": [s.tobytes() for s in sets],
             })
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.select("id").distinct(), "id", "left_semi")
-    made = texts.mapInPandas(run, "id long, fp binary, members binary")
+    made = _texts_of(docs, wanted).mapInPandas(run, "id long, fp binary, members binary")
     return made.filter("fp is not null").dropDuplicates(["id", "fp"])
 
 

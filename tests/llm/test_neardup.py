@@ -114,3 +114,33 @@ def test_word_hashes_depend_on_the_word_alone():
 
 def test_more_recall_takes_more_trees():
     assert neardup.trees_for(0.9, 0.8) < neardup.trees_for(0.9999, 0.8)
+
+
+def test_a_group_met_twice_is_confirmed_once(spark):
+    same, other = bytes(range(64)), bytes(range(64, 128))
+    member = lambda doc, sketch: (doc, 10, bytearray(sketch), doc, True)
+    pairs = [member(1, same), member(2, same)], [member(3, other), member(4, other)]
+    groups = [(7, pairs[0]), (8, pairs[0][::-1]), (9, pairs[0] + pairs[1])]
+    frame = spark.createDataFrame(
+        groups, "g long, members array<struct<id: long, n: long, sketch: binary, part: long, ask: boolean>>"
+    )
+    rows = neardup._promising(frame, 0.8).collect()
+    assert sorted(r.id for r in rows) == [1, 2, 3, 4] and len({r.g for r in rows}) == 2
+
+
+def test_members_beyond_reach_of_the_pivot_meet_in_no_tile(spark):
+    near, far = [(i, 10, bytearray(64), 0) for i in range(20)], [(i, 10, bytearray([i] * 64), i) for i in (50, 51)]
+    nodes = spark.createDataFrame(near + far, "id long, n long, sketch binary, part long")
+    dense = spark.createDataFrame(
+        [(1, r[0], 0, 1.0 if r in near else 0.1) for r in near + far], "key long, id long, pivot long, agree double"
+    )
+    tiles = neardup._tiles(dense, nodes).collect()
+    assert {m.id for t in tiles for m in t.members} == {50, 51}
+
+
+def test_texts_are_not_shuffled_for_a_few_ids(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "cast(id as string) as text")
+    wanted = spark.createDataFrame([(i % 100,) for i in range(500)], "id long")
+    found = neardup._texts_of(docs, wanted)
+    assert {r.id for r in found.collect()} == set(range(100)) and found.count() == 100
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
