@@ -7,9 +7,10 @@ and branches again. Small nodes are compared exhaustively on sketches, candidate
 on the full shingle sets, and independent trees repeat the walk until the target recall holds.
 
 Equal sets are one vertex from the start, so exact copies cost nothing. A node that branching
-can't split because most members resemble each other is compared with two pivots; members that
-the confirmed links leave outside the pivot's component then meet, in tiles, all members that
-their distances to the pivot leave possible.
+can't split because most members resemble each other is compared with two pivots. Such nodes of
+all trees whose pivots are then in one component become one node; members that the confirmed
+links leave outside that component meet, in tiles, all members that their distances to the pivot
+leave possible.
 Groups of bounded size are confirmed where they are: members with a candidate bring their full
 sets, pairs are tried strongest first, and pairs already joined are skipped, so a group gives a
 spanning forest of its links and no pair list is ever written. Nothing is capped.
@@ -289,6 +290,20 @@ def _same_bytes(left: Column, right: Column) -> Column:
     return total
 
 
+def _merged(dense: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Dense nodes whose pivots lie in one component as one node (key, id, pivot, agree).
+
+    Every tree meets a dense group again, in a node of its own with much the same members; the
+    union of those nodes holds all their pairs and is dealt into tiles once. Its pivot is the
+    one that most rows name, and distances are measured from that one.
+    """
+    homes = nodes.select(F.col("id").alias("pivot"), F.col("part").alias("home")).dropDuplicates(["pivot"])
+    homed = spool(dense.join(homes, "pivot").select(F.col("home").alias("key"), "id", "pivot"))
+    named = homed.groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("rows"))
+    pivots = named.groupBy("key").agg(F.max_by("pivot", F.struct("rows", "pivot")).alias("pivot"))
+    return spool(_against(homed.select("key", "id").distinct(), pivots, nodes).select("key", "id", "pivot", "agree"))
+
+
 def _tiles(dense: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of dense nodes outside their pivot's component against the node, in tiles.
 
@@ -448,7 +463,7 @@ def near_duplicates(
     parted = spool(own.drop("part").join(
         components(links).withColumnRenamed("v", "id"), "id", "left"
     ).select("id", "n", "sketch", F.coalesce("component", "id").alias("part")))
-    groups = _small(small, parted).union(_tiles(dense, parted))
+    groups = _small(small, parted).union(_tiles(_merged(dense, parted), parted))
     promising = spool(_promising(groups, similarity))
     more = full_sets(docs, promising.select("id").distinct().join(sets_of.select("id"), "id", "left_anti"), words)
     found = _confirm_groups(promising, parted, spool(sets_of.union(more)), percent)

@@ -144,3 +144,34 @@ def test_texts_are_not_shuffled_for_a_few_ids(spark):
     found = neardup._texts_of(docs, wanted)
     assert {r.id for r in found.collect()} == set(range(100)) and found.count() == 100
     assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+
+
+def test_dense_nodes_of_one_group_become_one_node(spark):
+    sketch = lambda i: bytearray([0] * (64 - i % 7) + [i] * (i % 7))
+    nodes = spark.createDataFrame(
+        [(i, 10, sketch(i), 0 if i < 90 else i) for i in range(100)], "id long, n long, sketch binary, part long"
+    )
+    met = [(key, i, pivot, 0.9) for key, pivot in ((1, 3), (2, 5), (3, 5), (4, 95)) for i in range(100) if i % 4 < key]
+    dense = spark.createDataFrame(met, "key long, id long, pivot long, agree double")
+    merged = neardup._merged(dense, nodes).collect()
+    home = {r.id: (r.pivot, r.agree) for r in merged if r.key == 0}
+    assert len(merged) == 75 + 100 and set(home) == {i for i in range(100) if i % 4 < 3}
+    assert home[5] == (5, 1.0) and home[14] == (5, 59 / 64)
+    assert {(r.key, r.pivot) for r in merged} == {(0, 5), (95, 95)}
+
+
+def test_a_dense_group_is_tiled_once_for_all_trees(spark, monkeypatch):
+    draw, made = random.Random(11), []
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for doc in range(160):
+        own = list(base)
+        for at in draw.sample(range(100), draw.choice((1, 2, 8, 9))):
+            own[at] = f"n{doc}-{at}"
+        rows.append((doc, " ".join(own), None))
+    tiles = neardup._tiles
+    monkeypatch.setattr(neardup, "_tiles", lambda dense, nodes: made.append(tiles(dense, nodes)) or made[-1])
+    assert result(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), words=2, node_limit=6)) == brute(rows, 2)
+    # an asking member meets each other member in one tile, not in one of every tree
+    ids = [m.id for tile in made[0].collect() for m in tile.members if m.ask]
+    assert 0 < len(ids) <= 4 * len(set(ids))
