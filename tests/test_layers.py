@@ -219,3 +219,49 @@ def test_few_candidates_carry_no_sketch(spark, monkeypatch):
     assert not columns
     want = brute(rows)
     assert all(got[k] == pytest.approx(best, abs=1.1e-6) for k, (best, _) in want.items())
+
+
+def test_few_rows_of_a_scope_are_one_block_and_their_queries_move_once(spark, monkeypatch):
+    rows = make(60, 21, hot=0.0)
+    whole = layers.scoring_rows(spark.createDataFrame(rows, SCHEMA), ScoringConfig(), 1, F.lit(True)).dropna(
+        subset=["scope", "fecha_deposito"]
+    )
+    asked, pool = layers._as_queries(whole), layers._as_candidates(whole.withColumn("first", F.col("ord")))
+    placed, facing, block = layers._tiled(asked, pool, 30, 20_000)
+    assert placed(asked).count() == asked.count()
+    pairs = {(r.q_id, r.c_id) for r in layers._met(placed(asked), facing, block).filter(layers._in_window(30)).collect()}
+    monkeypatch.setattr(layers, "SMALL_SCOPE", 0)
+    placed, facing, block = layers._tiled(asked, pool, 30, 20_000)
+    assert placed(asked).count() == 3 * asked.count()
+    cut = layers._met(placed(asked), facing, block).filter(layers._in_window(30)).collect()
+    assert len(cut) == len(pairs) > 0 and {(r.q_id, r.c_id) for r in cut} == pairs
+
+
+def test_no_text_moves_with_the_survivors(spark):
+    survivors, _ = layers.layer1(spark.createDataFrame(make(40, 22), SCHEMA))
+    scored = layers.scoring_rows(survivors, ScoringConfig(), 1, F.lit(True))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join " in line]
+    digests = [i for i, line in enumerate(plan) if "sha2(" in line]
+    assert joins and digests and min(digests) > max(joins)
+
+
+def test_shuffle_files_and_spools_of_a_step_go_when_it_is_written(spark):
+    from slipstone import session
+
+    drop_files = lambda: [
+        f for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().toList().mkString("\n").split("\n")
+        if "shuffle_" in f
+    ]
+    before = set(drop_files())
+    stored = session.spool(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not set(drop_files()) - before and stored.count() == 7
+    made = []
+
+    def make():
+        made.append(session.spool(spark.range(5)))
+        return made[0].withColumn("x", F.col("id") + 1)
+
+    held = len(session._spools)
+    kept = session.spool_alone(make)
+    assert len(session._spools) == held + 1 and kept.count() == 5
