@@ -286,3 +286,26 @@ def test_term_counts_are_packed_and_repeated_keys_add_up(spark):
     got = {(r.key_a, r.key_b): r.s_text for r in textpairs.text_pair_similarity(pairs, texts).collect()}
     assert set(got) == {(1, 2), (1, 5)}
     assert got[1, 5] == pytest.approx(6 / (5**0.5 * 8**0.5))
+
+
+def test_shared_terms_agree_in_both_digests():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(40):
+        sides = []
+        for _ in range(2):
+            # few first digests, so that some are told apart by the second alone
+            held = {(rng.randint(-9, 9), rng.randint(0, 2)): rng.randint(1, 5) for _ in range(rng.choice([0, 1, 8, 30]))}
+            keys = sorted(held)
+            packed = (
+                np.array([k[0] for k in keys], dtype=np.int64).tobytes()
+                + np.array([k[1] for k in keys], dtype=np.uint32).tobytes()
+                + np.array([held[k] for k in keys], dtype=np.uint32).tobytes()
+            )
+            sides.append((held, textpairs._unpacked(packed)))
+        (a, left), (b, right) = sides
+        x, y = textpairs._shared(left, right)
+        assert sorted(zip(x.tolist(), y.tolist())) == sorted((a[k], b[k]) for k in a.keys() & b.keys())
